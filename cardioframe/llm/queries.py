@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid
+from . import bpe, gbt, iforest, langid
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -26,6 +26,17 @@ def fold(n: int, doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % n
 
 
+def op1_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return iforest.judge(docs, *iforest.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op5_hist_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = gbt.score(docs, gbt.fit(docs, _table(spark, sf_dir, "labels"), fold(3) != 1))
+    return found.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op9_zstd_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     dictionaries = langid.train(docs, fold(4) != 2)
@@ -38,7 +49,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_zstd_language_id, op10_bpe)}
+    return {f.__name__: f for f in (op1_isolation_forest, op5_hist_gbt, op9_zstd_language_id, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
