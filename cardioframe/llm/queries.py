@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gbt, iforest, langid
+from . import bpe, gbt, iforest, langid, pii, secrets
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -31,6 +31,14 @@ def op1_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iforest.judge(docs, *iforest.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op3_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(_table(spark, sf_dir, "documents")))
+
+
+def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find(_table(spark, sf_dir, "documents")))
+
+
 def op5_hist_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = gbt.score(docs, gbt.fit(docs, _table(spark, sf_dir, "labels"), fold(3) != 1))
@@ -49,7 +57,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_isolation_forest, op5_hist_gbt, op9_zstd_language_id, op10_bpe)}
+    return {f.__name__: f for f in (op1_isolation_forest, op3_pii_bootstrap, op4_secret_ownership, op5_hist_gbt, op9_zstd_language_id, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
