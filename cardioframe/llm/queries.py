@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gbt, iforest, langid, pii, secrets
+from . import bpe, decontam, gbt, iforest, langid, lines, pii, secrets
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -45,6 +45,25 @@ def op5_hist_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return lines.remove(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+_BARE = "trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+OP8_SQL = f"""
+with pieces as (select doc_id, coalesce(source, '') as site, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents),
+bad as (select {_BARE} as bare from pieces where {_BARE} <> '' group by 1 having count(distinct site) >= 5)
+select doc_id, count_if({_BARE} <> '')::bigint as n_lines, count_if(bad.bare is not null)::bigint as n_removed,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (where bad.bare is null), '')) as kept_sha256
+from pieces left join bad on bad.bare = {_BARE} group by doc_id
+"""
+
+
 def op9_zstd_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     dictionaries = langid.train(docs, fold(4) != 2)
@@ -57,8 +76,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_isolation_forest, op3_pii_bootstrap, op4_secret_ownership, op5_hist_gbt, op9_zstd_language_id, op10_bpe)}
+    return {f.__name__: f for f in (op1_isolation_forest, op3_pii_bootstrap, op4_secret_ownership, op5_hist_gbt, op7_spaced_seeds, op8_line_spread, op9_zstd_language_id, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_line_spread": OP8_SQL}
