@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, gbt, iforest, langid, lines, pii, secrets
+from . import bpe, decontam, gbt, iforest, jaccard, langid, lines, pii, secrets
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -31,6 +31,10 @@ def op1_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iforest.judge(docs, *iforest.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
 def op3_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(_table(spark, sf_dir, "documents")))
 
@@ -76,7 +80,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_isolation_forest, op3_pii_bootstrap, op4_secret_ownership, op5_hist_gbt, op7_spaced_seeds, op8_line_spread, op9_zstd_language_id, op10_bpe)}
+    return {f.__name__: f for f in (op1_isolation_forest, op2_ngram_jaccard, op3_pii_bootstrap, op4_secret_ownership, op5_hist_gbt, op7_spaced_seeds, op8_line_spread, op9_zstd_language_id, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
