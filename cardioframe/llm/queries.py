@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, gbt, iforest, jaccard, langid, lines, pii, secrets
+from . import bpe, debruijn, decontam, gbt, iforest, jaccard, langid, lines, pii, secrets
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -49,6 +49,24 @@ def op5_hist_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op6_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.remove(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP6_SQL = r"""
+with w as (
+  select doc_id, row_number() over (partition by doc_id order by i) as i, word from (
+    select doc_id, unnest(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+')) as word, generate_subscripts(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), 1) as i from documents) where word <> ''),
+win as (select doc_id, i, word, string_agg(word, ' ') over (partition by doc_id order by i rows between current row and 12 following) as g, count(*) over (partition by doc_id order by i rows between current row and 12 following) as n from w),
+first as (select g, min(doc_id) as source from win where n = 13 group by g),
+hit as (select win.doc_id, win.i, win.word, coalesce(win.n = 13 and first.source < win.doc_id, false) as hit from win left join first on first.g = win.g),
+gone as (select doc_id, i, word, bool_or(hit) over (partition by doc_id order by i rows between 12 preceding and current row) as gone from hit)
+select d.doc_id, count(gone.i)::bigint as n_words, count_if(coalesce(gone.gone, false))::bigint as n_removed,
+  sha256(coalesce(string_agg(gone.word, ' ' order by gone.i) filter (where not gone.gone), '')) as kept_sha256
+from documents d left join gone on gone.doc_id = d.doc_id group by d.doc_id
+"""
+
+
 def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -80,8 +98,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_isolation_forest, op2_ngram_jaccard, op3_pii_bootstrap, op4_secret_ownership, op5_hist_gbt, op7_spaced_seeds, op8_line_spread, op9_zstd_language_id, op10_bpe)}
+    return {f.__name__: f for f in (op1_isolation_forest, op2_ngram_jaccard, op3_pii_bootstrap, op4_secret_ownership, op5_hist_gbt, op6_debruijn_dedup, op7_spaced_seeds, op8_line_spread, op9_zstd_language_id, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_spread": OP8_SQL}
+    return {"op6_debruijn_dedup": OP6_SQL, "op8_line_spread": OP8_SQL}
