@@ -35,7 +35,7 @@ def _site_lines(docs: DataFrame) -> DataFrame:
     return rows.where("k is not null").select("k.h1", "k.h2", "site")
 
 
-def boilerplate(docs: DataFrame, least_sites: int = 5, lg_k: int = 12, band: float = 0.25) -> DataFrame:
+def boilerplate(docs: DataFrame, least_sites: int = 10, lg_k: int = 12, band: float = 0.25) -> DataFrame:
     """h1, h2 of the lines that at least ``least_sites`` sites hold.
 
     lg_k: the sketches have 2 ** lg_k registers, so their standard error is 1.04 / 2 ** (lg_k / 2)

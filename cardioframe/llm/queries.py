@@ -79,7 +79,7 @@ def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BARE = "trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 OP8_SQL = f"""
 with pieces as (select doc_id, coalesce(source, '') as site, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents),
-bad as (select {_BARE} as bare from pieces where {_BARE} <> '' group by 1 having count(distinct site) >= 5)
+bad as (select {_BARE} as bare from pieces where {_BARE} <> '' group by 1 having count(distinct site) >= 10)
 select doc_id, count_if({_BARE} <> '')::bigint as n_lines, count_if(bad.bare is not null)::bigint as n_removed,
   sha256(coalesce(string_agg(line, chr(10) order by i) filter (where bad.bare is null), '')) as kept_sha256
 from pieces left join bad on bad.bare = {_BARE} group by doc_id
