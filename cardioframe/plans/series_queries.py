@@ -322,7 +322,7 @@ def stripe_peaks(spark, d):
 
 @query(f"""{_E}, p as (select user_id % 7 as movie, user_id as xpos, rn as t from (select user_id, rn, {_SLOPE} as s from e) where s < 0 and rn <= 40),
 b as (select movie, xpos, t, t // 10 as bin from p), q as (select movie, bin, xpos, max(t) as t from b group by all),
-r as (select movie, bin, count(*) as n, regr_slope(xpos, t) as slope, 1 - (1 - regr_r2(xpos, t)) * (count(*) - 1) / nullif(count(*) - 2, 0) as rsq, min(xpos) as x_first, max(xpos) as x_last, arg_min(t, xpos) as t_first, arg_max(t, xpos) as t_last from q group by movie, bin),
+r as (select movie, bin, count(*) as n, nullif(regr_slope(xpos, t), 'nan'::double) as slope, nullif(1 - (1 - regr_r2(xpos, t)) * (count(*) - 1) / nullif(count(*) - 2, 0), 'nan'::double) as rsq, min(xpos) as x_first, max(xpos) as x_last, arg_min(t, xpos) as t_first, arg_max(t, xpos) as t_last from q group by movie, bin),
 u as (select movie, avg(n) as usual from (select distinct movie, n from r) group by movie), k as (select r.*, t_last - t_first as delta from r join u using (movie) where n >= usual)
 select movie, bin, n, round(slope, 5) + 0.0 as slope, round(rsq, 5) as rsq, delta, case when delta = 0 and rsq > 0.15 then (case when slope > 0 then 1 else 0 end) when delta < 0 then 1 else 0 end as direction, round((x_last - x_first) * 0.65 / nullif(delta * 0.01, 0), 4) as speed from k""")
 def beat_direction(spark, d):
