@@ -65,7 +65,7 @@ class Index:
         batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
         self.ids, self.items, seeds = ids, [], []
         for piece in kit.pieces([batch]):
-            words = _Plain(piece)
+            words = _Plain(piece, lower=True)
             hashes = words.hashes()
             base = len(self.items)
             self.items += [hashes[a:b] for a, b in zip(words.first, words.first[1:], strict=False)]
@@ -114,7 +114,7 @@ def scan(docs: DataFrame, index: Index, least_words: int = 13, least_share: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idx = shared.value
         for piece in kit.pieces(batches):
-            words = _Plain(piece)
+            words = _Plain(piece, lower=True)
             hashes = words.hashes()
             hits, best, found = np.zeros(piece.n, np.int64), np.zeros(piece.n, np.int64), np.full(piece.n, -1)
             for item, at, doc in idx.diagonals(words, hashes).tolist():

@@ -96,7 +96,7 @@ def find(docs: DataFrame, **how) -> DataFrame:
     seen = kit.stage(base.select("doc_id", "base", token.alias("tokens")).withColumn("row", F.monotonically_increasing_id()))
     more = discover(seen.where(F.size("tokens") > 0).select("row", "tokens"), **how)
     out = seen.select("row", "doc_id", "base").join(more, "row", "left")
-    return out.select("doc_id", "base", F.concat("base", F.coalesce("more", spans.NONE)).alias("spans"))
+    return out.select("doc_id", "base", F.concat("base", F.coalesce("more", spans.none())).alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:

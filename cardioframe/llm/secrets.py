@@ -60,7 +60,7 @@ def find(docs: DataFrame, most_owners: int = 2) -> DataFrame:
         F.count_if(F.col("owners") > most_owners).alias("n_example"),
     )
     out = seen.select("row", "doc_id", "base").join(of_row, "row", "left")
-    live = F.coalesce("live", spans.NONE)
+    live = F.coalesce("live", spans.none())
     return out.select("doc_id", "base", spans.ordered(F.concat("base", live), KINDS, kind_first=False).alias("spans"), F.size(live).cast("long").alias("n_live"), F.coalesce("n_example", F.lit(0).cast("long")).alias("n_example"))
 
 

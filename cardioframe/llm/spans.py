@@ -11,11 +11,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "struct<kind:string,start:long,end:long,value:string>"
-NONE = F.expr(f"cast(array() as array<{SPAN}>)")
 #: Of so many matches positions are summed one by one; longer lists are summed block by block.
 _BLOCK = 128
 
 
+def none() -> Column:
+    """No spans."""
+    return F.expr(f"cast(array() as array<{SPAN}>)")
+
+
 def matches(text: Column, kind: str, pattern: str, gate: Column | None = None) -> Column:
     """All leftmost non-overlapping matches of ``pattern``, as an array of spans with ``gap`` (the text since the match before).
 
