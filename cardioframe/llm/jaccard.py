@@ -4,12 +4,13 @@ A document is the set of its 5-word shingles (words split at white space, A-Z in
 words its whole sequence is its one shingle, without words the set is empty. Two documents are linked when
 their sets overlap in at least 80 % of their union.
 
-Equal sets are one class. A sketch of shingle counts over the whole corpus tells frequent shingles from
-rare ones; all sets are ordered rare first, then by hash. Linked sets share a shingle in their prefixes of
+Equal sets are one class. A sketch of shingle counts over the whole corpus gives each shingle a level of
+frequency, 0 for rare ones; all sets are ordered by level, then by hash. Linked sets share a shingle in their prefixes of
 n - ceil(0.8 n) + 1 shingles, and two shingles in prefixes one longer. Rare prefix shingles are indexed
 alone. Frequent ones are indexed in combinations of two from the longer prefix, in sets of up to ``small``
 shingles; larger sets, whose combinations would be too many, index them alone under a key of their own, as
-do small sets that a larger one can be linked with. Sets under one key are verified against a few pivots;
+do small sets that a larger one can be linked with. Keys are split by set size, as far apart sizes cannot be linked.
+Sets under one key are verified against a few pivots;
 what one component holds after that is settled, and only pairs that still lie in two components are
 verified one by one. So each link is found or is a link inside one component.
 
@@ -20,6 +21,7 @@ rows of one doc_id with different texts are judged by their own texts.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,9 @@ from . import kit
 from .components import components
 
 WORDS, PERCENT = 5, 80
-_CELLS, _BLOCKS = 20, 16
+_CELLS, _BLOCKS = 22, 16
+#: Parts that the shingles of a set are counted in; the smaller counts of two sets bound their overlap.
+_PARTS = 256
 _TAG = np.uint64(0x9E3779B97F4A7C15)
 #: Orders in which pivots are the first: node ids XOR these.
 _SALTS = tuple(int(x) for x in np.random.default_rng(5).integers(0, 2**62, 64))
@@ -74,15 +78,15 @@ def _measure(docs: DataFrame) -> DataFrame:
     """Rows of documents (doc_id, n, d1, d2), and of the count sketch of each task (block, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << _CELLS, np.int64)
+        counts = np.zeros(1 << _CELLS, np.uint32)
         for piece in kit.pieces(batches):
             doc, h = shingles(kit.Words(piece, lower=True))
-            counts += np.bincount(_cells(h), minlength=len(counts))
+            np.add.at(counts, _cells(h), 1)
             n, d1, d2 = _digests(doc, h, piece.n)
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n), pa.array(d1), pa.array(d2), pa.nulls(piece.n, pa.int32()), pa.nulls(piece.n, pa.binary())], names)
         if counts.any():
             size = len(counts) // _BLOCKS
-            blocks = [counts[i * size : (i + 1) * size].tobytes() for i in range(_BLOCKS)]
+            blocks = [_packed(counts[i * size : (i + 1) * size]) for i in range(_BLOCKS)]
             none = pa.nulls(_BLOCKS, pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(_BLOCKS), pa.int32()), pa.array(blocks, pa.binary())], names)
 
@@ -90,8 +94,17 @@ def _measure(docs: DataFrame) -> DataFrame:
     return kit.base_columns(docs).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, block int, counts binary")
 
 
-def _frequent(measured: DataFrame, spread: int = 32) -> np.ndarray:
-    """Packed bits, one for each cell: the cell holds far more shingles than cells of rare ones do. 128 KB whatever the corpus.
+def _packed(counts: np.ndarray) -> bytes:
+    """Most counts are small or zero, so they shrink well."""
+    return zlib.compress(counts.astype(np.int64).tobytes(), 1)
+
+
+def _unpacked(counts: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(counts), np.int64)
+
+
+def _levels(measured: DataFrame, spread: int = 32) -> np.ndarray:
+    """The level of each cell: 0 where it holds about as many shingles as most cells, else one more with each doubling of the excess. A byte a cell, 4 MB whatever the corpus.
 
     Sketches of tasks are added up in two steps, so that no task adds more than its share.
     """
@@ -100,26 +113,28 @@ def _frequent(measured: DataFrame, spread: int = 32) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(counts.as_buffer(), np.int64)
-                sums[block] = sums[block] + x if block in sums else x.copy()
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
+                x = _unpacked(counts.as_py())
+                sums[block] = sums[block] + x if block in sums else x
+        for block, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([_packed(x)], pa.binary())], ["block", "counts"])
 
     rows = measured.where("block is not null").select("block", "counts")
     part = rows.repartition(spread, "block", F.xxhash64("counts")).mapInArrow(add, "block int, counts binary")
     got = part.repartition(_BLOCKS, "block").mapInArrow(add, "block int, counts binary").collect()
     counts = np.zeros((_BLOCKS, (1 << _CELLS) // _BLOCKS), np.int64)
     for r in got:
-        counts[r["block"]] += np.frombuffer(bytes(r["counts"]), np.int64)
+        counts[r["block"]] += _unpacked(bytes(r["counts"]))
     usual = float(np.median(counts))
-    return np.packbits(counts.ravel() > usual + 8 * np.sqrt(usual) + 16)
+    noise = 3 * np.sqrt(usual) + 3
+    excess = (counts.ravel() - usual) / noise
+    return np.where(excess > 1, 1 + np.log2(np.maximum(excess, 1)), 0).astype(np.uint8)
 
 
-def prefix_keys(doc: np.ndarray, h: np.ndarray, n: int, frequent: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray]:
+def prefix_keys(doc: np.ndarray, h: np.ndarray, n: int, levels: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray]:
     """Documents and index keys of their prefixes; doc and h as shingles() gives them."""
-    hot = frequent[_cells(h)]
-    order = np.lexsort((h, hot, doc))
-    doc, h, hot = doc[order], h[order], hot[order]
+    level = levels[_cells(h)]
+    order = np.lexsort((h, level, doc))
+    doc, h, hot = doc[order], h[order], level[order] > 0
     first = np.searchsorted(doc, np.arange(n + 1))
     size = np.diff(first)
     length = size + (-PERCENT * size // 100) + 1  # n - ceil(0.8 n) + 1
@@ -137,12 +152,11 @@ def prefix_keys(doc: np.ndarray, h: np.ndarray, n: int, frequent: np.ndarray, sm
     return np.concatenate(docs), np.concatenate(keys)
 
 
-def _entries(docs: DataFrame, frequent: np.ndarray, small: int) -> DataFrame:
+def _entries(docs: DataFrame, levels: np.ndarray, small: int) -> DataFrame:
     """key, d1: the index. Equal sets of a piece are indexed once."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = np.unpackbits(shared.value).astype(bool)
         for piece in kit.pieces(batches):
             doc, h = shingles(kit.Words(piece, lower=True))
             _, d1, _ = _digests(doc, h, piece.n)
@@ -150,26 +164,28 @@ def _entries(docs: DataFrame, frequent: np.ndarray, small: int) -> DataFrame:
             use = np.zeros(piece.n, bool)
             use[once] = True
             doc, h = doc[use[doc]], h[use[doc]]
-            of, key = prefix_keys(doc, h, piece.n, hot, small)
+            of, key = prefix_keys(doc, h, piece.n, shared.value, small)
             yield pa.RecordBatch.from_arrays([pa.array(kit.signed(key)), pa.array(d1[of])], ["key", "d1"])
 
     return kit.base_columns(docs.where("doc_id is not null")).mapInArrow(run, "key long, d1 long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """c, n, tokens of the classes in ``wanted`` (c, doc_id, d1, d2), from the text of one document each."""
+    """c, n, tokens and parts (how many tokens fall into each part) of the classes in ``wanted`` (c, doc_id, d1, d2), from the text of one document each; repeated rows give equal rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in kit.pieces(batches):
             doc, h = shingles(kit.Words(piece, lower=True))
             n, d1, d2 = _digests(doc, h, piece.n)
             first = np.searchsorted(doc, np.arange(piece.n + 1)).astype(np.int32)
-            rows = pa.RecordBatch.from_arrays([piece.column("c"), pa.array(n), pa.ListArray.from_arrays(pa.array(first), pa.array(kit.signed(h)))], ["c", "n", "tokens"])
+            part = np.bincount(doc * _PARTS + (h & np.uint64(_PARTS - 1)).astype(np.int64), minlength=piece.n * _PARTS).astype(np.int32)
+            parts = pa.ListArray.from_arrays(pa.array(np.arange(0, len(part) + 1, _PARTS, dtype=np.int32)), pa.array(part))
+            rows = pa.RecordBatch.from_arrays([piece.column("c"), pa.array(n), pa.ListArray.from_arrays(pa.array(first), pa.array(kit.signed(h))), parts], ["c", "n", "tokens", "parts"])
             same = (d1 == piece.column("d1").to_numpy()) & (d2 == piece.column("d2").to_numpy())
             yield rows.filter(pa.array(same))
 
     texts = kit.base_columns(docs).join(wanted.select("doc_id", "c", "d1", "d2"), "doc_id")
-    return texts.mapInArrow(run, "c long, n long, tokens array<long>").dropDuplicates(["c"])
+    return texts.mapInArrow(run, "c long, n long, tokens array<long>, parts array<int>")
 
 
 def _fits(a: Column, b: Column) -> Column:
@@ -177,18 +193,31 @@ def _fits(a: Column, b: Column) -> Column:
     return (100 * F.least(a, b)) >= (PERCENT * F.greatest(a, b))
 
 
+def _linked(common: Column, both: Column) -> Column:
+    """Whether an overlap of ``common`` links sets of ``both`` shingles together."""
+    return 100 * common >= PERCENT * (both - common)
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """u, v and linked of pairs u, v of classes, by their whole sets."""
-    left = sets.select(F.col("c").alias("u"), F.col("n").alias("nu"), F.col("tokens").alias("tu"))
-    right = sets.select(F.col("c").alias("v"), F.col("n").alias("nv"), F.col("tokens").alias("tv"))
-    both = pairs.join(left, "u").join(right, "v").select("u", "v", (F.col("nu") + F.col("nv")).alias("sum"), F.size(F.array_intersect("tu", "tv")).cast("long").alias("common"))
-    return both.select("u", "v", (100 * F.col("common") >= PERCENT * (F.col("sum") - F.col("common"))).alias("linked"))
+    """u, v and linked of pairs u, v of classes, by their whole sets.
 
+    Pairs whose counts by part already bound the overlap too low are settled first, so that whole sets move
+    only for pairs that can be linked.
+    """
+
+    def side(df: DataFrame, name: str, what: str) -> DataFrame:
+        return df.select(F.col("c").alias(name), F.col("n").alias(f"n{name}"), F.col(what).alias(f"x{name}"))
 
-def _label(entries: DataFrame, links: DataFrame) -> DataFrame:
-    """entries with the component of each class."""
-    found = components(links)
-    return entries.join(found.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    both = F.col("nu") + F.col("nv")
+    near = pairs.join(side(sets, "u", "parts"), "u").join(side(sets, "v", "parts"), "v")
+    bound = F.aggregate(F.zip_with("xu", "xv", lambda a, b: F.least(a, b)), F.lit(0), lambda a, x: a + x)
+    near = kit.stage(near.where(_linked(bound.cast("long"), both)).select("u", "v").distinct())
+    needed = near.select(F.col("u").alias("c")).unionByName(near.select(F.col("v").alias("c"))).distinct()
+    few = kit.stage(sets.select("c", "n", "tokens").join(needed, "c", "left_semi"))
+    common = F.size(F.array_intersect("xu", "xv")).cast("long")
+    out = kit.stage(near.join(side(few, "u", "tokens"), "u").join(side(few, "v", "tokens"), "v").where(_linked(common, both)).select("u", "v").distinct())
+    kit.drop(few, near)
+    return out
 
 
 def _open(labelled: DataFrame) -> DataFrame:
@@ -201,6 +230,14 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
 
 
+def _banded(entries: DataFrame) -> DataFrame:
+    """Keys made narrower by set size: sizes that can be linked lie in one band or two neighbouring ones, so each set is put into its own and the next. Sets alone under a key are left out."""
+    band = F.floor(F.log("n") / F.log(F.lit(1.2501)))
+    both = entries.select(F.explode(F.array(band, band + 1)).alias("band"), "key", "c", "n").select(F.xxhash64("key", "band").alias("key"), "c", "n")
+    several = both.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("key")
+    return both.join(several, "key")
+
+
 def join(docs: DataFrame, small: int = 100, pivots: int = 8, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (verified links of the document's class) of each row.
 
@@ -209,18 +246,18 @@ def join(docs: DataFrame, small: int = 100, pivots: int = 8, rounds: int = 2) ->
     """
     measured = kit.stage(_measure(docs))
     rows = measured.where("block is null").select("doc_id", "n", "d1", "d2")
-    frequent = _frequent(measured)
+    levels = _levels(measured)
     classes = rows.where("doc_id is not null and n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     classes = kit.stage(classes.withColumn("c", F.monotonically_increasing_id()))
-    entries = kit.stage(_entries(docs, frequent, small))
+    entries = kit.stage(_entries(docs, levels, small))
     shared = kit.stage(entries.groupBy("key").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a <> b").select("key"))
     wide = kit.stage(entries.join(shared, "key").select("key", "d1").distinct())
     kit.drop(entries, shared)
-    found = kit.stage(wide.join(classes.select("d1", "c", "n"), "d1").select("key", "c", "n"))
+    found = kit.stage(_banded(wide.join(classes.select("d1", "c", "n"), "d1").select("key", "c", "n")))
     kit.drop(wide)
     sets = kit.stage(_sets(docs, classes.join(found.select("c").distinct(), "c", "left_semi")))
     size = classes.select(F.col("c").alias("p"), F.col("n").alias("np"))
-    checked, todo = None, found
+    checked, links, roots, todo = None, None, None, found
     for r in range(rounds + 1):
         if r < rounds:
             salts = _SALTS[r * pivots : (r + 1) * pivots]
@@ -231,15 +268,17 @@ def join(docs: DataFrame, small: int = 100, pivots: int = 8, rounds: int = 2) ->
             other = todo.select("key", F.col("c").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))
             pairs = todo.select("key", F.col("c").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru")).join(other, "key").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & _fits(F.col("nu"), F.col("nv"))).select("u", "v")
         pairs = _ordered(pairs)
-        fresh = pairs if checked is None else pairs.join(checked, ["u", "v"], "left_anti")
-        now = kit.stage(_verify(fresh, sets))
-        checked = now if checked is None else checked.unionByName(now)
-        links = checked.where("linked").select("u", "v")
-        todo = kit.stage(_open(_label(found if r == 0 else todo.drop("root"), links)))
+        pairs = kit.stage(pairs if checked is None else pairs.join(checked, ["u", "v"], "left_anti"))
+        now = _verify(pairs, sets)
+        checked = pairs if checked is None else checked.unionByName(pairs)
+        links = now if links is None else links.unionByName(now)
+        roots = components(links).select(F.col("node").alias("c"), "root")
+        if r == rounds:
+            break
+        todo = kit.stage(_open(found.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))))
         if todo.isEmpty():
             break
     kit.drop(sets)
-    roots = components(links).select(F.col("node").alias("c"), "root")
     named = classes.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     degree = links.select(F.col("u").alias("c")).unionByName(links.select(F.col("v").alias("c"))).groupBy("c").agg(F.count("*").alias("n_links"))
