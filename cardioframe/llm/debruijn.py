@@ -61,7 +61,7 @@ def _marks(docs: DataFrame, k: int, short: int) -> DataFrame:
 
 
 def _edges(docs: DataFrame, k: int, short: int) -> DataFrame:
-    """The windows of docs (doc_id, text, shared) whose minimizer is in ``shared``: e1, e2 (hashes), after, before (parts of the hashes of its neighbours), doc_id, at."""
+    """The windows of docs (doc_id, text, shared) whose minimizer is in ``shared``: e1, e2 (hashes), around (a byte of the hash of the window after and of that before, 0 for none), doc_id, at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in kit.pieces(batches):
@@ -80,15 +80,16 @@ def _edges(docs: DataFrame, k: int, short: int) -> DataFrame:
             _, e2 = words.windows(hashes, k, salt=1)
             at, doc, e1, e2 = at[use], doc[use], e1[use], e2[use]
             meets = (at[1:] == at[:-1] + 1) & (doc[1:] == doc[:-1])
-            part = (e1 & np.uint64(0x7FFFFFFF)).astype(np.int32)
-            after = pa.array(np.append(part[1:], 0).astype(np.int32)[: len(part)], mask=~np.append(meets, False)[: len(part)])
-            before = pa.array(np.append(0, part[:-1]).astype(np.int32)[: len(part)], mask=~np.append(False, meets)[: len(part)])
+            part = (e1 & np.uint64(0xFF)).astype(np.int16)
+            around = np.zeros(len(at), np.int16)
+            around[:-1] += np.where(meets, part[1:] << 8, 0).astype(np.int16)
+            around[1:] += np.where(meets, part[:-1], 0).astype(np.int16)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kit.signed(e1)), pa.array((e2 >> np.uint64(33)).astype(np.int32)), after, before, piece.column("doc_id").take(pa.array(doc)), pa.array((at - words.first[doc]).astype(np.int32))],
-                ["e1", "e2", "after", "before", "doc_id", "at"],
+                [pa.array(kit.signed(e1)), pa.array((e2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(around), piece.column("doc_id").take(pa.array(doc)), pa.array((at - words.first[doc]).astype(np.int32))],
+                ["e1", "e2", "around", "doc_id", "at"],
             )
 
-    return docs.mapInArrow(run, "e1 long, e2 int, after int, before int, doc_id long, at int")
+    return docs.mapInArrow(run, "e1 long, e2 int, around short, doc_id long, at int")
 
 
 def spans(docs: DataFrame, k: int = 13, short: int = 5) -> DataFrame:
@@ -103,9 +104,12 @@ def spans(docs: DataFrame, k: int = 13, short: int = 5) -> DataFrame:
     kit.drop(marks, several)
     edges = kit.stage(_edges(texts.join(shared, "doc_id"), k, short))
     kit.drop(shared)
-    one = lambda c: (F.min(c) == F.max(c)).alias(c)  # noqa: E731  exactly one neighbour on that side
-    first = edges.groupBy("e1", "e2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min_by("at", "doc_id").alias("source_at"), one("after"), one("before"))
-    first = kit.stage(first.where("source < last").select("e1", "e2", "source", "source_at", F.coalesce("after", F.lit(False)).alias("on"), F.coalesce("before", F.lit(False)).alias("back")))
+    first = edges.groupBy("e1", "e2").agg(
+        F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min_by("at", "doc_id").alias("source_at"), F.bit_and("around").alias("all"), F.bit_or("around").alias("any")
+    )
+    differ = F.col("all").bitwiseXOR(F.col("any"))
+    on, back = (differ.bitwiseAND(F.lit(-256).cast("short")) == 0).alias("on"), (differ.bitwiseAND(F.lit(255).cast("short")) == 0).alias("back")
+    first = kit.stage(first.where("source < last").select("e1", "e2", "source", "source_at", on, back))
     again = kit.stage(edges.select("e1", "e2", "doc_id", "at").join(first, ["e1", "e2"]).where("doc_id > source").select("doc_id", "at", "source", "source_at", "on", "back"))
     kit.drop(edges, first)
     order = Window.partitionBy("doc_id").orderBy("at", "source_at")
