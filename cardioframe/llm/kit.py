@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PIECE = 2 << 20
@@ -64,6 +64,24 @@ def base_columns(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+_DRAW = 1 << 30
+
+
+def draw(*columns: str) -> Column:
+    """A hash of a row from 0 to 2 ** 30, by which samples take the smallest."""
+    return F.pmod(F.xxhash64(*columns), F.lit(_DRAW))
+
+
+def drawn(rows: DataFrame, most: int, total: int, *columns: str) -> DataFrame:
+    """The ``most`` of ``total`` rows with the smallest draw(); ties by the columns.
+
+    Rows far over the expected cut are left out before the limit, so a task hands on about its share of the
+    sample and not ``most`` rows, however many tasks there are.
+    """
+    share = min(1.0, 1.5 * most / max(1, total) + 20 / max(1, total))
+    return rows.where(draw(*columns) <= int(share * _DRAW)).orderBy(draw(*columns), *columns).limit(most)
+
+
 class Piece:
     """Some whole texts: their bytes, where each begins, and what the columns beside them hold."""
 

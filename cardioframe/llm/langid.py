@@ -36,7 +36,7 @@ def train(docs: DataFrame, labelled: Column, texts: int = 60, size: int = 110 <<
     most_languages: more labels than that are an error, as the dictionaries would outgrow a task
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), labelled.alias("use")).where("use and lang is not null and lang <> '' and lang <> 'und' and text is not null")
-    langs = sorted(r[0] for r in rows.select("lang").distinct().limit(most_languages + 1).collect())
+    langs = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(most_languages + 1).collect()}
     if len(langs) > most_languages:
         raise ValueError(f"over {most_languages} languages")
     out = {}
@@ -44,7 +44,7 @@ def train(docs: DataFrame, labelled: Column, texts: int = 60, size: int = 110 <<
     for lang in langs:
         # the middle of each text only: 4 bytes a character at most, cut before it leaves the executor
         middle = F.expr(f"substr(text, cast(greatest(1, length(text) div 2 - {share // 2}) as int), {share})")
-        found = rows.where(F.col("lang") == lang).select(F.xxhash64("doc_id", "text").alias("h"), "doc_id", middle.alias("m")).orderBy("h", "doc_id").limit(texts).collect()
+        found = kit.drawn(rows.where(F.col("lang") == lang), texts, langs[lang], "doc_id", "text").select(middle.alias("m")).collect()
         out[lang] = b"".join(_plain(r["m"]) for r in found)[:size]
     return {k: v for k, v in out.items() if v}
 

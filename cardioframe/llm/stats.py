@@ -117,7 +117,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, u
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     marks = marks.where(use) if use is not None else marks
-    chosen = marks.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    marks = marks.groupBy("doc_id").agg(F.max("y").alias("y"))
+    chosen = kit.drawn(marks, most, marks.count(), "doc_id")
     texts = kit.base_columns(docs).join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
