@@ -9,10 +9,10 @@ frequency, 0 for rare ones; all sets are ordered by level, then by hash. Linked
 n - ceil(0.8 n) + 1 shingles, and two shingles in prefixes one longer. Rare prefix shingles are indexed
 alone. Frequent ones are indexed in combinations of two from the longer prefix, in sets of up to ``small``
 shingles; larger sets, whose combinations would be too many, index them alone under a key of their own, as
-do small sets that a larger one can be linked with. Keys are split by set size, as far apart sizes cannot be linked.
-Sets under one key are verified against a few pivots;
-what one component holds after that is settled, and only pairs that still lie in two components are
-verified one by one. So each link is found or is a link inside one component.
+do small sets that a larger one can be linked with. Keys are split by set size, as far apart sizes cannot
+be linked. Under a key of few sets all pairs are verified; under others sets are verified against a few
+pivots, what one component holds after that is settled, and only pairs that still lie in two components
+are verified one by one. So each link is found or is a link inside one component.
 
 Edge cases: a null text is an empty set; empty sets are linked with nothing, also not with one another;
 rows with a null doc_id have no component and link nothing; repeated rows are equal sets of one class, and
@@ -231,11 +231,29 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _banded(entries: DataFrame) -> DataFrame:
-    """Keys made narrower by set size: sizes that can be linked lie in one band or two neighbouring ones, so each set is put into its own and the next. Sets alone under a key are left out."""
+    """Keys made narrower by set size, with m, how many sets share each: sizes that can be linked lie in one band or two neighbouring ones, so each set is put into its own and the next.
+
+    Sets alone under a key are left out, and of keys with the same sets one stays, as the others would only
+    find the same pairs.
+    """
     band = F.floor(F.log("n") / F.log(F.lit(1.2501)))
     both = entries.select(F.explode(F.array(band, band + 1)).alias("band"), "key", "c", "n").select(F.xxhash64("key", "band").alias("key"), "c", "n")
-    several = both.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("key")
-    return both.join(several, "key")
+    alike = both.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y")).where("m > 1")
+    return both.join(alike.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", "m"), "key")
+
+
+def _once(entries: DataFrame, most: int = 16) -> DataFrame:
+    """entries with ``low``, the first keys of each class: a pair that shares one of them is made under the first such key only."""
+    low = entries.groupBy("c").agg(F.slice(F.sort_array(F.collect_list("key")), 1, most).alias("low"))
+    return entries.join(low, "c")
+
+
+def _pairs(entries: DataFrame, rule: Column | None = None) -> DataFrame:
+    """u, v: different classes under one key whose sizes fit; entries have key, c, n, low. rule: compares columns of the one with those of the other, which are named with a 2."""
+    other = entries.select("key", *(F.col(c).alias(f"{c}2") for c in entries.columns if c != "key"))
+    both = F.array_intersect("low", "low2")
+    keep = (F.col("c") < F.col("c2")) & _fits(F.col("n"), F.col("n2")) & ((F.size(both) == 0) | (F.array_min(both) == F.col("key")))
+    return entries.join(other, "key").where(keep if rule is None else keep & rule).select(F.col("c").alias("u"), F.col("c2").alias("v"))
 
 
 def join(docs: DataFrame, small: int = 100, pivots: int = 8, rounds: int = 2) -> DataFrame:
@@ -256,17 +274,22 @@ def join(docs: DataFrame, small: int = 100, pivots: int = 8, rounds: int = 2) ->
     found = kit.stage(_banded(wide.join(classes.select("d1", "c", "n"), "d1").select("key", "c", "n")))
     kit.drop(wide)
     sets = kit.stage(_sets(docs, classes.join(found.select("c").distinct(), "c", "left_semi")))
-    size = classes.select(F.col("c").alias("p"), F.col("n").alias("np"))
-    checked, links, roots, todo = None, None, None, found
+    few, todo = found.where(F.col("m") <= pivots + 1).drop("m"), found.where(F.col("m") > pivots + 1).drop("m")
+    many = todo = todo.withColumn("root", F.col("c"))
+    checked, links, roots = None, None, None
     for r in range(rounds + 1):
         if r < rounds:
             salts = _SALTS[r * pivots : (r + 1) * pivots]
             first = todo.groupBy("key").agg(*(F.min(F.col("c").bitwiseXOR(F.lit(s))).alias(f"m{i}") for i, s in enumerate(salts)))
             pivot = first.select("key", F.explode(F.array_distinct(F.array(*(F.col(f"m{i}").bitwiseXOR(F.lit(s)) for i, s in enumerate(salts))))).alias("p"))
-            pairs = todo.join(pivot.join(size, "p"), "key").where(_fits(F.col("n"), F.col("np"))).select(F.col("c").alias("u"), F.col("p").alias("v"))
+            pivot = pivot.join(todo.select("key", F.col("c").alias("p"), F.col("n").alias("np"), F.col("root").alias("rp")), ["key", "p"])
+            pairs = todo.join(pivot, "key").where(_fits(F.col("n"), F.col("np")) & (F.col("root") != F.col("rp"))).select(F.col("c").alias("u"), F.col("p").alias("v"))
         else:
-            other = todo.select("key", F.col("c").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))
-            pairs = todo.select("key", F.col("c").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru")).join(other, "key").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & _fits(F.col("nu"), F.col("nv"))).select("u", "v")
+            todo = kit.stage(_once(todo))
+            pairs = _pairs(todo, F.col("root") != F.col("root2"))
+        if r == 0:
+            few = kit.stage(_once(few))
+            pairs = pairs.unionByName(_pairs(few))
         pairs = _ordered(pairs)
         pairs = kit.stage(pairs if checked is None else pairs.join(checked, ["u", "v"], "left_anti"))
         now = _verify(pairs, sets)
@@ -275,7 +298,7 @@ def join(docs: DataFrame, small: int = 100, pivots: int = 8, rounds: int = 2) ->
         roots = components(links).select(F.col("node").alias("c"), "root")
         if r == rounds:
             break
-        todo = kit.stage(_open(found.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))))
+        todo = kit.stage(_open(many.drop("root").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))))
         if todo.isEmpty():
             break
     kit.drop(sets)
