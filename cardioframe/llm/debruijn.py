@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -92,10 +93,11 @@ def _edges(docs: DataFrame, k: int, short: int) -> DataFrame:
     return docs.mapInArrow(run, "e1 long, e2 int, around short, doc_id long, at int")
 
 
-def spans(docs: DataFrame, k: int = 13, short: int = 5) -> DataFrame:
+def spans(docs: DataFrame, k: int = 13, short: int = 5, slices: int = 2) -> DataFrame:
     """doc_id, at, windows, source, source_at: the compacted runs of windows that an earlier document has, staged.
 
-    k: words of a window; short: words of the runs that minimizers are chosen from
+    k: words of a window; short: words of the runs that minimizers are chosen from; slices: of windows,
+    taken one after the other
     """
     texts = kit.base_columns(docs).where("doc_id is not null")
     marks = kit.stage(_marks(texts, k, short))
@@ -104,20 +106,26 @@ def spans(docs: DataFrame, k: int = 13, short: int = 5) -> DataFrame:
     kit.drop(marks, several)
     edges = kit.stage(_edges(texts.join(shared, "doc_id"), k, short))
     kit.drop(shared)
-    first = edges.groupBy("e1", "e2").agg(
-        F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min_by("at", "doc_id").alias("source_at"), F.bit_and("around").alias("all"), F.bit_or("around").alias("any")
-    )
-    differ = F.col("all").bitwiseXOR(F.col("any"))
-    on, back = (differ.bitwiseAND(F.lit(-256).cast("short")) == 0).alias("on"), (differ.bitwiseAND(F.lit(255).cast("short")) == 0).alias("back")
-    first = kit.stage(first.where("source < last").select("e1", "e2", "source", "source_at", on, back))
-    again = kit.stage(edges.select("e1", "e2", "doc_id", "at").join(first, ["e1", "e2"]).where("doc_id > source").select("doc_id", "at", "source", "source_at", "on", "back"))
-    kit.drop(edges, first)
+    # slices of the hashes one after the other: the same rows are shuffled, but only a slice at a time is on disk
+    found = []
+    for i in range(slices):
+        part = edges.where(F.pmod("e1", F.lit(slices)) == i)
+        first = part.groupBy("e1", "e2").agg(
+            F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min_by("at", "doc_id").alias("source_at"), F.bit_and("around").alias("all"), F.bit_or("around").alias("any")
+        )
+        differ = F.col("all").bitwiseXOR(F.col("any"))
+        on, back = (differ.bitwiseAND(F.lit(-256).cast("short")) == 0).alias("on"), (differ.bitwiseAND(F.lit(255).cast("short")) == 0).alias("back")
+        first = kit.stage(first.where("source < last").select("e1", "e2", "source", "source_at", on, back))
+        found.append(kit.stage(part.select("e1", "e2", "doc_id", "at").join(first, ["e1", "e2"]).where("doc_id > source").select("doc_id", "at", "source", "source_at", "on", "back")))
+        kit.drop(first)
+    kit.drop(edges)
+    again = reduce(DataFrame.unionByName, found)
     order = Window.partitionBy("doc_id").orderBy("at", "source_at")
     lag = lambda c: F.lag(c).over(order)
     follows = (F.col("at") == lag("at") + 1) & (F.col("source") == lag("source")) & (F.col("source_at") == lag("source_at") + 1) & F.col("back") & lag("on")
     runs = again.withColumn("run", F.sum(F.when(follows, 0).otherwise(1)).over(order))
     out = kit.stage(runs.groupBy("doc_id", "run").agg(F.min("at").alias("at"), F.count("*").alias("windows"), F.first("source").alias("source"), F.min("source_at").alias("source_at")).drop("run"))
-    kit.drop(again)
+    kit.drop(*found)
     return out
 
 
