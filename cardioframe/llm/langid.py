@@ -1,7 +1,9 @@
 """Language identification by compression.
 
 For each language a zstandard raw-content dictionary holds text known to be in it. A text is encoded with
-every dictionary; the smallest encoding names the language, and narrow margins are rejected.
+every dictionary; the smallest encoding names the language, and narrow margins are rejected. Long texts are
+encoded in blocks, each with the dictionary alone before it, and the sizes of all blocks are added up: else
+the text's own history would take over from the dictionary and margins would shrink as texts get longer.
 
 Edge cases: a null text, and one without a letter, are ``und`` with score 0 and rejected. Where encodings
 are equally small, the language that comes first in the alphabet is taken, with margin 0. Without any training text everything is ``und``.
@@ -50,9 +52,12 @@ def train(docs: DataFrame, labelled: Column, texts: int = 60, size: int = 110 <<
 
 
 class Classifier:
-    def __init__(self, dictionaries: dict[str, bytes], levels: tuple = ((1024, 12, 3), (4096, 6, 0), (1 << 62, 3, 0))):
-        """levels: up to how many bytes which zstandard level and shortest match are used; slow ones tell short texts apart better."""
-        self.langs = sorted(dictionaries)
+    def __init__(self, dictionaries: dict[str, bytes], levels: tuple = ((1024, 12, 3), (4096, 6, 0), (1 << 62, 3, 0)), block: int = 16 << 10):
+        """levels: up to how many bytes which zstandard level and shortest match are used; slow ones tell short texts apart better.
+
+        block: bytes that are encoded at a time; the whole text is, block after block
+        """
+        self.langs, self.block = sorted(dictionaries), block
 
         def coders(at: int, match: int) -> list[zstandard.ZstdCompressor]:
             out = []
@@ -70,7 +75,8 @@ class Classifier:
         if not text or not self.langs or not _LETTER.search(text):
             return "und", 0.0, 0.0
         data = _plain(text)
-        sizes = [len(c.compress(data)) for c in next(cs for below, cs in self.coders if len(data) < below)]
+        blocks = [data[at : at + self.block] for at in range(0, len(data), self.block)]
+        sizes = [sum(len(c.compress(b)) for b in blocks) for c in next(cs for below, cs in self.coders if len(data) < below)]
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
         best = sizes[order[0]]
         score = 1 / sum(2.0 ** -min(60, s - best) for s in sizes)

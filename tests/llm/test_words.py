@@ -123,6 +123,20 @@ def test_language_by_compression(spark):
     assert {r["lang_pred"] for r in langid.identify(rows, langid.train(rows.limit(0), rows["doc_id"] < 60)).collect()} == {"und"}
 
 
+def test_margins_do_not_shrink_with_length(spark):
+    rng = random.Random(5)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(2000)] for lang, letters in (("en", "abcdefghijkl"), ("de", "ghijklmnopqr"))}
+    some = lambda lang, n: " ".join(rng.choices(words[lang], k=n))
+    texts = [(some("en" if i % 2 else "de", 400), "en" if i % 2 else "de") for i in range(120)] + [(some(lang, n), lang) for n in (4000, 40_000, 340_000) for lang in ("en", "de")]
+    assert len(texts[-1][0]) > 2_000_000
+    rows = spark.createDataFrame([(i, t, lang, "s", 0) for i, (t, lang) in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    dictionaries = langid.train(rows, rows["doc_id"] < 120)
+    got = {r["doc_id"]: r for r in langid.identify(rows, dictionaries).collect()}
+    assert all(got[i]["lang_pred"] == texts[i][1] and not got[i]["rejected"] for i in range(120, len(texts)))
+    assert all(got[i]["margin"] > 0.8 * got[i - 4]["margin"] for i in (124, 125))
+    assert langid.keep_identified(rows, dictionaries).count() == len(texts)
+
+
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 SECRETS = {"assign": r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
 PARTS = ["a@b.c", "@", ".", "-", "+", "%", "1", "12", "255", "256", "4111111111111111", " ", "(", ")", "+1 (555) 123-4567", "x", "é", "😀", "\n", "token", "PASSWORD", "api_key", "apikey", "secret", "=", ":", '"', "'", "abcdef0123456789abcdef01", "AKIA", "ABCDEFGHIJKLMNOP", "9", "0", "f"]
