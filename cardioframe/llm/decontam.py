@@ -4,9 +4,13 @@ Fixed masks choose some of the words of a window, so a hash of the chosen words
 the others. Hashes of the benchmark meet those of the documents; around each hit the two texts are laid
 side by side and the stretch that agrees best, substitutions included, is measured.
 
+The masks leave no gap: two texts side by side in which no mask fits have a best stretch of four agreeing
+words at most (with a penalty of two or more for a substitution), so each passage that scan() accepts by
+five words or more is laid side by side. Items of five words, of which four are enough, have a mask of four.
+
 Words are compared in lower case (A-Z) and without ASCII punctuation. Edge cases: a null or empty text is
-clean; an item of fewer words than a mask spans is looked for by contiguous seeds of five words, one of
-fewer than five words is not looked for; repeated items count once each, the smallest id names a tie.
+clean; an item of fewer than five words is not looked for; repeated items count once each, the smallest id
+names a tie.
 """
 
 from __future__ import annotations
@@ -22,8 +26,9 @@ from pyspark.sql import functions as F
 from . import kit
 
 #: 1: the word at this place is compared; 0: it may be anything.
-MASKS = ("110101101011", "111001011010", "101110010111", "11111")
-_SHORT = len(MASKS) - 1
+MASKS = ("11111", "111011", "110111", "111101", "101111", "1111")
+#: The mask of items of so few words that no other one has room to miss a word.
+_SHORT, _SHORT_WORDS = len(MASKS) - 1, 5
 _TABLE_BITS = 22
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[b for b in range(33, 127) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122)]] = True
@@ -72,11 +77,13 @@ class Index:
             for m, shape in enumerate(MASKS):
                 at, h = _seeds(words, hashes, m)
                 item = words.doc[at]
-                use = (words.count[item] < len(MASKS[0])) == (m == _SHORT)
+                use = (words.count[item] >= _SHORT_WORDS) & ((words.count[item] == _SHORT_WORDS) == (m == _SHORT))
                 seeds.append((h[use], base + item[use], (at - words.first[item])[use], np.full(use.sum(), m)))
         h, item, at, mask = (np.concatenate(x) for x in zip(*seeds, strict=True)) if seeds else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
         order = np.argsort(h, kind="stable")
-        self.hash, self.item, self.at, self.masks = h[order], item[order], at[order], set(mask.tolist())
+        self.hash, self.item, self.at, self.masks = h[order], item[order].astype(np.int32), at[order].astype(np.int32), set(mask.tolist())
+        self.words, self.size = np.concatenate([np.zeros(0, np.uint64), *self.items]), np.array([len(x) for x in self.items], np.int64)
+        self.first = np.cumsum(self.size) - self.size
         self.table = np.zeros(1 << _TABLE_BITS, bool)
         self.table[(self.hash >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
 
@@ -91,8 +98,31 @@ class Index:
             n = hi - lo
             seed = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
             where = np.repeat(at, n)
-            out.append(np.column_stack([self.item[seed], where - self.at[seed], words.doc[where]]))
-        return np.unique(np.concatenate(out), axis=0)
+            out.append(_each_once(np.column_stack([self.item[seed], where - self.at[seed], words.doc[where]])))
+        return _each_once(np.concatenate(out))
+
+    def agreeing(self, words: kit.Words, hashes: np.ndarray, diagonals: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+        """How many words agree over the whole length of each diagonal; of about ``most`` words at a time."""
+        item, at, doc = diagonals.T
+        lo = np.maximum(at, words.first[doc])
+        n = np.minimum(at + self.size[item], words.first[doc + 1]) - lo
+        own = self.first[item] + lo - at
+        out, ends, a = np.zeros(len(n), np.int64), np.cumsum(n), 0
+        while a < len(n):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most)))
+            step = np.arange(n[a:b].sum()) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b])
+            same = hashes[np.repeat(lo[a:b], n[a:b]) + step] == self.words[np.repeat(own[a:b], n[a:b]) + step]
+            out[a:b] = np.add.reduceat(same, np.cumsum(n[a:b]) - n[a:b], dtype=np.int64)
+            a = b
+        return out
+
+
+def _each_once(rows: np.ndarray) -> np.ndarray:
+    """Different rows in order."""
+    rows = rows[np.lexsort(rows.T[::-1])]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+    return rows[new]
 
 
 def _best_stretch(same: np.ndarray, penalty: int) -> tuple[int, int, int]:
@@ -104,11 +134,13 @@ def _best_stretch(same: np.ndarray, penalty: int) -> tuple[int, int, int]:
     return start, end, int(same[start:end].sum())
 
 
-def scan(docs: DataFrame, index: Index, least_words: int = 13, least_share: float = 0.8, penalty: int = 2) -> DataFrame:
+def scan(docs: DataFrame, index: Index, least_words: int = 13, least_share: float = 0.8, penalty: int = 2, row: str | None = None) -> DataFrame:
     """doc_id, n_hits (places laid side by side), n_overlap (words that agree in the best stretch), item_id, contaminated, for the items of one index.
 
     A stretch counts with ``least_words`` words that agree, or with ``least_share`` of an item's words.
+    row: a column of longs that is handed on
     """
+    more = [row] if row else []
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,33 +149,39 @@ def scan(docs: DataFrame, index: Index, least_words: int = 13, least_share: floa
             words = _Plain(piece, lower=True)
             hashes = words.hashes()
             hits, best, found = np.zeros(piece.n, np.int64), np.zeros(piece.n, np.int64), np.full(piece.n, -1)
-            for item, at, doc in idx.diagonals(words, hashes).tolist():
+            beside = idx.diagonals(words, hashes)
+            hits += np.bincount(beside[:, 2], minlength=piece.n)
+            # a stretch has no more agreeing words than the whole diagonal
+            agree = idx.agreeing(words, hashes, beside)
+            for item, at, doc in beside[(agree >= least_words) | (agree >= least_share * idx.size[beside[:, 0]])].tolist():
                 own = idx.items[item]
                 lo, hi = max(at, words.first[doc]), min(at + len(own), words.first[doc + 1])
                 _, _, agree = _best_stretch(hashes[lo:hi] == own[lo - at : hi - at], penalty)
-                hits[doc] += 1
                 if agree < least_words and agree < least_share * len(own):
                     continue
                 if agree > best[doc] or agree == best[doc] and (found[doc] < 0 or idx.ids[item] < idx.ids[found[doc]]):
                     best[doc], found[doc] = agree, item
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array(hits), pa.array(best), pa.array([idx.ids[i] if i >= 0 else None for i in found.tolist()], pa.int64()), pa.array(found >= 0)],
-                ["doc_id", "n_hits", "n_overlap", "item_id", "contaminated"],
+                [*(piece.column(c) for c in more), piece.column("doc_id"), pa.array(hits), pa.array(best), pa.array([idx.ids[i] if i >= 0 else None for i in found.tolist()], pa.int64()), pa.array(found >= 0)],
+                [*more, "doc_id", "n_hits", "n_overlap", "item_id", "contaminated"],
             )
 
-    return kit.base_columns(docs).mapInArrow(run, "doc_id long, n_hits long, n_overlap long, item_id long, contaminated boolean")
+    return kit.base_columns(docs, *more).mapInArrow(run, "".join(f"{c} long, " for c in more) + "doc_id long, n_hits long, n_overlap long, item_id long, contaminated boolean")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, most_words: int = 400_000, **how) -> DataFrame:
     """What scan() returns for the whole benchmark, a row for each document.
 
-    most_words: an index that is broadcast has about so many words at most (some 40 bytes each); a larger
+    most_words: an index that is broadcast has about so many words at most (some 100 bytes each); a larger
     benchmark is taken in blocks of that size, one pass over the documents for each, and the passes are
-    merged. With several blocks, rows of one doc_id become one row.
+    merged row by row; for that, documents are staged once with a number for each row.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.size(F.split("text", "[\\x20\\x09-\\x0D]+"))), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-total // most_words))
+    if blocks > 1:
+        docs = kit.stage(kit.base_columns(docs).withColumn("row", F.monotonically_increasing_id()))
+        how["row"] = "row"
     passes = []
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
@@ -151,5 +189,5 @@ def find(docs: DataFrame, benchmark: DataFrame, most_words: int = 400_000, **how
     if blocks == 1:
         return passes[0]
     best = F.max(F.when(F.col("contaminated"), F.struct("n_overlap", (-F.col("item_id")).alias("i"))))
-    merged = reduce(DataFrame.unionByName, passes).groupBy("doc_id").agg(F.sum("n_hits").alias("n_hits"), best.alias("b"))
+    merged = reduce(DataFrame.unionByName, passes).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("n_hits").alias("n_hits"), best.alias("b"))
     return merged.select("doc_id", "n_hits", F.coalesce("b.n_overlap", F.lit(0).cast("long")).alias("n_overlap"), (-F.col("b.i")).alias("item_id"), F.col("b").isNotNull().alias("contaminated"))

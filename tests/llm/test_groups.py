@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +137,52 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontam.find(docs(spark, texts), bench.limit(0)).where("contaminated").count() == 0
 
 
+def best_agree(same, penalty=2):
+    """Agreeing words of the best stretch of each row of a table of patterns."""
+    total = np.cumsum(np.pad(np.where(same, 1, -penalty), ((0, 0), (1, 0))), axis=1)
+    return [decontam._best_stretch(s, penalty)[2] if t >= 3 else 0 for s, t in zip(same, (total - np.minimum.accumulate(total, axis=1)).max(axis=1), strict=True)]
+
+
+def fits(same, mask):
+    n = same.shape[1] - len(mask) + 1
+    windows = [same[:, j : j + n] for j, c in enumerate(mask) if c == "1"] if n > 0 else [np.zeros((len(same), 1), bool)]
+    return np.logical_and.reduce(windows).any(axis=1)
+
+
+def test_masks_reach_all_patterns_that_count():
+    rng = np.random.default_rng(4)
+    for n in range(5, 61):
+        if n <= 14:
+            same = (np.arange(1 << n)[:, None] >> np.arange(n) & 1).astype(bool)
+        else:
+            every = [np.arange(n) % k != j for k in range(3, 8) for j in range(k)]
+            same = np.concatenate([every, rng.random((400, n)) < rng.uniform(0.6, 0.95, (400, 1))])
+        agree = np.array(best_agree(same))
+        counts = (agree >= 13) | (agree >= 0.8 * n)
+        masks = [m for i, m in enumerate(decontam.MASKS) if (n == 5) == (i == decontam._SHORT)]
+        assert counts.any() and np.logical_or.reduce([fits(same[counts], m) for m in masks]).all()
+
+
+def test_decontamination_finds_dense_substitutions(spark):
+    rng = random.Random(8)
+    items = [passage(rng, n) for n in (40, 20, 15, 5)]
+    every = [[w if i % 4 != j else "X" for i, w in enumerate(items[0])] for j in range(4)]
+    some = [["X" if i in gone else w for i, w in enumerate(x)] for x, gone in ((items[1], (3, 7, 11, 15)), (items[2], (4, 9)), (items[3], (4,)))]
+    texts = [" ".join([f"c{rng.randrange(5000)}" for _ in range(20)] + x) for x in (*every, *some, [])]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: r["item_id"] for r in decontam.find(docs(spark, texts), bench).where("contaminated").collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 1, 5: 2, 6: 3}
+
+
+def test_decontamination_in_blocks_keeps_rows_of_one_id(spark):
+    rng = random.Random(9)
+    items = [passage(rng, 30) for _ in range(3)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    rows = spark.createDataFrame([(1, " ".join(items[0])), (1, " ".join(items[2])), (1, "x"), (None, " ".join(items[1]))], "doc_id long, text string")
+    found = [sorted(map(repr, (tuple(r) for r in decontam.find(rows, bench, most_words=n).collect()))) for n in (400_000, 20)]
+    assert len(found[0]) == 4 and found[0] == found[1]
+
+
 def test_line_dedup_counts_sites(spark):
     texts = [None, "", "only boiler"] + [f"only boiler \nrare {i % 3}\n\nown {i}" for i in range(30)]
     got = {r["doc_id"]: r for r in lines.remove(docs(spark, texts), least_sites=4).collect()}
