@@ -1,7 +1,7 @@
 """Personal data: base patterns, and identifiers found by bootstrapping from their contexts.
 
-Base spans are the seeds. The words before an identifier-like token (one with '@' or several digits) are
-its lexical pattern. Patterns and instances form a graph whose two sides are scored in turn: a pattern by
+Base spans are the seeds. The two words before an identifier-like token (one with '@' or four digits), or
+the start of the text, are its lexical pattern. Patterns and instances form a graph whose two sides are scored in turn: a pattern by
 the mean score of the instances it precedes, an instance by how likely it is that any of its patterns is
 right; seeds score 1. Tokens that no base pattern found but trusted patterns precede become ``ctx`` spans.
 DataFrame functions only.
@@ -27,6 +27,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: A word with an '@' or a digit; tried once at the start of each word.
 TOKEN = rf"(?<![^{_W}])[^{_W}@0-9]*+[@0-9][^{_W}]*+"
+#: Two words that stand for the start of a text, so that its first tokens have a pattern as well.
+_START = "^ ^ "
 
 
 def _digits(value: Column) -> Column:
@@ -51,10 +53,9 @@ def base_spans(text: Column) -> Column:
     return F.concat(*(spans.plain(found[k]) for k in KINDS))
 
 
-def _context(gap: Column) -> Column:
-    """The last two words before a token, digits made alike and letters lower; empty if there are fewer."""
-    words = F.split(F.rtrim(F.translate(F.right(gap, F.lit(100)), "\t\n\x0b\x0c\r", "     ")), "[\\x20]+")
-    return F.when(F.size(words) > 2, F.lower(F.regexp_replace(F.concat_ws(" ", F.slice(words, -2, 2)), "[0-9]", "0"))).otherwise("")
+def _context(before: Column) -> Column:
+    """The last two words before a token, tokens among them, digits made alike and letters lower; a word too long for ``before`` counts by its end."""
+    return F.lower(F.regexp_replace(F.substring_index(F.trim(before), " ", -2), "[0-9]", "0"))
 
 
 def discover(seen: DataFrame, support: int = 3, trust: float = 0.8, rounds: int = 3) -> DataFrame:
@@ -84,12 +85,12 @@ def find(docs: DataFrame, **how) -> DataFrame:
     """doc_id, base (array of spans), spans (base ones and discovered ones). ``how``: the parameters of discover()."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = kit.base_columns(docs).select("doc_id", text.alias("text")).select("doc_id", "text", base_spans(F.col("text")).alias("base"))
-    token = spans.matches(F.col("text"), "token", TOKEN, F.col("text").rlike("[0-9]{4}|[0-9][0-9.-]+[0-9]|@"))
+    token = spans.matches(F.col("text"), "token", TOKEN, F.col("text").rlike(rf"@|[0-9](?:[^{_W}0-9]*+[0-9]){{3}}"), before=100, start=_START)
     token = F.filter(token, lambda x: F.contains(x["value"], F.lit("@")) | (F.length(_digits(x["value"])) >= 4))
     token = F.transform(
         token,
         lambda x: F.struct(
-            x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), _context(x["gap"]).alias("pattern"),
+            x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), _context(x["before"]).alias("pattern"),
             F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])).cast("int").alias("seed"),
         ),
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 SPAN = "struct<kind:string,start:long,end:long,value:string>"
 #: Of so many matches positions are summed one by one; longer lists are summed block by block.
 _BLOCK = 128
+_BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def none() -> Column:
@@ -20,36 +21,40 @@ def none() -> Column:
     return F.expr(f"cast(array() as array<{SPAN}>)")
 
 
-def matches(text: Column, kind: str, pattern: str, gate: Column | None = None) -> Column:
-    """All leftmost non-overlapping matches of ``pattern``, as an array of spans with ``gap`` (the text since the match before).
+def matches(text: Column, kind: str, pattern: str, gate: Column | None = None, before: int = 0, start: str = "") -> Column:
+    """All leftmost non-overlapping matches of ``pattern``, as an array of spans with ``before``, the text that leads to them.
 
     gate: where it is not true nothing is looked for; it must hold for every text with a match.
+    before: how many characters before a match are given, earlier matches included and runs of blanks as one blank
+    start: what stands before the text itself
     """
     # both lists are arguments, not used inside a lambda, where they would be made again for each element
     pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda v, gap: F.struct(gap.alias("gap"), v.alias("value")))
-    spans = F.transform(_placed(pairs), lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["gap"].alias("gap")))
-    none = F.expr("cast(array() as array<struct<kind:string,start:long,end:long,value:string,gap:string>>)")
+    spans = F.transform(_placed(pairs, before, start), lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["before"].alias("before")))
+    none = F.expr("cast(array() as array<struct<kind:string,start:long,end:long,value:string,before:string>>)")
     return F.when(gate, spans).otherwise(none) if gate is not None else spans
 
 
-def _placed(pairs: Column) -> Column:
-    """start and end of each pair (gap, value) that follow one another; the last pair has a gap only. Lists are built in blocks, as growing one long list copies it each time."""
-    item = "struct<start:long,end:long,gap:string,value:string>"
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"cast(array() as array<{item}>)").alias("block"), F.expr(f"cast(array() as array<array<{item}>>)").alias("done"))
+def _placed(pairs: Column, before: int, start: str) -> Column:
+    """start, end and text before of each pair (gap, value) that follow one another; the last pair has a gap only. Lists are built in blocks, as growing one long list copies it each time."""
+    item = "struct<start:long,end:long,before:string,value:string>"
+    first = F.struct(F.lit(0).cast("long").alias("at"), F.lit(start).alias("tail"), F.expr(f"cast(array() as array<{item}>)").alias("block"), F.expr(f"cast(array() as array<array<{item}>>)").alias("done"))
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["value"])
-        new = F.array(F.struct(start.alias("start"), end.alias("end"), x["gap"].alias("gap"), x["value"].alias("value")))
+        lead = F.right(F.concat(acc["tail"], F.regexp_replace(x["gap"], _BLANKS, " ")), F.lit(before)) if before else acc["tail"]
+        tail = F.right(F.concat(lead, x["value"]), F.lit(before)) if before else acc["tail"]
+        new = F.array(F.struct(start.alias("start"), end.alias("end"), lead.alias("before"), x["value"].alias("value")))
         full = F.size(acc["block"]) >= _BLOCK
-        grown = F.struct(end.alias("at"), F.when(full, new).otherwise(F.concat(acc["block"], new)).alias("block"), F.when(full, F.concat(acc["done"], F.array(acc["block"]))).otherwise(acc["done"]).alias("done"))
+        grown = F.struct(end.alias("at"), tail.alias("tail"), F.when(full, new).otherwise(F.concat(acc["block"], new)).alias("block"), F.when(full, F.concat(acc["done"], F.array(acc["block"]))).otherwise(acc["done"]).alias("done"))
         return F.when(x["value"].isNull(), acc).otherwise(grown)
 
     return F.aggregate(pairs, first, add, lambda acc: F.concat(F.flatten(acc["done"]), acc["block"]))
 
 
 def plain(spans: Column) -> Column:
-    """Spans without their gaps."""
+    """Spans without the text before them."""
     return F.transform(spans, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
 
 

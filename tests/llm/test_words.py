@@ -172,6 +172,14 @@ def test_contexts_of_seeds_discover_other_identifiers(spark):
     assert got[9]["spans"] == "ctx:17:33" and got[10]["spans"] == ""
 
 
+def test_contexts_hold_earlier_tokens_and_the_start(spark):
+    mail = [f"user{i}@mail.example.com" for i in range(27)]
+    seeds = [f"please contact me at {m}" for m in mail[:9]] + [f"Room 1{i}, ID: {m} x" for i, m in enumerate(mail[9:18])] + [f"Mail {m}" for m in mail[18:]]
+    texts = ["so contact me at AB12CD34", f"so contact me{' ' * 200}at\n00:1A:2B:3C:4D x", "Room 12, ID: AB1234", "in room 7 12, ID: 12/34/56", "Mail AB1234 x", "mail AB12345 x", "never Mail AB123456 x"]
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(docs(spark, seeds + texts))).collect()}
+    assert [got[i] for i in range(27, 34)] == ["ctx:17:25", "ctx:216:230", "ctx:13:19", "ctx:18:26", "ctx:5:11", "ctx:5:12", ""]
+
+
 def test_secret_base_spans_and_owners(spark):
     got = {r["doc_id"]: r for r in secrets.digest(secrets.find(docs(spark, MIXED))).collect()}
     for i, t in enumerate(MIXED):
