@@ -1,9 +1,9 @@
 """Secret scans: base patterns, and how many repositories and owners hold each candidate.
 
 Every candidate value is hashed and counted over the whole corpus: a document stands for a repository and
-its source for the owner. A value that many owners hold is an example everybody copies; one that few
-owners hold looks live, and its span is added as ``live``. Candidates are the values of base spans and
-long tokens of mixed letters and digits.
+its source for the owner. A value that many owners hold, or many repositories of one owner, is an example
+that is copied; one that few of both hold looks live, and its span is added as ``live``. Candidates are the
+values of base spans and long tokens of mixed letters and digits.
 
 Edge cases: a null or empty text has no spans; repeated rows count as one repository; a null source is one
 owner of its own.
@@ -45,23 +45,29 @@ def _candidates(text: Column, base: Column) -> Column:
     return F.array_distinct(F.concat(of_base, F.transform(long, lambda x: at(x["start"], x["end"], x["value"]))))
 
 
-def find(docs: DataFrame, most_owners: int = 2) -> DataFrame:
-    """doc_id, base, spans, n_live, n_example. A value that over ``most_owners`` owners hold is an example."""
+def find(docs: DataFrame, most_owners: int = 2, most_repositories: int = 10) -> DataFrame:
+    """doc_id, base, spans, n_live, n_example and candidates (start, end, value, repositories and owners that hold the value, example).
+
+    A value is an example if over ``most_owners`` owners hold it, or over ``most_repositories`` repositories of one owner.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = kit.base_columns(docs, F.col("source").cast("string").alias("owner")).select("doc_id", "owner", text.alias("text"))
     rows = rows.select("doc_id", "owner", "text", base_spans(F.col("text")).alias("base"))
     seen = kit.stage(rows.select("doc_id", "owner", "base", _candidates(F.col("text"), F.col("base")).alias("c")).withColumn("row", F.monotonically_increasing_id()))
     each = seen.select("row", "doc_id", "owner", F.explode("c").alias("c")).select("row", "doc_id", "owner", "c.*", F.sha2("c.value", 256).alias("hash"))
     by_owner = each.groupBy("hash", "owner", "doc_id").agg(F.count("*").alias("n")).groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
-    spread = by_owner.groupBy("hash").agg(F.sum("repositories").alias("repositories"), F.count("*").alias("owners"))
+    spread = by_owner.groupBy("hash").agg(F.sum("repositories").alias("repositories"), F.count("*").alias("owners"), F.max("repositories").alias("most"))
+    spread = spread.select("hash", "repositories", "owners", ((F.col("owners") > most_owners) | (F.col("most") > most_repositories)).alias("example"))
     span = F.struct(F.lit("live").alias("kind"), F.col("start"), F.col("end"), F.col("value"))
     of_row = each.join(spread, "hash").groupBy("row").agg(
-        F.sort_array(F.collect_list(F.when(F.col("owners") <= most_owners, span))).alias("live"),
-        F.count_if(F.col("owners") > most_owners).alias("n_example"),
+        F.sort_array(F.collect_list(F.when(~F.col("example"), span))).alias("live"),
+        F.count_if("example").alias("n_example"),
+        F.sort_array(F.collect_list(F.struct("start", "end", "value", "repositories", "owners", "example"))).alias("candidates"),
     )
+    none = F.expr("cast(array() as array<struct<start:long,end:long,value:string,repositories:long,owners:long,example:boolean>>)")
     out = seen.select("row", "doc_id", "base").join(of_row, "row", "left")
     live = F.coalesce("live", spans.none())
-    return out.select("doc_id", "base", spans.ordered(F.concat("base", live), KINDS, kind_first=False).alias("spans"), F.size(live).cast("long").alias("n_live"), F.coalesce("n_example", F.lit(0).cast("long")).alias("n_example"))
+    return out.select("doc_id", "base", spans.ordered(F.concat("base", live), KINDS, kind_first=False).alias("spans"), F.size(live).cast("long").alias("n_live"), F.coalesce("n_example", F.lit(0).cast("long")).alias("n_example"), F.coalesce("candidates", none).alias("candidates"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -73,4 +79,5 @@ def digest(found: DataFrame) -> DataFrame:
         spans.joined(F.col("spans")).alias("spans"),
         "n_live",
         "n_example",
+        F.array_join(F.transform("candidates", lambda x: F.concat_ws(":", x["start"], x["end"], x["repositories"], x["owners"])), ",").alias("candidates"),
     )

@@ -191,6 +191,15 @@ def test_secret_base_spans_and_owners(spark):
     assert got[5]["spans"] == "hex:4:28,live:4:28" and got[5]["n_live"] == 1
 
 
+def test_secrets_copied_within_one_owner_are_examples(spark):
+    copied, own, twice = "0123456789abcdef01234567", "fedcba9876543210fedcba98", "00112233445566778899aabb"
+    rows = [(i, f"key {copied} end", "hot") for i in range(40)] + [(40, f"key {own} end {own}", "hot"), (40, f"key {own} end {own}", "hot")] + [(41 + i, f"key {twice} end", "ab"[i % 2]) for i in range(20)] + [(61, f"key {twice} end", "a")]
+    got = {r["doc_id"]: r for r in secrets.digest(secrets.find(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()}
+    assert all((got[i]["spans"], got[i]["n_live"], got[i]["n_example"], got[i]["candidates"]) == ("hex:4:28", 0, 1, "4:28:40:1") for i in range(40))
+    assert (got[40]["n_live"], got[40]["n_example"], got[40]["candidates"]) == (2, 0, "4:28:1:1,33:57:1:1")
+    assert all((got[i]["n_live"], got[i]["n_example"], got[i]["candidates"]) == (0, 1, "4:28:21:2") for i in range(41, 62))
+
+
 @pytest.mark.parametrize("find", [pii.find, secrets.find])
 def test_no_documents(spark, find):
     assert find(docs(spark, ["x"]).limit(0)).count() == 0
