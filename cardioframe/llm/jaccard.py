@@ -256,11 +256,13 @@ def _pairs(entries: DataFrame, rule: Column | None = None) -> DataFrame:
     return entries.join(other, "key").where(keep if rule is None else keep & rule).select(F.col("c").alias("u"), F.col("c2").alias("v"))
 
 
-def join(docs: DataFrame, small: int = 100, pivots: int = 8, rounds: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links (verified links of the document's class) of each row.
+def join(docs: DataFrame, small: int = 100, pivots: int = 8, rounds: int = 2, count_links: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row, and n_links (how many other documents it is linked to) if they are counted.
 
     small: sets of up to so many shingles index combinations of frequent ones
     pivots: against how many sets of a key the others are verified in a round; rounds: of that
+    count_links: verify all pairs of different sets, those inside a component that is known already included; their
+        number grows with the square of a group's size
     """
     measured = kit.stage(_measure(docs))
     rows = measured.where("block is null").select("doc_id", "n", "d1", "d2")
@@ -274,7 +276,8 @@ def join(docs: DataFrame, small: int = 100, pivots: int = 8, rounds: int = 2) ->
     found = kit.stage(_banded(wide.join(classes.select("d1", "c", "n"), "d1").select("key", "c", "n")))
     kit.drop(wide)
     sets = kit.stage(_sets(docs, classes.join(found.select("c").distinct(), "c", "left_semi")))
-    few, todo = found.where(F.col("m") <= pivots + 1).drop("m"), found.where(F.col("m") > pivots + 1).drop("m")
+    all_pairs = F.lit(True) if count_links else F.col("m") <= pivots + 1
+    few, todo = found.where(all_pairs).drop("m"), found.where(~all_pairs).drop("m")
     many = todo = todo.withColumn("root", F.col("c"))
     checked, links, roots = None, None, None
     for r in range(rounds + 1):
@@ -304,8 +307,14 @@ def join(docs: DataFrame, small: int = 100, pivots: int = 8, rounds: int = 2) ->
     kit.drop(sets)
     named = classes.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    degree = links.select(F.col("u").alias("c")).unionByName(links.select(F.col("v").alias("c"))).groupBy("c").agg(F.count("*").alias("n_links"))
-    of_class = kit.stage(named.join(least, "root").join(degree, "c", "left").select("d1", "d2", "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
+    of_class = named.join(least, "root")
+    if count_links:
+        copies = kit.stage(rows.where("doc_id is not null and n > 0").distinct().groupBy("d1", "d2").agg(F.count("*").alias("copies")).join(classes.select("d1", "d2", "c"), ["d1", "d2"]).select("c", "copies"))
+        ends = links.select(F.col("u").alias("c"), F.col("v").alias("other")).unionByName(links.select(F.col("v").alias("c"), F.col("u").alias("other"))).distinct()
+        near = ends.join(copies.withColumnRenamed("c", "other"), "other").groupBy("c").agg(F.sum("copies").alias("near"))
+        of_class = of_class.join(copies, "c").join(near, "c", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("near", F.lit(0)))
+    more = ["n_links"] if count_links else []
+    of_class = kit.stage(of_class.select("d1", "d2", "component_id", *more))
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     out = rows.join(of_class, ["d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), *(F.when(F.col("doc_id").isNotNull(), F.coalesce(c, F.lit(0).cast("long"))).otherwise(0).alias(c) for c in more))

@@ -137,6 +137,18 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontam.find(docs(spark, texts), bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_jaccard_join_counts_all_links(spark):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join("x" if i == k else w for i, w in enumerate(base)) for k in range(40)] + [" ".join(base)] * 4
+    texts += [" ".join(f"y{rng.randrange(9999)}" for _ in range(30)) for _ in range(5)] + ["", "a b"]
+    sets = [shingles(t) for t in texts]
+    want = {i: sum(bool(a) and i != j and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
+    assert max(want.values()) > 40
+    assert {r["doc_id"]: r["n_links"] for r in jaccard.join(docs(spark, texts), count_links=True).collect()} == want
+    assert "n_links" not in jaccard.join(docs(spark, texts)).columns
+
+
 def best_agree(same, penalty=2):
     """Agreeing words of the best stretch of each row of a table of patterns."""
     total = np.cumsum(np.pad(np.where(same, 1, -penalty), ((0, 0), (1, 0))), axis=1)
