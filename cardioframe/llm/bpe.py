@@ -12,6 +12,7 @@ in a text is that one token; an unpaired byte sequence cannot occur, as texts ar
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -39,10 +40,11 @@ def _byte_letters() -> list[str]:
 class ByteBPE:
     """A byte-level BPE tokenizer read from a file of the tokenizers library.
 
-    known: how many words a worker remembers at most; the memory is emptied beyond that.
+    known: about how many bytes a worker spends at most on words that it remembers; all are forgotten beyond that.
+    block: how many words are taken at a time, so that a very long text is not held as words.
     """
 
-    def __init__(self, path: str, known: int = 300_000):
+    def __init__(self, path: str, known: int = 24 << 20, block: int = 1 << 16):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, letters = spec["model"], _byte_letters()
@@ -55,9 +57,7 @@ class ByteBPE:
             text[i] = bytes(byte_of[c] for c in token)
         for token, i in self.special.items():
             text[i] = token.encode()
-        self.token_len = np.array([len(t) for t in text], np.int64)
-        self.token_at = np.concatenate([[0], np.cumsum(self.token_len)[:-1]])
-        self.token_bytes = np.frombuffer(b"".join(text), np.uint8)
+        self.text, self.digits = _Strings(text), _Strings([b"%d," % i for i in range(size)])
         self.from_byte = np.array([vocab[c] for c in letters], np.int64)
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         keys = np.array([(vocab[a] << 17) | vocab[b] for a, b in merges], np.int64)
@@ -66,16 +66,13 @@ class ByteBPE:
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int64)[order]
         self.cut = regex.compile(PATTERN)
         self.cut_special = regex.compile("|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.most = known
+        self.most, self.block = known, block
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.names: list[str] = []
-        self.ids = np.zeros(1 << 16, np.int64)
-        self.used = 0
-        self.at: list[int] = []
-        self.len: list[int] = []
+        self.held = 0
+        self.ids, self.at, self.len = _Grown(np.int32), _Grown(np.int32), _Grown(np.int32)
         for token, i in self.special.items():  # under a key that no word can have
             self._add([("\0special", token)], np.array([i]), np.array([1]))
 
@@ -111,53 +108,96 @@ class ByteBPE:
         return flat[order], np.bincount(words_of, minlength=len(words))
 
     def _add(self, keys: list, ids: np.ndarray, counts: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.int64)])
-        self.ids[self.used : self.used + len(ids)] = ids
+        self.known.update(zip(keys, range(self.at.n, self.at.n + len(keys)), strict=True))
+        self.at.add(self.ids.n + np.cumsum(counts) - counts)
+        self.len.add(counts)
+        self.ids.add(ids)
+        # a word with its entry in the dictionary takes some 180 bytes beside its characters
+        self.held += 180 * len(keys) + sum(map(len, keys)) + 4 * len(ids)
+
+    def _words(self, text: str) -> Iterator[list]:
+        """The words of a text, in lists of at most ``block``."""
         at = 0
-        text = ids.tolist()
-        for key, n in zip(keys, counts.tolist(), strict=True):
-            self.known[key] = len(self.names)
-            self.names.append(",".join(map(str, text[at : at + n])))
-            self.at.append(self.used + at)
-            self.len.append(n)
-            at += n
-        self.used += len(ids)
-
-    def _words(self, text: str) -> list:
-        if self.cut_special is None or not self.cut_special.search(text):
-            return self.cut.findall(text)
-        out: list = []
-        at = 0
-        for m in self.cut_special.finditer(text):
-            out += self.cut.findall(text[at : m.start()])
-            out.append(("\0special", m.group()))
+        for m in self.cut_special.finditer(text) if self.cut_special else ():
+            yield from self._cut(text[at : m.start()])
+            yield [("\0special", m.group())]
             at = m.end()
-        return out + self.cut.findall(text[at:])
-
-    def encode(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """For each text its ids joined by commas; all ids one after the other; how many each text has."""
-        if len(self.names) > self.most:
-            self._forget()
-        words = [self._words(t) for t in texts]
-        new = list({w for ws in words for w in ws} - self.known.keys())
-        if new:
-            self._add(new, *self.merge([w.encode() for w in new]))
-        known, names = self.known, self.names
-        flat = [[known[w] for w in ws] for ws in words]
-        joined = [",".join([names[i] for i in ws]) for ws in flat]
-        index = np.fromiter((i for ws in flat for i in ws), np.int64, sum(map(len, flat)))
-        at, size = np.array(self.at, np.int64)[index], np.array(self.len, np.int64)[index]
-        ids = self.ids[_ranges(at, size)]
-        of_text = np.repeat(np.arange(len(texts)), [len(ws) for ws in flat])
-        return joined, ids, np.bincount(of_text, size, len(texts)).astype(np.int64)
+        yield from self._cut(text[at:] if at else text)
+
+    def _cut(self, text: str) -> Iterator[list]:
+        if len(text) <= self.block:
+            yield self.cut.findall(text)
+        else:
+            found = self.cut.finditer(text)
+            while part := [m.group() for m in itertools.islice(found, self.block)]:
+                yield part
+
+    def _blocks(self, texts: list[str]) -> Iterator[tuple[list, list[int], list[int]]]:
+        """Words of several texts, or a part of one, and how many of them belong to which text."""
+        words, of, sizes = [], [], []
+        for i, text in enumerate(texts):
+            for part in self._words(text):
+                words += part
+                of.append(i)
+                sizes.append(len(part))
+                if len(words) >= self.block:
+                    yield words, of, sizes
+                    words, of, sizes = [], [], []
+        if words:
+            yield words, of, sizes
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other; how many each text has."""
+        out, total = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
+        for words, of, sizes in self._blocks(texts):
+            if self.held > self.most:
+                self._forget()
+            if new := list(set(words) - self.known.keys()):
+                self._add(new, *self.merge([w.encode() for w in new]))
+            index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            size = self.len.data[index].astype(np.int64)
+            out.append(self.ids.data[_ranges(self.at.data[index].astype(np.int64), size)])
+            total += np.bincount(np.repeat(of, sizes), size, len(texts)).astype(np.int64)
+        return np.concatenate(out), total
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """The texts of rows of ids; special tokens are not skipped."""
-        size = self.token_len[ids]
-        data = self.token_bytes[_ranges(self.token_at[ids], size)].tobytes()
-        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
-        return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)]
+        return [x.decode("utf-8", "replace") for x in self.text.joined(ids, counts)]
+
+    def written(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The decimal ids of each row, joined by commas."""
+        return [x[:-1] for x in self.digits.joined(ids, counts)]
+
+
+class _Strings:
+    """Byte strings one after the other, taken by number."""
+
+    def __init__(self, texts: list[bytes]):
+        self.size = np.array([len(t) for t in texts], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(texts), np.uint8)
+
+    def joined(self, numbers: np.ndarray, counts: np.ndarray, most: int = 1 << 18) -> Iterator[bytes]:
+        """For each row of ``counts`` numbers its strings joined; ``most`` numbers at a time."""
+        ends = np.cumsum(counts)
+        for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
+            parts = [numbers[i : min(b, i + most)] for i in range(a, b, most)]
+            yield b"".join(self.data[_ranges(self.at[p], self.size[p])].tobytes() for p in parts)
+
+
+class _Grown:
+    """An array that others are appended to."""
+
+    def __init__(self, kind: type):
+        self.data, self.n = np.zeros(1 << 12, kind), 0
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.data):
+            more = np.zeros(max(2 * len(self.data), self.n + len(x)), self.data.dtype)
+            more[: self.n] = self.data[: self.n]
+            self.data = more
+        self.data[self.n : self.n + len(x)] = x
+        self.n += len(x)
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -184,16 +224,16 @@ def encode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _tokenizer(path)
+        sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string())
         for piece in kit.pieces(batches):
             texts = piece.texts.to_pylist()
-            joined, flat, counts = bpe.encode(texts)
+            flat, counts = bpe.encode(texts)
             back = bpe.decode(flat, counts)
-            sha = lambda xs: [hashlib.sha256(x.encode()).hexdigest() for x in xs]
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            rows = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32))) if ids else pa.nulls(len(texts), pa.list_(pa.int32()))
+            rows = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)) if ids else pa.nulls(len(texts), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), rows, pa.array(counts), pa.array(sha(joined)), pa.array(sha(back)), pa.array([a == b for a, b in zip(texts, back, strict=True)])],
+                [piece.column("doc_id"), rows, pa.array(counts), sha(bpe.written(flat, counts)), sha(x.encode() for x in back), pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_())],
                 ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256", "same"],
             )
 
-    return kit.base_columns(docs).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean")
+    return kit.map_texts(kit.base_columns(docs), run, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean")

@@ -58,7 +58,7 @@ def _marks(docs: DataFrame, k: int, short: int) -> DataFrame:
             new = np.append(True, (m[1:] != m[:-1]) | (doc[1:] != doc[:-1]))[: len(m)]
             yield pa.RecordBatch.from_arrays([pa.array(kit.signed(m[new])), piece.column("doc_id").take(pa.array(doc[new]))], ["m", "doc_id"])
 
-    return docs.mapInArrow(run, "m long, doc_id long")
+    return kit.map_texts(docs, run, "m long, doc_id long")
 
 
 def _edges(docs: DataFrame, k: int, short: int) -> DataFrame:
@@ -90,7 +90,7 @@ def _edges(docs: DataFrame, k: int, short: int) -> DataFrame:
                 ["e1", "e2", "around", "doc_id", "at"],
             )
 
-    return docs.mapInArrow(run, "e1 long, e2 int, around short, doc_id long, at int")
+    return kit.map_texts(docs, run, "e1 long, e2 int, around short, doc_id long, at int")
 
 
 def spans(docs: DataFrame, k: int = 13, short: int = 5, slices: int = 2) -> DataFrame:
@@ -158,4 +158,4 @@ def remove(docs: DataFrame, k: int = 13, short: int = 5) -> DataFrame:
             )
 
     texts = kit.base_columns(docs).join(of_doc, "doc_id", "left")
-    return texts.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return kit.map_texts(texts, run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

@@ -166,7 +166,7 @@ def scan(docs: DataFrame, index: Index, least_words: int = 13, least_share: floa
                 [*more, "doc_id", "n_hits", "n_overlap", "item_id", "contaminated"],
             )
 
-    return kit.base_columns(docs, *more).mapInArrow(run, "".join(f"{c} long, " for c in more) + "doc_id long, n_hits long, n_overlap long, item_id long, contaminated boolean")
+    return kit.map_texts(kit.base_columns(docs, *more), run, "".join(f"{c} long, " for c in more) + "doc_id long, n_hits long, n_overlap long, item_id long, contaminated boolean")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, most_words: int = 400_000, **how) -> DataFrame:

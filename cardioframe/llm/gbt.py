@@ -93,4 +93,4 @@ def score(docs: DataFrame, trees: Trees) -> DataFrame:
             p = trees.score(stats.matrix(stats.measure(piece), FEATURES))
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return kit.base_columns(docs).mapInArrow(run, "doc_id long, score double, predicted int")
+    return kit.map_texts(kit.base_columns(docs), run, "doc_id long, score double, predicted int")

@@ -9,15 +9,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-PIECE = 2 << 20
+PIECE = 1 << 20
+#: Rows that Spark hands to Python at a time, unless the session says another number: its default of 10,000 texts is tens of MB in each worker and executor.
+ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Random odd multipliers of the hash sums; the seed is fixed, so all tasks and runs agree.
 _RNG = np.random.default_rng(20240229)
 _NEAR, _FAR, _ORDER = (_RNG.integers(1, 2**63, n, dtype=np.uint64) | np.uint64(1) for n in (1 << 16, 1 << 12, 64))
@@ -25,9 +29,11 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder the cluster names in spark.checkpoint.dir; one of its own only in a session on one machine that names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -64,6 +70,14 @@ def base_columns(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def map_texts(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow in batches of ROWS rows. The number is a setting of the session, read when the job runs; one that the user has set stays."""
+    conf = df.sparkSession.conf
+    if conf.get(_ROWS) == "10000":
+        conf.set(_ROWS, str(ROWS))
+    return df.mapInArrow(run, schema)
+
+
 _DRAW = 1 << 30
 
 

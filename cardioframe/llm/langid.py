@@ -96,7 +96,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: floa
                 ["doc_id", "lang_pred", "score", "margin", "rejected"],
             )
 
-    return kit.base_columns(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, margin double, rejected boolean")
+    return kit.map_texts(kit.base_columns(docs), run, "doc_id long, lang_pred string, score double, margin double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float = 0.01) -> DataFrame:
@@ -112,4 +112,4 @@ def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], least_margi
                 keep.append(lang != "und" and margin >= least_margin)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return kit.map_texts(docs, run, schema)
