@@ -5,24 +5,31 @@ words its whole sequence is its one shingle, without words the set is empty. Two
 their sets overlap in at least 80 % of their union.
 
 Equal sets are one class. A sketch of shingle counts over the whole corpus gives each shingle a level of
-frequency, 0 for rare ones; all sets are ordered by level, then by hash. Linked sets share a shingle in their prefixes of
-n - ceil(0.8 n) + 1 shingles, and two shingles in prefixes one longer. Rare prefix shingles are indexed
-alone. Frequent ones are indexed in combinations of two from the longer prefix, in sets of up to ``small``
-shingles; larger sets, whose combinations would be too many, index them alone under a key of their own, as
-do small sets that a larger one can be linked with. Keys are split by set size, as far apart sizes cannot
-be linked. Under a key of few sets all pairs are verified; under others sets are verified against a few
-pivots, what one component holds after that is settled, and only pairs that still lie in two components
-are verified one by one. So each link is found or is a link inside one component.
+frequency, 0 for rare ones; all sets are ordered by level, then by hash. Sets of u and v shingles that are
+linked overlap in a = 4/9 (u + v) at least, so they share a shingle among the first u - a + 1 and v - a + 1,
+and two among one more. Rare prefix shingles are indexed alone. Frequent ones are indexed in combinations of
+two, in sets of up to ``small`` shingles; larger sets, whose combinations would be too many, index them alone
+under a key of their own, as do small sets that a larger one can be linked with. An entry knows its place, so
+it is put only under the narrow bands of sizes for which its place lies in the prefix: for sets of equal size
+that is a ninth of the set, not a fifth.
+
+In a round, sets that share a key are verified against one pivot, the set in which the key comes first, which
+has fewest shingles of its own; of several pivots a set takes the one that it shares most keys with. Then
+only pairs that still lie in two components are verified one by one. So each link is found or is a link
+inside one component. Before whole sets are compared, bitmaps of parities bound how much they differ.
 
 Edge cases: a null text is an empty set; empty sets are linked with nothing, also not with one another;
 rows with a null doc_id have no component and link nothing; repeated rows are equal sets of one class, and
-rows of one doc_id with different texts are judged by their own texts.
+rows of one doc_id with different texts are judged by their own texts; an empty table gives an empty result;
+very long texts are sets like others, held by one task each; of other columns only doc_id and text are read,
+so their names cannot clash; ties between pivots go to the smaller salted number.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +41,8 @@ from .components import components
 
 WORDS, PERCENT = 5, 80
 _CELLS, _BLOCKS = 22, 16
-#: Parts that the shingles of a set are counted in; the smaller counts of two sets bound their overlap.
-_PARTS = 256
+#: Sizes of a band lie within this ratio; sets that can be linked are at most 1.25 apart.
+_BAND = 1.25**0.25
 _TAG = np.uint64(0x9E3779B97F4A7C15)
 #: Orders in which pivots are the first: node ids XOR these.
 _SALTS = tuple(int(x) for x in np.random.default_rng(5).integers(0, 2**62, 64))
@@ -91,7 +98,7 @@ def _measure(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(_BLOCKS), pa.int32()), pa.array(blocks, pa.binary())], names)
 
     names = ["doc_id", "n", "d1", "d2", "block", "counts"]
-    return kit.base_columns(docs).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, block int, counts binary")
+    return kit.map_texts(kit.base_columns(docs), run, "doc_id long, n long, d1 long, d2 long, block int, counts binary")
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -130,8 +137,12 @@ def _levels(measured: DataFrame, spread: int = 32) -> np.ndarray:
     return np.where(excess > 1, 1 + np.log2(np.maximum(excess, 1)), 0).astype(np.uint8)
 
 
-def prefix_keys(doc: np.ndarray, h: np.ndarray, n: int, levels: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray]:
-    """Documents and index keys of their prefixes; doc and h as shingles() gives them."""
+def prefix_keys(doc: np.ndarray, h: np.ndarray, n: int, levels: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, index keys of their longest prefixes, and the place of each; doc and h as shingles() gives them.
+
+    The place of a combination is that of its later shingle less one, as two shingles are shared in a prefix
+    that is longer by one.
+    """
     level = levels[_cells(h)]
     order = np.lexsort((h, level, doc))
     doc, h, hot = doc[order], h[order], level[order] > 0
@@ -142,18 +153,21 @@ def prefix_keys(doc: np.ndarray, h: np.ndarray, n: int, levels: np.ndarray, smal
     within = (place < length[doc]) & (of > 1)  # a set of one shingle is linked with equal sets only
     cold = within & ~hot
     alone = within & hot & (of > small * PERCENT // 100 - 1)
-    docs, keys = [doc[cold], doc[alone]], [h[cold], kit.mix(h[alone] + _TAG)]
+    docs, keys, places = [doc[cold], doc[alone]], [h[cold], kit.mix(h[alone] + _TAG)], [place[cold], place[alone]]
     more = (place <= length[doc]) & hot & (of > 1) & (of <= small)
     for d in np.unique(doc[more & within]):
-        own = np.sort(h[first[d] : first[d + 1]][more[first[d] : first[d + 1]]])
+        at = np.flatnonzero(more[first[d] : first[d + 1]])
+        own = h[first[d] + at]
         i, j = np.triu_indices(len(own), 1)
-        keys.append(kit.mix(own[i] * kit._ORDER[0] + own[j] * kit._ORDER[1]))
+        a, b = np.minimum(own[i], own[j]), np.maximum(own[i], own[j])
+        keys.append(kit.mix(a * kit._ORDER[0] + b * kit._ORDER[1]))
         docs.append(np.full(len(i), d))
-    return np.concatenate(docs), np.concatenate(keys)
+        places.append(at[j] - 1)
+    return np.concatenate(docs), np.concatenate(keys), np.concatenate(places)
 
 
 def _entries(docs: DataFrame, levels: np.ndarray, small: int) -> DataFrame:
-    """key, d1: the index. Equal sets of a piece are indexed once."""
+    """key, d1, at: the index. Equal sets of a piece are indexed once."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,28 +178,37 @@ def _entries(docs: DataFrame, levels: np.ndarray, small: int) -> DataFrame:
             use = np.zeros(piece.n, bool)
             use[once] = True
             doc, h = doc[use[doc]], h[use[doc]]
-            of, key = prefix_keys(doc, h, piece.n, shared.value, small)
-            yield pa.RecordBatch.from_arrays([pa.array(kit.signed(key)), pa.array(d1[of])], ["key", "d1"])
+            of, key, place = prefix_keys(doc, h, piece.n, shared.value, small)
+            yield pa.RecordBatch.from_arrays([pa.array(kit.signed(key)), pa.array(d1[of]), pa.array(place.astype(np.int32))], ["key", "d1", "at"])
+
+    return kit.map_texts(kit.base_columns(docs.where("doc_id is not null")), run, "key long, d1 long, at int")
+
 
-    return kit.base_columns(docs.where("doc_id is not null")).mapInArrow(run, "key long, d1 long")
+def parities(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each document a bitmap of at least four bits a shingle, a power of two, in which a bit says whether an odd number of shingles falls on it: all bitmaps one after the other as 64-bit numbers, and the first of each (n + 1 of them)."""
+    size = np.bincount(doc, minlength=n)
+    bits = np.left_shift(np.int64(64), np.ceil(np.log2(np.maximum(1, size / 16))).astype(np.int64))
+    first = np.concatenate([[0], np.cumsum(bits)])
+    odd = np.bincount(first[doc] + (h & (bits[doc] - 1).astype(np.uint64)).astype(np.int64), minlength=first[-1]) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64), first // 64
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """c, n, tokens and parts (how many tokens fall into each part) of the classes in ``wanted`` (c, doc_id, d1, d2), from the text of one document each; repeated rows give equal rows."""
+    """c, n, tokens and bits (parities()) of the classes in ``wanted`` (c, doc_id, d1, d2), from the text of one document each; repeated rows give equal rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in kit.pieces(batches):
             doc, h = shingles(kit.Words(piece, lower=True))
             n, d1, d2 = _digests(doc, h, piece.n)
             first = np.searchsorted(doc, np.arange(piece.n + 1)).astype(np.int32)
-            part = np.bincount(doc * _PARTS + (h & np.uint64(_PARTS - 1)).astype(np.int64), minlength=piece.n * _PARTS).astype(np.int32)
-            parts = pa.ListArray.from_arrays(pa.array(np.arange(0, len(part) + 1, _PARTS, dtype=np.int32)), pa.array(part))
-            rows = pa.RecordBatch.from_arrays([piece.column("c"), pa.array(n), pa.ListArray.from_arrays(pa.array(first), pa.array(kit.signed(h))), parts], ["c", "n", "tokens", "parts"])
+            bits, begins = parities(doc, h, piece.n)
+            lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x)) for at, x in ((first, kit.signed(h)), (begins, bits))]
+            rows = pa.RecordBatch.from_arrays([piece.column("c"), pa.array(n), *lists], ["c", "n", "tokens", "bits"])
             same = (d1 == piece.column("d1").to_numpy()) & (d2 == piece.column("d2").to_numpy())
             yield rows.filter(pa.array(same))
 
     texts = kit.base_columns(docs).join(wanted.select("doc_id", "c", "d1", "d2"), "doc_id")
-    return texts.mapInArrow(run, "c long, n long, tokens array<long>, parts array<int>")
+    return kit.map_texts(texts, run, "c long, n long, tokens array<long>, bits array<long>")
 
 
 def _fits(a: Column, b: Column) -> Column:
@@ -198,20 +221,23 @@ def _linked(common: Column, both: Column) -> Column:
     return 100 * common >= PERCENT * (both - common)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """u, v and linked of pairs u, v of classes, by their whole sets.
+def _differ(x: Column, y: Column) -> Column:
+    """In how many bits two bitmaps differ, at most as many as shingles lie in one set only. The longer one, if it is, is twice as long and folded."""
+    xor = lambda a, b: F.zip_with(a, b, lambda p, q: p.bitwiseXOR(q))
+    folded = lambda a, n: F.when(F.size(a) == n, a).otherwise(xor(F.slice(a, 1, n), F.slice(a, n + 1, n)))
+    n = F.least(F.size(x), F.size(y))
+    return F.aggregate(xor(folded(x, n), folded(y, n)), F.lit(0), lambda a, w: a + F.bit_count(w))
 
-    Pairs whose counts by part already bound the overlap too low are settled first, so that whole sets move
-    only for pairs that can be linked.
-    """
+
+def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v of those pairs u, v of classes whose sets are linked. Pairs whose bitmaps differ in too many bits are settled first, so that whole sets move only for pairs that can be linked."""
 
     def side(df: DataFrame, name: str, what: str) -> DataFrame:
         return df.select(F.col("c").alias(name), F.col("n").alias(f"n{name}"), F.col(what).alias(f"x{name}"))
 
     both = F.col("nu") + F.col("nv")
-    near = pairs.join(side(sets, "u", "parts"), "u").join(side(sets, "v", "parts"), "v")
-    bound = F.aggregate(F.zip_with("xu", "xv", lambda a, b: F.least(a, b)), F.lit(0), lambda a, x: a + x)
-    near = kit.stage(near.where(_linked(bound.cast("long"), both)).select("u", "v").distinct())
+    near = pairs.join(side(sets, "u", "bits"), "u").join(side(sets, "v", "bits"), "v")
+    near = kit.stage(near.where(9 * _differ(F.col("xu"), F.col("xv")) <= both).select("u", "v").distinct())
     needed = near.select(F.col("u").alias("c")).unionByName(near.select(F.col("v").alias("c"))).distinct()
     few = kit.stage(sets.select("c", "n", "tokens").join(needed, "c", "left_semi"))
     common = F.size(F.array_intersect("xu", "xv")).cast("long")
@@ -230,38 +256,67 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
 
 
+def _overlap(n: Column, m: Column) -> Column:
+    """The least overlap that links sets of n and m shingles."""
+    return F.ceil(F.lit(PERCENT) * (n + m) / (100 + PERCENT))
+
+
 def _banded(entries: DataFrame) -> DataFrame:
-    """Keys made narrower by set size, with m, how many sets share each: sizes that can be linked lie in one band or two neighbouring ones, so each set is put into its own and the next.
+    """Keys made narrower by set size, with ``lesser``: whether the entry's place is in the prefix for sets at least as large as its own.
 
-    Sets alone under a key are left out, and of keys with the same sets one stays, as the others would only
-    find the same pairs.
+    An entry lies under the band of its own size and under those of the smaller sets for which its place is in
+    the prefix; so linked sets meet in the band of the smaller one. Keys without two sets, one of them lesser,
+    are left out, and of keys with the same sets one stays, as the others would only find the same pairs.
     """
-    band = F.floor(F.log("n") / F.log(F.lit(1.2501)))
-    both = entries.select(F.explode(F.array(band, band + 1)).alias("band"), "key", "c", "n").select(F.xxhash64("key", "band").alias("key"), "c", "n")
-    alike = both.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y")).where("m > 1")
-    return both.join(alike.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key", "m"), "key")
+    log = float(np.log(_BAND))
+    band = lambda n: F.floor(F.log(n.cast("double")) / log).cast("int")
+    least = F.ceil(F.lit(PERCENT) * F.col("n") / 100)
+    lowest = lambda b: F.greatest(least, F.ceil(F.pow(F.lit(_BAND), b) - 1e-6))
+    fit = F.filter(F.sequence(band(least), band(F.col("n"))), lambda b: F.col("at") <= F.col("n") - _overlap(F.col("n"), F.least(F.col("n"), lowest(b))))
+    lesser = (F.col("band") == band(F.col("n"))) & (F.col("at") <= F.col("n") - _overlap(F.col("n"), F.col("n")))
+    each = entries.select("key", "c", "n", "at", F.explode(fit).alias("band")).select(F.xxhash64("key", "band").alias("key"), "c", "n", "at", lesser.alias("lesser"))
+    alike = each.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.bool_or("lesser").alias("some"), F.bit_xor(F.xxhash64("c", "lesser")).alias("x"), F.bit_xor(F.xxhash64("c", "lesser", F.lit(1))).alias("y"))
+    kept = alike.where("a < b and some").groupBy("a", "b", "x", "y").agg(F.min("key").alias("key")).select("key")
+    return each.join(kept, "key", "left_semi")
+
 
+def _within(n: str, at: str, m: str, at_m: str) -> Column:
+    """The sizes can be linked, and both places lie in the prefixes for them."""
+    a = _overlap(F.col(n), F.col(m))
+    return _fits(F.col(n), F.col(m)) & (F.col(at) <= F.col(n) - a) & (F.col(at_m) <= F.col(m) - a)
 
-def _once(entries: DataFrame, most: int = 16) -> DataFrame:
-    """entries with ``low``, the first keys of each class: a pair that shares one of them is made under the first such key only."""
-    low = entries.groupBy("c").agg(F.slice(F.sort_array(F.collect_list("key")), 1, most).alias("low"))
-    return entries.join(low, "c")
 
+def _pairs(entries: DataFrame, count_links: bool, most: int = 16) -> DataFrame:
+    """u, v: a class whose entry is lesser, and one at least as large under the same key, of sizes that can be linked, in two components unless links are counted.
 
-def _pairs(entries: DataFrame, rule: Column | None = None) -> DataFrame:
-    """u, v: different classes under one key whose sizes fit; entries have key, c, n, low. rule: compares columns of the one with those of the other, which are named with a 2."""
-    other = entries.select("key", *(F.col(c).alias(f"{c}2") for c in entries.columns if c != "key"))
+    most: a pair is made under the first of the keys that it shares, as far as the first ``most`` keys of both tell.
+    Places are not compared here: of keys with the same sets, which have other places, one has been kept.
+    """
+    first = lambda rows, name: rows.groupBy("c").agg(F.slice(F.sort_array(F.collect_list("key")), 1, most).alias(name))
+    lesser = entries.where("lesser").join(first(entries.where("lesser"), "low"), "c").select("key", "c", "n", "root", "low")
+    other = entries.join(first(entries, "low2"), "c").select("key", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("root").alias("root2"), "low2")
     both = F.array_intersect("low", "low2")
-    keep = (F.col("c") < F.col("c2")) & _fits(F.col("n"), F.col("n2")) & ((F.size(both) == 0) | (F.array_min(both) == F.col("key")))
-    return entries.join(other, "key").where(keep if rule is None else keep & rule).select(F.col("c").alias("u"), F.col("c2").alias("v"))
+    larger = (F.col("n") < F.col("n2")) | (F.col("n") == F.col("n2")) & (F.col("c") < F.col("c2"))
+    rule = F.lit(True) if count_links else F.col("root") != F.col("root2")
+    keep = rule & larger & _fits(F.col("n"), F.col("n2")) & ((F.size(both) == 0) | (F.array_min(both) == F.col("key")))
+    return lesser.join(other, "key").where(keep).select(F.col("c").alias("u"), F.col("c2").alias("v"))
+
+
+def _to_pivots(entries: DataFrame, salt: int) -> DataFrame:
+    """u, v: classes and the pivot that each shares most keys with, of those in another component."""
+    first = entries.groupBy("key").agg(F.min(F.struct("at", F.col("c").bitwiseXOR(F.lit(salt)).alias("x"), "n", "root")).alias("p"))
+    pivot = first.select("key", F.col("p.x").bitwiseXOR(F.lit(salt)).alias("c2"), F.col("p.n").alias("n2"), F.col("p.at").alias("at2"), F.col("p.root").alias("root2"))
+    met = entries.join(pivot, "key").where((F.col("root") != F.col("root2")) & _within("n", "at", "n2", "at2"))
+    votes = met.groupBy("c", "c2").agg(F.count("*").alias("votes"))
+    return votes.groupBy("c").agg(F.max(F.struct("votes", "c2")).alias("p")).select(F.col("c").alias("u"), F.col("p.c2").alias("v"))
 
 
-def join(docs: DataFrame, small: int = 100, pivots: int = 8, rounds: int = 2, count_links: bool = False) -> DataFrame:
+def join(docs: DataFrame, small: int = 100, rounds: int = 2, count_links: bool = False) -> DataFrame:
     """doc_id, n_shingles and component_id of each row, and n_links (how many other documents it is linked to) if they are counted.
 
     small: sets of up to so many shingles index combinations of frequent ones
-    pivots: against how many sets of a key the others are verified in a round; rounds: of that
-    count_links: verify all pairs of different sets, those inside a component that is known already included; their
+    rounds: how often sets are verified against pivots before pairs are
+    count_links: verify all pairs of different sets that can be linked, those inside a component included; their
         number grows with the square of a group's size
     """
     measured = kit.stage(_measure(docs))
@@ -271,46 +326,31 @@ def join(docs: DataFrame, small: int = 100, pivots: int = 8, rounds: int = 2, co
     classes = kit.stage(classes.withColumn("c", F.monotonically_increasing_id()))
     entries = kit.stage(_entries(docs, levels, small))
     shared = kit.stage(entries.groupBy("key").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a <> b").select("key"))
-    wide = kit.stage(entries.join(shared, "key").select("key", "d1").distinct())
+    wide = kit.stage(entries.join(shared, "key").groupBy("key", "d1").agg(F.min("at").alias("at")))
     kit.drop(entries, shared)
-    found = kit.stage(_banded(wide.join(classes.select("d1", "c", "n"), "d1").select("key", "c", "n")))
+    found = kit.stage(_banded(wide.join(classes.select("d1", "c", "n"), "d1").select("key", "c", "n", "at")))
     kit.drop(wide)
     sets = kit.stage(_sets(docs, classes.join(found.select("c").distinct(), "c", "left_semi")))
-    all_pairs = F.lit(True) if count_links else F.col("m") <= pivots + 1
-    few, todo = found.where(all_pairs).drop("m"), found.where(~all_pairs).drop("m")
-    many = todo = todo.withColumn("root", F.col("c"))
-    checked, links, roots = None, None, None
+    todo, checked, links, roots = found.withColumn("root", F.col("c")), [], [], None
+    rounds = 0 if count_links else rounds
     for r in range(rounds + 1):
+        pairs = _ordered(_to_pivots(todo, _SALTS[r]) if r < rounds else _pairs(todo, count_links))
+        pairs = kit.stage(pairs.join(reduce(DataFrame.unionByName, checked), ["u", "v"], "left_anti") if checked else pairs)
+        links.append(_verify(pairs, sets))
+        checked.append(pairs)
+        roots = components(reduce(DataFrame.unionByName, links)).select(F.col("node").alias("c"), "root")
         if r < rounds:
-            salts = _SALTS[r * pivots : (r + 1) * pivots]
-            first = todo.groupBy("key").agg(*(F.min(F.col("c").bitwiseXOR(F.lit(s))).alias(f"m{i}") for i, s in enumerate(salts)))
-            pivot = first.select("key", F.explode(F.array_distinct(F.array(*(F.col(f"m{i}").bitwiseXOR(F.lit(s)) for i, s in enumerate(salts))))).alias("p"))
-            pivot = pivot.join(todo.select("key", F.col("c").alias("p"), F.col("n").alias("np"), F.col("root").alias("rp")), ["key", "p"])
-            pairs = todo.join(pivot, "key").where(_fits(F.col("n"), F.col("np")) & (F.col("root") != F.col("rp"))).select(F.col("c").alias("u"), F.col("p").alias("v"))
-        else:
-            todo = kit.stage(_once(todo))
-            pairs = _pairs(todo, F.col("root") != F.col("root2"))
-        if r == 0:
-            few = kit.stage(_once(few))
-            pairs = pairs.unionByName(_pairs(few))
-        pairs = _ordered(pairs)
-        pairs = kit.stage(pairs if checked is None else pairs.join(checked, ["u", "v"], "left_anti"))
-        now = _verify(pairs, sets)
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        links = now if links is None else links.unionByName(now)
-        roots = components(links).select(F.col("node").alias("c"), "root")
-        if r == rounds:
-            break
-        todo = kit.stage(_open(many.drop("root").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))))
-        if todo.isEmpty():
-            break
+            todo = kit.stage(_open(found.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))))
+            if todo.isEmpty():
+                break
     kit.drop(sets)
     named = classes.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = named.join(least, "root")
     if count_links:
         copies = kit.stage(rows.where("doc_id is not null and n > 0").distinct().groupBy("d1", "d2").agg(F.count("*").alias("copies")).join(classes.select("d1", "d2", "c"), ["d1", "d2"]).select("c", "copies"))
-        ends = links.select(F.col("u").alias("c"), F.col("v").alias("other")).unionByName(links.select(F.col("v").alias("c"), F.col("u").alias("other"))).distinct()
+        linked = reduce(DataFrame.unionByName, links)
+        ends = linked.select(F.col("u").alias("c"), F.col("v").alias("other")).unionByName(linked.select(F.col("v").alias("c"), F.col("u").alias("other"))).distinct()
         near = ends.join(copies.withColumnRenamed("c", "other"), "other").groupBy("c").agg(F.sum("copies").alias("near"))
         of_class = of_class.join(copies, "c").join(near, "c", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("near", F.lit(0)))
     more = ["n_links"] if count_links else []

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -67,6 +68,31 @@ def test_jaccard_join_finds_all_groups(spark, seed):
     assert got == groups(list(enumerate(texts)))
 
 
+def test_pairs_of_a_large_group_of_near_copies_stay_few(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base)]
+    for _ in range(5000):
+        own = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            own[rng.randrange(120)] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(own))
+    made, verify = [], jaccard._verify
+    monkeypatch.setattr(jaccard, "_verify", lambda pairs, sets: made.append(pairs.count()) or verify(pairs, sets))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs(spark, texts)).collect()}
+    near = [i for i, t in enumerate(texts) if 100 * len(shingles(t) & shingles(texts[0])) >= 80 * len(shingles(t) | shingles(texts[0]))]
+    assert len(near) > 1000 and {got[i] for i in near} == {0}
+    assert sum(made) < 8 * len(texts)
+
+
+def test_jaccard_join_of_very_long_texts_and_other_columns(spark):
+    rng = random.Random(13)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(120_000)]
+    texts = [" ".join(long), " ".join(long[:110_000]), " ".join(long[:90_000]), "a" * 300_000, "a" * 300_000]
+    rows = docs(spark, texts).selectExpr("*", "'k' as key", "1 as c", "2 as root", "3 as component_id", "4 as at", "5 as d1")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(rows).collect()} == groups(list(enumerate(texts)))
+
+
 def test_jaccard_join_of_null_ids_repeated_rows_and_nothing(spark):
     df = spark.createDataFrame([(None, "a b c"), (3, "a b c"), (3, "a b c"), (7, "A b c"), (8, None)], "doc_id long, text string")
     got = collections.Counter((r["doc_id"], r["component_id"]) for r in jaccard.join(df).collect())
@@ -227,10 +253,23 @@ def test_bpe_agrees_with_the_library(spark):
 
 
 def test_bpe_forgets_when_it_knows_too_much():
-    coder = bpe.ByteBPE(tokenizer_path(), known=50)
     texts = [t or "" for t in BPE_TEXTS]
-    whole = bpe.ByteBPE(tokenizer_path()).encode(texts)[0]
-    assert [coder.encode([t])[0][0] for t in texts] == whole
+    flat, counts = bpe.ByteBPE(tokenizer_path()).encode(texts)
+    for how in ({"known": 5000}, {"block": 7}):
+        coder = bpe.ByteBPE(tokenizer_path(), **how)
+        one = [coder.encode([t]) for t in texts]
+        assert np.concatenate([x[0] for x in one]).tolist() == flat.tolist() and [int(x[1][0]) for x in one] == counts.tolist()
+
+
+def test_bpe_memory_of_words_is_bounded():
+    coder = bpe.ByteBPE(tokenizer_path(), known=1 << 20)
+    rng = random.Random(2)
+    tracemalloc.start()
+    for _ in range(40):  # 200 KB of words each, all different
+        coder.encode([" ".join("%040x" % rng.getrandbits(160) for _ in range(50)) for _ in range(100)])
+        assert coder.held < 4 << 20
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
 
 
 def test_pipeline_stages(spark, tmp_path):
