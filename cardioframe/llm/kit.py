@@ -86,14 +86,18 @@ def draw(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(_DRAW))
 
 
+def cut(most: int, total: int) -> int:
+    """The draw() under which about 1.5 times ``most`` of ``total`` rows lie, and some twenty more."""
+    return int(min(1.0, 1.5 * most / max(1, total) + 20 / max(1, total)) * _DRAW)
+
+
 def drawn(rows: DataFrame, most: int, total: int, *columns: str) -> DataFrame:
     """The ``most`` of ``total`` rows with the smallest draw(); ties by the columns.
 
     Rows far over the expected cut are left out before the limit, so a task hands on about its share of the
     sample and not ``most`` rows, however many tasks there are.
     """
-    share = min(1.0, 1.5 * most / max(1, total) + 20 / max(1, total))
-    return rows.where(draw(*columns) <= int(share * _DRAW)).orderBy(draw(*columns), *columns).limit(most)
+    return rows.where(draw(*columns) <= cut(most, total)).orderBy(draw(*columns), *columns).limit(most)
 
 
 class Piece:

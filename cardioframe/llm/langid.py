@@ -4,25 +4,30 @@ For each language a zstandard raw-content dictionary holds text known to be in i
 every dictionary; the smallest encoding names the language, and narrow margins are rejected. Long texts are
 encoded in blocks, each with the dictionary alone before it, and the sizes of all blocks are added up: else
 the text's own history would take over from the dictionary and margins would shrink as texts get longer.
+All texts are encoded with the same settings.
 
-Edge cases: a null text, and one without a letter, are ``und`` with score 0 and rejected. Where encodings
-are equally small, the language that comes first in the alphabet is taken, with margin 0. Without any training text everything is ``und``.
+Edge cases: a null text, and one without a letter (of Unicode's class L), are ``und`` with score 0 and
+rejected. Where encodings are equally small, the language that comes first in the alphabet is taken, with
+margin 0. Without any training text everything is ``und``; an empty table gives an empty result; repeated rows
+are judged alike; very long texts are encoded whole, block by block. identify() reads doc_id and text only and
+keep_identified() hands all columns on as they are, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kit
 
-_LETTER = re.compile(r"[^\W\d_]")
-_REST = re.compile(r"[\W\d_]+")
+_LETTER = regex.compile(r"\p{L}")
+#: All but letters and the marks that go with them.
+_REST = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def _plain(text: str) -> bytes:
@@ -37,46 +42,42 @@ def train(docs: DataFrame, labelled: Column, texts: int = 60, size: int = 110 <<
     size: bytes of a dictionary; each text adds an equal share from its middle, so that no text fills it
     most_languages: more labels than that are an error, as the dictionaries would outgrow a task
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), labelled.alias("use")).where("use and lang is not null and lang <> '' and lang <> 'und' and text is not null")
-    langs = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(most_languages + 1).collect()}
-    if len(langs) > most_languages:
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), labelled.alias("use"))
+    rows = named.where("use and lang is not null and lang <> '' and lang <> 'und' and text is not null").select("doc_id", "text", "lang")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(most_languages + 1).collect()
+    if len(counts) > most_languages:
         raise ValueError(f"over {most_languages} languages")
-    out = {}
+    if not counts:
+        return {}
+    # rows far over a language's cut go before any is ranked, so about 1.5 * texts rows of each language meet
+    cuts = docs.sparkSession.createDataFrame([(r["lang"], kit.cut(texts, r["n"])) for r in counts], "lang string, cut long")
+    key = kit.draw("doc_id", "text")
+    ranked = rows.join(F.broadcast(cuts), "lang").where(key <= F.col("cut")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(key, "doc_id", "text"))).where(F.col("k") <= texts)
+    # the middle of each text only: 4 bytes a character at most, cut before it leaves the executor
     share = size // max(1, texts)
-    for lang in langs:
-        # the middle of each text only: 4 bytes a character at most, cut before it leaves the executor
-        middle = F.expr(f"substr(text, cast(greatest(1, length(text) div 2 - {share // 2}) as int), {share})")
-        found = kit.drawn(rows.where(F.col("lang") == lang), texts, langs[lang], "doc_id", "text").select(middle.alias("m")).collect()
-        out[lang] = b"".join(_plain(r["m"]) for r in found)[:size]
+    middle = F.expr(f"substr(text, cast(greatest(1, length(text) div 2 - {share // 2}) as int), {share})")
+    out: dict[str, bytes] = {}
+    for r in ranked.select("lang", "k", middle.alias("m")).orderBy("lang", "k").collect():
+        out[r["lang"]] = (out.get(r["lang"], b"") + _plain(r["m"]))[:size]
     return {k: v for k, v in out.items() if v}
 
 
 class Classifier:
-    def __init__(self, dictionaries: dict[str, bytes], levels: tuple = ((1024, 12, 3), (4096, 6, 0), (1 << 62, 3, 0)), block: int = 16 << 10):
-        """levels: up to how many bytes which zstandard level and shortest match are used; slow ones tell short texts apart better.
-
-        block: bytes that are encoded at a time; the whole text is, block after block
-        """
-        self.langs, self.block = sorted(dictionaries), block
-
-        def coders(at: int, match: int) -> list[zstandard.ZstdCompressor]:
-            out = []
-            for x in self.langs:
-                d = zstandard.ZstdCompressionDict(dictionaries[x], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                how = zstandard.ZstdCompressionParameters.from_level(at, dict_size=len(dictionaries[x]), min_match=match, write_content_size=False, write_checksum=False, write_dict_id=False)
-                d.precompute_compress(compression_params=how)
-                out.append(zstandard.ZstdCompressor(compression_params=how, dict_data=d))
-            return out
-
-        self.coders = [(below, coders(at, match)) for below, at, match in levels]
+    def __init__(self, dictionaries: dict[str, bytes], level: int = 12, least_match: int = 3, block: int = 16 << 10):
+        """level, least_match: of zstandard, for all texts; block: bytes that are encoded at a time; the whole text is, block after block."""
+        self.langs, self.block, self.coders = sorted(dictionaries), block, []
+        for x in self.langs:
+            d = zstandard.ZstdCompressionDict(dictionaries[x], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            how = zstandard.ZstdCompressionParameters.from_level(level, source_size=block, dict_size=len(dictionaries[x]), min_match=least_match, write_content_size=False, write_checksum=False, write_dict_id=False)
+            d.precompute_compress(compression_params=how)
+            self.coders.append(zstandard.ZstdCompressor(compression_params=how, dict_data=d))
 
     def __call__(self, text: str | None) -> tuple[str, float, float]:
         """The language, a score from 0 to 1 and the margin: how much smaller the smallest encoding is than the next."""
         if not text or not self.langs or not _LETTER.search(text):
             return "und", 0.0, 0.0
         data = _plain(text)
-        blocks = [data[at : at + self.block] for at in range(0, len(data), self.block)]
-        sizes = [sum(len(c.compress(b)) for b in blocks) for c in next(cs for below, cs in self.coders if len(data) < below)]
+        sizes = [sum(len(c.compress(data[at : at + self.block])) for at in range(0, len(data), self.block)) for c in self.coders]
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
         best = sizes[order[0]]
         score = 1 / sum(2.0 ** -min(60, s - best) for s in sizes)
