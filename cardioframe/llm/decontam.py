@@ -6,11 +6,13 @@ side by side and the stretch that agrees best, substitutions included, is measur
 
 The masks leave no gap: two texts side by side in which no mask fits have a best stretch of four agreeing
 words at most (with a penalty of two or more for a substitution), so each passage that scan() accepts by
-five words or more is laid side by side. Items of five words, of which four are enough, have a mask of four.
+five words or more is laid side by side. Items of five words, of which four are enough, have a mask of
+four; of shorter items the share asks for every word, so each has one mask of all its words.
 
 Words are compared in lower case (A-Z) and without ASCII punctuation. Edge cases: a null or empty text is
-clean; an item of fewer than five words is not looked for; repeated items count once each, the smallest id
-names a tie.
+clean; an item without a word is found nowhere, any other is looked for; repeated items count once each, the
+smallest id names a tie; repeated rows are judged alike; an empty table gives an empty result; very long texts
+are compared whole; of other columns only doc_id and text are read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -20,15 +22,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kit
 
 #: 1: the word at this place is compared; 0: it may be anything.
-MASKS = ("11111", "111011", "110111", "111101", "101111", "1111")
-#: The mask of items of so few words that no other one has room to miss a word.
-_SHORT, _SHORT_WORDS = len(MASKS) - 1, 5
+MASKS = ("11111", "111011", "110111", "111101", "101111", "1111", "111", "11", "1")
+#: How many masks, the first ones, longer items have; an item of up to five words has the one that is given here.
+_LONG = 5
+_SHORT = {5: 5, 4: 5, 3: 6, 2: 7, 1: 8}
 _TABLE_BITS = 22
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[b for b in range(33, 127) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122)]] = True
@@ -77,7 +81,8 @@ class Index:
             for m, shape in enumerate(MASKS):
                 at, h = _seeds(words, hashes, m)
                 item = words.doc[at]
-                use = (words.count[item] >= _SHORT_WORDS) & ((words.count[item] == _SHORT_WORDS) == (m == _SHORT))
+                n = words.count[item]
+                use = n > max(_SHORT) if m < _LONG else np.isin(n, [k for k, own in _SHORT.items() if own == m])
                 seeds.append((h[use], base + item[use], (at - words.first[item])[use], np.full(use.sum(), m)))
         h, item, at, mask = (np.concatenate(x) for x in zip(*seeds, strict=True)) if seeds else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
         order = np.argsort(h, kind="stable")
@@ -134,14 +139,13 @@ def _best_stretch(same: np.ndarray, penalty: int) -> tuple[int, int, int]:
     return start, end, int(same[start:end].sum())
 
 
-def scan(docs: DataFrame, index: Index, least_words: int = 13, least_share: float = 0.8, penalty: int = 2, row: str | None = None) -> DataFrame:
-    """doc_id, n_hits (places laid side by side), n_overlap (words that agree in the best stretch), item_id, contaminated, for the items of one index.
+def scan(docs: DataFrame, shared: Broadcast, least_words: int = 13, least_share: float = 0.8, penalty: int = 2, row: str | None = None) -> DataFrame:
+    """doc_id, n_hits (places laid side by side), n_overlap (words that agree in the best stretch), item_id, contaminated, for the items of one index, which is broadcast.
 
     A stretch counts with ``least_words`` words that agree, or with ``least_share`` of an item's words.
     row: a column of longs that is handed on
     """
     more = [row] if row else []
-    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idx = shared.value
@@ -153,7 +157,13 @@ def scan(docs: DataFrame, index: Index, least_words: int = 13, least_share: floa
             hits += np.bincount(beside[:, 2], minlength=piece.n)
             # a stretch has no more agreeing words than the whole diagonal
             agree = idx.agreeing(words, hashes, beside)
-            for item, at, doc in beside[(agree >= least_words) | (agree >= least_share * idx.size[beside[:, 0]])].tolist():
+            able = (agree >= least_words) | (agree >= least_share * idx.size[beside[:, 0]])
+            beside, agree = beside[able], agree[able]
+            # those that agree most come first, so most others cannot be better and are passed over
+            order = np.lexsort((beside[:, 0], -agree, beside[:, 2]))
+            for (item, at, doc), most in zip(beside[order].tolist(), agree[order].tolist(), strict=True):
+                if most < best[doc] or most == best[doc] and found[doc] >= 0 and idx.ids[item] >= idx.ids[found[doc]]:
+                    continue
                 own = idx.items[item]
                 lo, hi = max(at, words.first[doc]), min(at + len(own), words.first[doc + 1])
                 _, _, agree = _best_stretch(hashes[lo:hi] == own[lo - at : hi - at], penalty)
@@ -173,8 +183,9 @@ def find(docs: DataFrame, benchmark: DataFrame, most_words: int = 400_000, **how
     """What scan() returns for the whole benchmark, a row for each document.
 
     most_words: an index that is broadcast has about so many words at most (some 100 bytes each); a larger
-    benchmark is taken in blocks of that size, one pass over the documents for each, and the passes are
-    merged row by row; for that, documents are staged once with a number for each row.
+    benchmark is taken in blocks of that size, one after the other, so the driver holds one of them: a pass
+    over the documents for each, staged, and the passes are merged row by row; for that, documents are staged
+    once with a number for each row.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.size(F.split("text", "[\\x20\\x09-\\x0D]+"))), F.lit(0)).alias("n")).first()["n"]
@@ -185,9 +196,12 @@ def find(docs: DataFrame, benchmark: DataFrame, most_words: int = 400_000, **how
     passes = []
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        passes.append(scan(docs, Index([r["item_id"] for r in rows], [r["text"] for r in rows]), **how))
-    if blocks == 1:
-        return passes[0]
+        shared = docs.sparkSession.sparkContext.broadcast(Index([r["item_id"] for r in rows], [r["text"] for r in rows]))
+        found = scan(docs, shared, **how)
+        if blocks == 1:
+            return found
+        passes.append(kit.stage(found))
+        shared.destroy()
     best = F.max(F.when(F.col("contaminated"), F.struct("n_overlap", (-F.col("item_id")).alias("i"))))
     merged = reduce(DataFrame.unionByName, passes).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("n_hits").alias("n_hits"), best.alias("b"))
     return merged.select("doc_id", "n_hits", F.coalesce("b.n_overlap", F.lit(0).cast("long")).alias("n_overlap"), (-F.col("b.i")).alias("item_id"), F.col("b").isNotNull().alias("contaminated"))
