@@ -7,7 +7,9 @@ right; seeds score 1. Tokens that no base pattern found but trusted patterns pre
 DataFrame functions only.
 
 Edge cases: a null or empty text has no spans; repeated rows get the spans of their own text each; without
-trusted patterns only base spans are there.
+trusted patterns only base spans are there; ties don't arise, as all scores over the bound count; an empty
+table gives an empty result; very long texts are searched whole, by patterns that don't backtrack; of other
+columns none is read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -54,8 +56,8 @@ def base_spans(text: Column) -> Column:
 
 
 def _context(before: Column) -> Column:
-    """The last two words before a token, tokens among them, digits made alike and letters lower; a word too long for ``before`` counts by its end."""
-    return F.lower(F.regexp_replace(F.substring_index(F.trim(before), " ", -2), "[0-9]", "0"))
+    """The last two words before a token, tokens among them, digits made alike and letters lower."""
+    return F.lower(F.regexp_replace(F.trim(before), "[0-9]", "0"))
 
 
 def discover(seen: DataFrame, support: int = 3, trust: float = 0.8, rounds: int = 3) -> DataFrame:
@@ -85,7 +87,7 @@ def find(docs: DataFrame, **how) -> DataFrame:
     """doc_id, base (array of spans), spans (base ones and discovered ones). ``how``: the parameters of discover()."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = kit.base_columns(docs).select("doc_id", text.alias("text")).select("doc_id", "text", base_spans(F.col("text")).alias("base"))
-    token = spans.matches(F.col("text"), "token", TOKEN, F.col("text").rlike(rf"@|[0-9](?:[^{_W}0-9]*+[0-9]){{3}}"), before=100, start=_START)
+    token = spans.matches(F.col("text"), "token", TOKEN, F.col("text").rlike(rf"@|[0-9](?:[^{_W}0-9]*+[0-9]){{3}}"), before=2, start=_START)
     token = F.filter(token, lambda x: F.contains(x["value"], F.lit("@")) | (F.length(_digits(x["value"])) >= 4))
     token = F.transform(
         token,

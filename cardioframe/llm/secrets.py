@@ -6,7 +6,8 @@ that is copied; one that few of both hold looks live, and its span is added as `
 values of base spans and long tokens of mixed letters and digits.
 
 Edge cases: a null or empty text has no spans; repeated rows count as one repository; a null source is one
-owner of its own.
+owner of its own; an empty table gives an empty result; very long texts are searched whole, by patterns that
+don't backtrack; of other columns only source is read, so their names cannot clash.
 """
 
 from __future__ import annotations

@@ -25,7 +25,8 @@ def matches(text: Column, kind: str, pattern: str, gate: Column | None = None, b
     """All leftmost non-overlapping matches of ``pattern``, as an array of spans with ``before``, the text that leads to them.
 
     gate: where it is not true nothing is looked for; it must hold for every text with a match.
-    before: how many characters before a match are given, earlier matches included and runs of blanks as one blank
+    before: how many words before a match are given, earlier matches included and runs of blanks as one blank; for
+        patterns that match whole words only
     start: what stands before the text itself
     """
     # both lists are arguments, not used inside a lambda, where they would be made again for each element
@@ -43,8 +44,9 @@ def _placed(pairs: Column, before: int, start: str) -> Column:
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["value"])
-        lead = F.right(F.concat(acc["tail"], F.regexp_replace(x["gap"], _BLANKS, " ")), F.lit(before)) if before else acc["tail"]
-        tail = F.right(F.concat(lead, x["value"]), F.lit(before)) if before else acc["tail"]
+        # it ends in a blank, so one field more than words is kept
+        lead = F.substring_index(F.concat(acc["tail"], F.regexp_replace(x["gap"], _BLANKS, " ")), " ", -before - 1) if before else acc["tail"]
+        tail = F.concat(lead, x["value"]) if before else acc["tail"]
         new = F.array(F.struct(start.alias("start"), end.alias("end"), lead.alias("before"), x["value"].alias("value")))
         full = F.size(acc["block"]) >= _BLOCK
         grown = F.struct(end.alias("at"), tail.alias("tail"), F.when(full, new).otherwise(F.concat(acc["block"], new)).alias("block"), F.when(full, F.concat(acc["done"], F.array(acc["block"]))).otherwise(acc["done"]).alias("done"))
