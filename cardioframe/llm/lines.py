@@ -6,7 +6,9 @@ and boilerplate lines are removed from every document.
 
 A line counts without the white space around it; lines without a word are never removed. Edge cases: a
 null text stays null and an empty one empty; a null source is a site of its own; repeated rows have the
-same site; a document of boilerplate only keeps its row with an empty text.
+same site; a document of boilerplate only keeps its row with an empty text; an empty table gives an empty
+result; very long texts are split like others; other columns are handed on whatever their names, but for
+n_lines and n_removed, which remove() overwrites if it is to count.
 """
 
 from __future__ import annotations
@@ -49,15 +51,19 @@ def boilerplate(docs: DataFrame, least_sites: int = 10, lg_k: int = 12, band: fl
     return sure.select("h1", "h2").unionByName(exact.select("h1", "h2"))
 
 
-def remove(docs: DataFrame, **how) -> DataFrame:
-    """The rows and columns of ``docs`` with boilerplate lines gone from ``text``, and n_lines (with a word) and n_removed. ``how``: the parameters of boilerplate()."""
+def remove(docs: DataFrame, counts: bool = True, **how) -> DataFrame:
+    """The rows and columns of ``docs`` with boilerplate lines gone from ``text``; with ``counts`` also n_lines (with a word) and n_removed. ``how``: the parameters of boilerplate()."""
     found = kit.stage(boilerplate(docs, **how))
     lines = docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.transform(_split(F.col("text")), _key))).alias("k")).where("k is not null").select("id", "k.h1", "k.h2")
     of_doc = lines.join(found, ["h1", "h2"]).groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
-    names = docs.columns
-    held = docs.join(of_doc, docs["doc_id"].eqNullSafe(of_doc["id"]), "left").select(*(docs[c] for c in names), "gone")
-    kept = F.filter(_split(F.col("text")), lambda x: ~F.coalesce(F.array_contains(F.col("gone"), _key(x)), F.lit(False)))
-    words = lambda xs: F.coalesce(F.size(F.filter(xs, lambda x: F.trim(x, F.lit(_BLANK)) != "")), F.lit(0)).cast("long")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    full = held.withColumn("__kept", text).select(*(F.col("__kept").alias("text") if c == "text" else F.col(c) for c in names), words(_split(F.coalesce("text", F.lit("")))).alias("n_lines"), words(_split(F.coalesce("__kept", F.lit("")))).alias("__left"))
-    return full.withColumn("n_removed", F.col("n_lines") - F.col("__left")).drop("__left")
+    # a row travels as one struct, so that no column of it clashes with those made here
+    own = lambda c: F.col("row").getField(c)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    held = rows.join(of_doc, own("doc_id").eqNullSafe(of_doc["id"]), "left").select("row", "gone")
+    kept = F.filter(_split(own("text")), lambda x: ~F.coalesce(F.array_contains(F.col("gone"), _key(x)), F.lit(False)))
+    text = F.when(F.col("gone").isNull(), own("text")).otherwise(F.array_join(kept, "\n"))
+    words = lambda c: F.coalesce(F.size(F.filter(_split(F.coalesce(c, F.lit(""))), lambda x: F.trim(x, F.lit(_BLANK)) != "")), F.lit(0)).cast("long")
+    full = held.select("row", text.alias("kept"))
+    names = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
+    more = [words(own("text")).alias("n_lines"), (words(own("text")) - words(F.col("kept"))).alias("n_removed")] if counts else []
+    return full.select(*((F.col("kept") if c == "text" else own(c)).alias(c) for c in names), *more)
