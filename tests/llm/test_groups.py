@@ -157,7 +157,7 @@ def test_decontamination_tolerates_substitutions(spark):
     bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(9, None), (None, "x")], "item_id long, text string")
     found = decontam.find(docs(spark, texts), bench)
     got = {r["doc_id"]: r["item_id"] for r in found.where("contaminated").collect()}
-    assert got == {0: 0, 1: 0, 2: 1, 3: 2, 4: 3}
+    assert got == {0: 0, 1: 0, 2: 1, 3: 2, 4: 3, 5: 4}
     blocks = decontam.find(docs(spark, texts), bench, most_words=20)
     assert {tuple(r) for r in blocks.select(found.columns).collect()} == {tuple(r) for r in found.collect()}
     assert decontam.find(docs(spark, texts), bench.limit(0)).where("contaminated").count() == 0
@@ -197,7 +197,7 @@ def test_masks_reach_all_patterns_that_count():
             same = np.concatenate([every, rng.random((400, n)) < rng.uniform(0.6, 0.95, (400, 1))])
         agree = np.array(best_agree(same))
         counts = (agree >= 13) | (agree >= 0.8 * n)
-        masks = [m for i, m in enumerate(decontam.MASKS) if (n == 5) == (i == decontam._SHORT)]
+        masks = [decontam.MASKS[5]] if n == 5 else decontam.MASKS[: decontam._LONG]
         assert counts.any() and np.logical_or.reduce([fits(same[counts], m) for m in masks]).all()
 
 
@@ -296,3 +296,77 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept["language_id"] == {*range(60), 100, 101}
     assert kept["near_duplicates"] == {*range(60), 101} and kept["decontaminate"] == set(range(60))
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(60))
+
+
+def test_decontamination_looks_for_short_items(spark):
+    items = ["the capital of france", "yes", "two words", "three short words", "b1 b2 b3 b4 b5 b6 b7 b8 b9 b10", None, " .. "]
+    texts = ["so The capital, of France is", "oh yes", "two  words", "three long words", "a b1 b2 x b4 b5 b6 y b8 b9 b10 c", "the capital of spain", "three short words", ""]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for most in (400_000, 4):
+        got = {r["doc_id"]: r["item_id"] for r in decontam.find(docs(spark, texts), bench, most_words=most).where("contaminated").collect()}
+        assert got == {0: 0, 1: 1, 2: 2, 4: 4, 6: 3}
+
+
+def side_by_side(texts, items):
+    """doc -> (agreeing words, item) by laying every item at every place of every text."""
+    plain = lambda t: ["".join(c for c in w if not (33 <= ord(c) < 127) or c.isalnum()).lower() for w in WORD.findall(t or "")]
+    out = {}
+    for d, t in enumerate(texts):
+        words, best = plain(t), (0, None)
+        for i, item in enumerate(map(plain, items)):
+            for at in range(1 - len(item), len(words)):
+                lo, hi = max(at, 0), min(at + len(item), len(words))
+                total, low, top, run = 0, (0, 0), (0, 0), 0
+                for k in range(lo, hi):
+                    same = words[k] == item[k - at]
+                    total, run = total + (1 if same else -2), run + same
+                    if total < low[0]:
+                        low = (total, run)
+                    if total - low[0] > top[0]:
+                        top = (total - low[0], run - low[1])
+                if (top[1] >= 13 or top[1] >= 0.8 * len(item)) and top[1] > best[0]:
+                    best = (top[1], i)
+        out[d] = best
+    return out
+
+
+def test_decontamination_agrees_with_laying_all_side_by_side(spark):
+    rng = random.Random(21)
+    items = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(3)) for _ in range(n)) for n in (5, 6, 8, 11, 16, 25)]
+    texts = []
+    for i in range(120):
+        words = [rng.choice("abcdefgh") + str(rng.randrange(3)) for _ in range(rng.randrange(20))]
+        own = items[i % 6].split()
+        for _ in range(rng.randrange(5)):
+            own[rng.randrange(len(own))] = "x"
+        texts.append(" ".join(words + own[rng.randrange(3) :] + words[:5]))
+    got = {r["doc_id"]: (r["n_overlap"], r["item_id"]) for r in decontam.find(docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert got == side_by_side(texts, items) and sum(x[1] is not None for x in got.values()) > 40
+
+
+CLASHES = ["'g' as gone", "7 as n_lines", "'l' as __left", "'k' as leak", "1 as id", "'r' as n_removed", "'c' as copy", "1 as h1", "'x' as row", "0 as component_id", "'p' as __kept"]
+
+
+def test_line_dedup_with_clashing_columns_and_repeated_rows(spark):
+    texts = [f"same line\nown {i}" for i in range(14)]
+    rows = docs(spark, texts).selectExpr("*", *CLASHES)
+    rows = rows.unionByName(rows.where("doc_id = 3"))
+    got = lines.remove(rows, counts=False, least_sites=7)
+    assert got.columns == rows.columns
+    assert sorted((r["doc_id"], r["text"], r["n_removed"], r["gone"]) for r in got.collect()) == sorted((i, f"own {i}", "r", "g") for i in [*range(14), 3])
+    assert {(r["n_lines"], r["n_removed"]) for r in lines.remove(rows, least_sites=7).collect()} == {(2, 1)}
+
+
+def test_pipeline_with_clashing_columns_nothing_and_repeated_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    words = {"en": "the and house river walking through".split(), "fr": "le et maison fleuve marchant dans".split()}
+    texts = [" ".join(rng.choice(words["en" if i % 2 else "fr"]) + rng.choice("abcdefghijk") for _ in range(60)) for i in range(30)]
+    rows = spark.createDataFrame([(i, t, "en" if i % 2 else "fr", f"s{i}", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *CLASHES)
+    spark.createDataFrame([(0, " ".join(texts[4].split()[:30]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for table, want in ((rows.unionByName(rows.where("doc_id in (3, 4)")), sorted([*(i for i in range(30) if i != 4), 3])), (rows.limit(0), [])):
+        for name, f in corpus_pipeline.STAGES[:-1]:
+            table = f(spark, table, str(tmp_path)).cache()
+            assert table.columns == rows.columns
+        assert sorted(r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, table, str(tmp_path)).collect()) == want

@@ -123,6 +123,28 @@ def test_language_by_compression(spark):
     assert {r["lang_pred"] for r in langid.identify(rows, langid.train(rows.limit(0), rows["doc_id"] < 60)).collect()} == {"und"}
 
 
+def test_texts_without_a_letter_have_no_language(spark):
+    rows = docs(spark, ["\u00b2 \u00bd \u2167 \u2460 7", "\u00e9", "x1"])
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(rows, {"en": b"some text to start with"}).collect()}
+    assert got == {0: "und", 1: "en", 2: "en"}
+
+
+def test_smallest_encoding_is_chosen(spark):
+    import zstandard
+
+    rng = random.Random(4)
+    own = {lang: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(3000)) for lang, letters in (("a", "abcdefgh"), ("b", "efghijkl"), ("c", "ijklmnop"))}
+    texts = [" ".join(rng.choices(own[x].split(), k=n)) for x in own for n in (3, 40, 4000)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs(spark, texts), {k: v.encode() for k, v in own.items()}).collect()}
+    for i, t in enumerate(texts):
+        data, sizes = langid._plain(t), []
+        for lang in sorted(own):
+            d = zstandard.ZstdCompressionDict(own[lang].encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            how = zstandard.ZstdCompressionParameters.from_level(12, source_size=16384, dict_size=len(own[lang]), min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(zstandard.ZstdCompressor(compression_params=how, dict_data=d).compress(data[k : k + 16384])) for k in range(0, len(data), 16384)))
+        assert got[i] == sorted(own)[sizes.index(min(sizes))]
+
+
 def test_margins_do_not_shrink_with_length(spark):
     rng = random.Random(5)
     words = {lang: ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(2000)] for lang, letters in (("en", "abcdefghijkl"), ("de", "ghijklmnopqr"))}
@@ -180,6 +202,13 @@ def test_contexts_hold_earlier_tokens_and_the_start(spark):
     assert [got[i] for i in range(27, 34)] == ["ctx:17:25", "ctx:216:230", "ctx:13:19", "ctx:18:26", "ctx:5:11", "ctx:5:12", ""]
 
 
+def test_contexts_of_very_long_words(spark):
+    far = "w" * 150
+    seeds = [f"x {far} at user{i}@mail.example.com" for i in range(9)]
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(docs(spark, [*seeds, f"y {far} at a1b2c3d4 here", f"y {far} at a1b2c3d4 here @", f"y {far[1:]} at a1b2c3d4"]))).collect()}
+    assert (got[9], got[10], got[11]) == ("ctx:156:164", "ctx:156:164", "")
+
+
 def test_secret_base_spans_and_owners(spark):
     got = {r["doc_id"]: r for r in secrets.digest(secrets.find(docs(spark, MIXED))).collect()}
     for i, t in enumerate(MIXED):
