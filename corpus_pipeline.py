@@ -4,7 +4,9 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last re
 documents. run() writes each stage's result as Parquet and reads it back.
 
 Edge cases: empty tables give empty results; null texts go at the first stage, which rejects them; rows
-with a null doc_id stay, as no stage can group them; extra columns pass through the first four stages.
+with a null doc_id stay, as no stage can group them; repeated rows of one doc_id stay or go together, as they
+are one document; very long texts are taken whole; extra columns, whatever their names, pass through the
+first four stages.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that many sites hold; n_chars is that of the new text."""
-    kept = lines.remove(docs)
+    kept = lines.remove(docs, counts=False)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
@@ -35,8 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = decontam.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("doc_id").alias("leak")).distinct()
-    return docs.join(kit.stage(found), F.col("doc_id") == F.col("leak"), "left_anti")
+    found = kit.stage(decontam.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id").distinct())
+    return docs.join(found, docs["doc_id"] == found["doc_id"], "left_anti")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
