@@ -29,3 +29,13 @@ def year_week(d: Column) -> Column:
 
 def recording_day(file_date: Column, metadata_date: Column) -> Column:
     return F.coalesce(file_date, metadata_date)
+
+
+def week_and_year(d: Column) -> Column:
+    """The week before the year, with a blank between them."""
+    return F.concat(sunday_week(d), F.lit(" "), F.year(d).cast("string"))
+
+
+def frame_time(k: Column, interval: Column) -> Column:
+    """Seconds from the start of a recording to its k-th frame."""
+    return k * interval

@@ -76,3 +76,8 @@ def trace_file(jpg: Column) -> Column:
 def mapping_code(raw: Column) -> Column:
     """A code of the mapping table: no underscores and no byte-order mark."""
     return F.regexp_replace(raw, "[_\\uFEFF]", "")
+
+
+def stem(name: Column, fields: int = 3) -> Column:
+    """The name up to, and without, the underscore after so many fields."""
+    return F.substring_index(name, "_", fields)

@@ -45,32 +45,35 @@ def rows_of_beats(df: DataFrame, beats: DataFrame, s: Series, x: str, t: str, mo
     """A row for each frame of each beat, for beats of over ``more_than`` frames.
 
     time (from the beat's start), distance, from_start (change since the start), relative (its share of the
-    largest one), velocity (0 at first). trim: leave out the frames before the one that precedes the first
+    largest one, as it is where that is 0), velocity (0 at first). trim: leave out the frames before the one that precedes the first
     movement; time then starts anew, the other columns stay.
     """
     numbered = df.withColumn("place", s.number())
-    inside = numbered.join(beats.select(*s.keys, "beat", "start_place", "end_place"), list(s.keys)).where("place between start_place and end_place")
+    # places of beats are listed and joined by place, so frames don't meet all beats of their series
+    places = beats.select(*s.keys, "beat", F.explode(F.sequence(F.col("start_place").cast("int"), F.col("end_place").cast("int"))).alias("place"))
+    inside = numbered.join(places, [*s.keys, "place"])
     b = Series((*s.keys, "beat"), ("place",))
     out = inside.withColumn("__n", F.count("*").over(b.whole)).where(F.col("__n") > more_than)
     first = lambda c: F.first(c).over(b.w)
     out = out.withColumns({"time": F.col(t) - first(t), "from_start": F.col(x) - first(x)})
-    out = out.withColumn("relative", F.try_divide(F.col("from_start"), F.max("from_start").over(b.whole)))
+    most = F.max("from_start").over(b.whole)
+    out = out.withColumn("relative", F.when(most == 0, F.col("from_start")).otherwise(F.try_divide(F.col("from_start"), most)))
     out = out.withColumn("velocity", F.coalesce(F.try_divide(F.col("from_start") - b.lag("from_start"), F.col("time") - b.lag("time")), F.lit(0.0)))
     if trim:
         out = out.withColumn("__rn", b.number())
         moved = F.min(F.when(F.col("velocity") != 0, F.col("__rn"))).over(b.whole)
         out = out.withColumn("__from", moved).where(F.col("__rn") >= F.coalesce(F.col("__from") - 1, F.lit(1)))
         out = out.withColumn("time", F.col("time") - F.first("time").over(b.w)).drop("__rn", "__from")
-    return out.drop("__n", "start_place", "end_place")
+    return out.drop("__n")
 
 
 def landmarks(rows: DataFrame, keys: tuple[str, ...], y: str = "relative", t: str = "time") -> DataFrame:
-    """When each beat peaks, first passes each level before that and is last over it after that; from raw samples."""
+    """When each beat peaks, first passes each level before that and is first under it after that; from raw samples."""
     w = Window.partitionBy(*keys)
     top = rows.withColumn("__top", F.max(y).over(w))
     peaked = top.withColumn("peaked", F.min(F.when(F.col(y) == F.col("__top"), F.col(t))).over(w))
     up = [series.first_crossing(y, t, v, F.col(t) <= F.col("peaked")).alias(f"tt{round(100 * v)}p") for v in LEVELS]
-    down = [series.last_crossing(y, t, v, F.col(t) >= F.col("peaked")).alias(f"tt{round(100 * v)}r") for v in reversed(LEVELS)]
+    down = [series.first_below(y, t, v, F.col(t) > F.col("peaked")).alias(f"tt{round(100 * v)}r") for v in reversed(LEVELS)]
     return peaked.groupBy(*keys).agg(F.max("peaked").alias("peaked"), *up, *down)
 
 
@@ -79,6 +82,12 @@ def auc(rows: DataFrame, keys: tuple[str, ...], order: str, y: str = "relative")
     return rows.withColumn("__part", series.trapezoid(s, y)).groupBy(*keys).agg(F.sum("__part").alias("auc"))
 
 
+def of_usual_area(areas: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Beats whose area is known and lies between the quartiles 0 and 4 of its series, so those without one go."""
+    w = Window.partitionBy(*keys)
+    return areas.where("auc is not null").where(F.col("auc").between(F.min("auc").over(w), F.max("auc").over(w)))
+
+
 def summary(beats_with_intervals: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """For each series: beats, median heart period, arrhythmia index, EDD, ESD and FS."""
     return beats_with_intervals.groupBy(*keys).agg(

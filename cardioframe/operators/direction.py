@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -17,27 +17,45 @@ def positions(width: Column, points: int = 12, margin: int = 21) -> Column:
     return F.array_distinct(F.transform(every, lambda x: F.least(F.greatest(x, F.lit(margin)), width - margin)))
 
 
-def borders(frames: DataFrame, keys: tuple[str, ...], t: str, peak: str, width: int) -> DataFrame:
-    """Borders between beats: centres of the runs of frames with no peak in the ``width`` frames ahead. frames: a row for each frame, ``peak`` true where any position peaks."""
+def borders(frames: DataFrame, keys: tuple[str, ...], t: str, peak: str, width: int, outer: bool = False) -> DataFrame:
+    """Borders between beats: centres of the runs of frames with no peak in the ``width`` frames ahead. frames: a row for each frame, ``peak`` true where any position peaks.
+
+    outer: also 0 and the number of frames, as they are bins' outer borders
+    """
     s = Series(keys, (t,))
     ahead = frames.withColumn("__n", count_ahead(s, F.col(peak), width))
-    return islands(ahead, s, F.col("__n") == 0).select(*keys, F.col("centre").alias("border"))
+    found = islands(ahead, s, F.col("__n") == 0).select(*keys, F.col("centre").alias("border"))
+    return with_outer(found, frames, keys) if outer else found
+
 
+def with_outer(found: DataFrame, frames: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Borders of each recording with 0 and its number of frames, each once."""
+    ends = frames.groupBy(*keys).agg(F.count("*").alias("__n")).select(*keys, F.explode(F.array(F.lit(0).cast("long"), F.col("__n"))).alias("border"))
+    return found.select(*keys, F.col("border").cast("long").alias("border")).unionByName(ends).distinct()
 
-def adaptive_borders(frames: DataFrame, keys: tuple[str, ...], t: str, peak: str, start: int, beats: int, rounds: int = 10) -> DataFrame:
-    """borders() with a window that shrinks while there are too few borders and grows while there are too many; at most ``rounds`` times.
 
-    Only a count reaches the driver in each round.
+def adaptive_borders(frames: DataFrame, keys: tuple[str, ...], t: str, peak: str, wanted: DataFrame, rounds: int = 10) -> DataFrame:
+    """borders() of each recording with a window of its own, outer ones included. wanted: keys, start (its first window), beats (how many borders it should have).
+
+    A window grows while there are over 1.2 times as many borders, and shrinks while there are under 0.8 times
+    as many, at most ``rounds`` times. All windows that may be taken are laid out as rows and counted in one
+    job: a frame is free of peaks ahead for every window shorter than its distance to the next peak.
     """
-    width = start
-    found = borders(frames, keys, t, peak, width)
-    for _ in range(rounds):
-        n = found.count()
-        if 0.8 * beats <= n <= 1.2 * beats or width < 2:
-            break
-        width = width - 1 if n < beats else width + 1
-        found = borders(frames, keys, t, peak, width)
-    return found
+    s = Series(keys, (t,))
+    steps = F.sequence(F.lit(-rounds), F.lit(rounds))
+    numbered = frames.withColumn("__rn", s.number())
+    gap = F.min(F.when(F.col(peak), F.col("__rn"))).over(Window.partitionBy(*keys).orderBy("__rn").rowsBetween(0, Window.unboundedFollowing)) - F.col("__rn")
+    tries = numbered.select(*keys, "__rn", gap.alias("__gap")).join(wanted.select(*keys, "start"), list(keys)).select(*keys, "__rn", "__gap", "start", F.explode(steps).alias("__step"))
+    free = (F.col("start") + F.col("__step") >= 0) & (F.col("__gap").isNull() | (F.col("__gap") > F.col("start") + F.col("__step")))
+    found = islands(tries, Series((*keys, "__step"), ("__rn",)), free).select(*keys, "__step", F.col("centre").alias("border"))
+    counts = wanted.select(*keys, "beats", F.explode(steps).alias("__step")).join(found.groupBy(*keys, "__step").agg(F.count("*").alias("__n")), [*keys, "__step"], "left").withColumn("__n", F.coalesce("__n", F.lit(0)) + 2)
+    first = F.max(F.when(F.col("__step") == 0, F.col("__n")))
+    over, under = F.col("__n") > 1.2 * F.col("beats"), F.col("__n") < 0.8 * F.col("beats")
+    grown, shrunk = F.min(F.when((F.col("__step") > 0) & ~over, F.col("__step"))), F.max(F.when((F.col("__step") < 0) & ~under, F.col("__step")))
+    beats = F.first("beats")
+    step = F.when(first > 1.2 * beats, F.coalesce(grown, F.lit(rounds))).when(first < 0.8 * beats, F.coalesce(shrunk, F.lit(-rounds))).otherwise(0)
+    chosen = counts.groupBy(*keys).agg(step.alias("__step"))
+    return with_outer(found.join(chosen, [*keys, "__step"]).select(*keys, "border"), frames, keys)
 
 
 def regress(binned: DataFrame, keys: list[str], x: str, t: str) -> DataFrame:
@@ -51,9 +69,9 @@ def regress(binned: DataFrame, keys: list[str], x: str, t: str) -> DataFrame:
 
 
 def direct(found: DataFrame, resolution: float, exposure: float, trusted: float = 0.15) -> DataFrame:
-    """delta, direction (1: towards the front) and speed; where both ends peak at once a trusted slope decides."""
-    delta = F.col("t_last") - F.col("t_first")
-    by_time = F.when(delta < 0, 1).otherwise(0)
+    """delta (first position's time less the last one's), direction (1: the last position peaks first) and speed; where both ends peak at once a trusted slope decides, as published: a positive one is direction 1."""
+    delta = F.col("t_first") - F.col("t_last")
+    by_time = F.when(delta > 0, 1).otherwise(0)
     by_slope = F.when(F.col("slope") > 0, 1).otherwise(0)
     speed = F.try_divide((F.col("x_last") - F.col("x_first")) * resolution, delta * exposure)
     return found.withColumns({"delta": delta, "direction": F.when((delta == 0) & (F.col("rsq") > trusted), by_slope).otherwise(by_time), "speed": stats.finite(speed)})

@@ -78,17 +78,15 @@ def forward_threshold(df: DataFrame, s: Series, x: str, width: int = 400, tail:
     The last place with a whole window and those after it take the median of the last ``tail`` means.
     """
     n, rn = s.size(), s.number()
-    short = F.floor(n / 3).cast("int")
-    wide = F.when(n >= width, F.lit(width)).otherwise(F.greatest(F.lit(1), short))
-    out = df.withColumns({"__n": n, "__rn": rn, "__w": wide}).withColumn("__sum", F.sum(x).over(s.rows(Window.unboundedPreceding, 0)))
-    # sums up to w - 1 places on: a difference of running sums, as the width differs between series
-    ends = F.collect_list("__sum").over(s.whole.orderBy(*s.order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    out = out.withColumn("__end", F.try_element_at(ends, (F.col("__rn") + F.col("__w") - 1).cast("int")))
-    out = out.withColumn("__mean", (F.col("__end") - F.col("__sum") + F.col(x)) / F.col("__w"))
+    wide = F.when(n >= width, F.lit(width)).otherwise(F.greatest(F.lit(1), F.floor(n / 3).cast("int")))
+    out = df.withColumns({"__n": n, "__rn": rn, "__w": wide}).withColumn("__at", 2 * width * F.col("__rn") / F.col("__w"))
+    # counted in windows (of 2 * width units each), all series look just under one window ahead, though their widths differ
+    ahead = Window.partitionBy(*s.keys).orderBy("__at").rangeBetween(0, 2 * width - 1)
     real = F.col("__n") - F.col("__w") + 1
+    out = out.withColumn("__mean", F.avg(x).over(ahead))
     late = F.when(F.col("__rn").between(real - tail + 1, real), F.col("__mean"))
     out = out.withColumn("__tail", F.median(late).over(s.whole)).withColumn("threshold", F.when(F.col("__rn") < real, F.col("__mean")).otherwise(F.col("__tail")))
-    return out.drop("__n", "__rn", "__w", "__sum", "__end", "__mean", "__tail")
+    return out.drop("__n", "__rn", "__w", "__at", "__mean", "__tail")
 
 
 def count_ahead(s: Series, flag: Column, width: int) -> Column:
@@ -158,9 +156,9 @@ def first_crossing(x: str, t: str, level: float, after: Column | None = None) ->
     return F.min(F.when(over & after if after is not None else over, F.col(t)))
 
 
-def last_crossing(x: str, t: str, level: float, after: Column | None = None) -> Column:
-    over = F.col(x) > level
-    return F.max(F.when(over & after if after is not None else over, F.col(t)))
+def first_below(x: str, t: str, level: float, after: Column) -> Column:
+    """An aggregate: the first time the value is under a level, of the rows for which ``after`` holds."""
+    return F.min(F.when((F.col(x) < level) & after, F.col(t)))
 
 
 def nth_over_mean(df: DataFrame, s: Series, x: str, n: int) -> DataFrame:

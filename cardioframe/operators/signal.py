@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,28 +22,52 @@ def with_baseline(df: DataFrame, s: Series, x: str, wm: int = 20, ws: int = 20)
     return df.withColumn("corrected", F.col(x) - F.col("baseline")).drop("__low", "__high")
 
 
-def smoothing_spline(t: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Knots, second derivatives after smoothing, and the penalty with the least generalised cross-validation score.
+#: Penalties that are tried, as multiples of trace R / trace Q'Q of a beat.
+_PENALTIES = 10.0 ** np.arange(-5, 6, 0.25)
 
-    The natural cubic spline that minimises squared error plus penalty times integrated squared curvature,
-    in its Reinsch form; penalties are tried on a fixed grid.
+
+def smoothing_splines(t: np.ndarray, y: np.ndarray, penalties: np.ndarray = _PENALTIES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of series of equally many points (a row each): smoothed values, second derivatives, and the penalty with the least generalised cross-validation score.
+
+    The natural cubic spline that minimises squared error plus penalty times integrated squared curvature, in
+    its Reinsch form: (R + p Q'Q) c = Q'y with five diagonals, factored for all series and penalties at once,
+    a point at a time. The trace that the score needs comes from the five middle diagonals of the inverse.
     """
-    n = len(t)
-    h = np.diff(t)
-    q = np.zeros((n, n - 2))
-    i = np.arange(n - 2)
-    q[i, i], q[i + 1, i], q[i + 2, i] = 1 / h[:-1], -1 / h[:-1] - 1 / h[1:], 1 / h[1:]
-    r = np.diag((h[:-1] + h[1:]) / 3) + np.diag(h[1:-1] / 6, 1) + np.diag(h[1:-1] / 6, -1)
-    values, vectors = np.linalg.eigh(q @ np.linalg.solve(r, q.T))
-    z = vectors.T @ y
-    best = (np.inf, 0.0)
-    scale = 1 / max(values.max(), 1e-300)
-    for p in scale * 10.0 ** np.arange(-2, 9, 0.25):
-        shrink = 1 / (1 + p * np.maximum(values, 0))
-        left = max(n - shrink.sum(), 1e-9)
-        best = min(best, (n * float(((1 - shrink) * z) @ ((1 - shrink) * z)) / left**2, p))
-    fit = vectors @ (z / (1 + best[1] * np.maximum(values, 0)))
-    return fit, np.concatenate([[0], np.linalg.solve(r, q.T @ fit), [0]]), best[1]
+    n, h = t.shape[1], np.diff(t)
+    m = n - 2
+    a, b, c = 1 / h[:, :-1], -1 / h[:, :-1] - 1 / h[:, 1:], 1 / h[:, 1:]  # the columns of Q
+    q0, q1, q2 = a**2 + b**2 + c**2, b[:, :-1] * a[:, 1:] + c[:, :-1] * b[:, 1:], c[:, :-2] * a[:, 2:]
+    r0, r1 = (h[:, :-1] + h[:, 1:]) / 3, h[:, 1:-1] / 6
+    p = penalties * (r0.sum(1) / q0.sum(1))[:, None]
+    right = a * y[:, :-2] + b * y[:, 1:-1] + c * y[:, 2:]
+    at = lambda x, i: x[:, i, None] if 0 <= i < x.shape[1] else 0.0
+    zero = np.zeros_like(p)
+    d, l1, l2, z = ([zero] * m for _ in range(4))
+    for i in range(m):
+        d1, d2, k1, k2, j2 = (x[j] if j >= 0 else zero for x, j in ((d, i - 1), (d, i - 2), (l1, i - 1), (l2, i - 2), (l2, i - 1)))
+        d[i] = at(r0, i) + p * at(q0, i) - d1 * k1**2 - d2 * k2**2
+        l1[i] = (at(r1, i) + p * at(q1, i) - d1 * k1 * j2) / d[i] if i < m - 1 else zero
+        l2[i] = p * at(q2, i) / d[i] if i < m - 2 else zero
+        z[i] = at(right, i) - (k1 * z[i - 1] if i else 0) - (k2 * z[i - 2] if i > 1 else 0)
+    curve = np.zeros((*p.shape, n))
+    s0 = s1 = t0 = zero  # of the inverse: the diagonal and the next one of the row below, the diagonal of the row after that
+    trace = zero.copy()
+    for i in reversed(range(m)):
+        below = curve[:, :, i + 3] if i + 3 < n else zero
+        curve[:, :, i + 1] = z[i] / d[i] - l1[i] * curve[:, :, i + 2] - l2[i] * below
+        u1, u2 = -l1[i] * s0 - l2[i] * s1, -l1[i] * s1 - l2[i] * t0
+        u0 = 1 / d[i] - l1[i] * u1 - l2[i] * u2
+        trace += u0 * at(q0, i) + 2 * u1 * at(q1, i) + 2 * u2 * at(q2, i)
+        s0, s1, t0 = u0, u1, s0
+    inner = curve[:, :, 1:-1]
+    off = np.zeros_like(curve)
+    off[:, :, :-2] += a[:, None] * inner
+    off[:, :, 1:-1] += b[:, None] * inner
+    off[:, :, 2:] += c[:, None] * inner
+    off *= p[:, :, None]
+    score = n * (off**2).sum(2) / np.maximum(p * trace, 1e-9) ** 2
+    best, rows = score.argmin(1), np.arange(len(t))
+    return y - off[rows, best], curve[rows, best], p[rows, best]
 
 
 def spline_at(t: np.ndarray, fit: np.ndarray, curve: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -58,35 +81,51 @@ def spline_at(t: np.ndarray, fit: np.ndarray, curve: np.ndarray, at: np.ndarray)
 _LANDMARKS = ("peaked", "tt10p", "tt25p", "tt50p", "tt75p", "tt90p", "tt90r", "tt75r", "tt50r", "tt25r", "tt10r")
 
 
-def spline_landmarks(rows: DataFrame, keys: list[str], t: str = "time", y: str = "relative", step: float = 0.0002, most_points: int = 2000) -> DataFrame:
-    """Landmarks of each beat from a smoothing spline sampled every ``step``. Beats of under 5 different times have nulls; beats of over ``most_points`` frames are an error, as they are no beats."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema) + "".join(f", {c} double" for c in _LANDMARKS)
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        out = g[keys].head(1).reset_index(drop=True)
-        g = g[[t, y]].dropna().groupby(t, as_index=False).mean()
-        for c in _LANDMARKS:
-            out[c] = np.nan
-        if len(g) < 5:
-            return out
-        if len(g) > most_points:
-            raise ValueError(f"a beat of {len(g)} frames")
-        x, v = g[t].to_numpy(float), g[y].to_numpy(float)
-        fit, curve, _ = smoothing_spline(x, v)
-        at = np.arange(x[0], x[-1], step if (x[-1] - x[0]) / step < 200_000 else (x[-1] - x[0]) / 200_000)
-        z = spline_at(x, fit, curve, at)
-        z = z / z.max() if z.max() > 0 else z
-        top = int(np.argmax(z))
-        out["peaked"] = at[top]
+def _spline_marks(t: np.ndarray, fit: np.ndarray, curve: np.ndarray, step: float, block: int = 100_000) -> list[float]:
+    """Landmarks of one spline sampled every ``step``, a block of samples at a time: first over each level up to the peak, first under it after the peak."""
+    total = max(1, int(np.ceil((t[-1] - t[0]) / step)))
+    sampled = lambda: ((x := t[0] + step * np.arange(k, min(k + block, total)), spline_at(t, fit, curve, x)) for k in range(0, total, block))
+    top, peaked = max(((z.max(), -x[z.argmax()]) for x, z in sampled()))
+    peaked, scale = -peaked, top if top > 0 else 1.0
+    found = dict.fromkeys(_LANDMARKS, np.nan) | {"peaked": peaked}
+    for x, z in sampled():
         for level in (10, 25, 50, 75, 90):
-            up, down = np.flatnonzero(z[: top + 1] > level / 100), np.flatnonzero(z[top:] > level / 100)
-            if len(up):
-                out[f"tt{level}p"] = at[up[0]]
-            if len(down):
-                out[f"tt{level}r"] = at[top + down[-1]]
-        return out
+            for name, hit in ((f"tt{level}p", (x <= peaked) & (z / scale > level / 100)), (f"tt{level}r", (x > peaked) & (z / scale < level / 100))):
+                if np.isnan(found[name]) and hit.any():
+                    found[name] = x[hit.argmax()]
+    return [found[c] for c in _LANDMARKS]
+
+
+def spline_landmarks(rows: DataFrame, keys: list[str], t: str = "time", y: str = "relative", step: float = 0.0002) -> DataFrame:
+    """Landmarks of each beat from a smoothing spline sampled every ``step``. Beats of under 5 different times have nulls; values at equal times are averaged.
+
+    A beat's points become one row; splines of a batch of beats are fitted together, by their number of points.
+    """
+    names = rows.select(*keys).schema
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in names) + "".join(f", {c} double" for c in _LANDMARKS)
+    points = F.sort_array(F.collect_list(F.when(F.col(t).isNotNull() & F.col(y).isNotNull(), F.struct(F.col(t).cast("double").alias("t"), F.col(y).cast("double").alias("y")))))
+    each = rows.groupBy(*keys).agg(points.alias("p")).select(*keys, F.col("p.t").alias("t"), F.col("p.y").alias("y"))
 
-    return rows.groupBy(*keys).applyInPandas(one, schema)
+    def run(parts):
+        for part in parts:
+            out = np.full((len(part), len(_LANDMARKS)), np.nan)
+            by_size: dict[int, list] = {}
+            for i, (x, v) in enumerate(zip(part["t"], part["y"], strict=True)):
+                at, place, times = np.unique(np.asarray(x, float), return_inverse=True, return_counts=True)
+                if len(at) >= 5:
+                    by_size.setdefault(len(at), []).append((i, at, np.bincount(place, np.asarray(v, float)) / times))
+            for n, some in by_size.items():
+                many = max(1, 400_000 // (n * len(_PENALTIES)))
+                for k in range(0, len(some), many):
+                    index, at, v = zip(*some[k : k + many], strict=True)
+                    fit, curve, _ = smoothing_splines(np.array(at), np.array(v))
+                    out[list(index)] = [_spline_marks(*x, step) for x in zip(at, fit, curve, strict=True)]
+            done = part[keys].copy()
+            done[list(_LANDMARKS)] = out
+            yield done
+
+    found = each.mapInPandas(run, schema)
+    return found.select(*keys, *(stats.finite(F.col(c)).alias(c) for c in _LANDMARKS))
 
 
 def gaussian_blur(images: DataFrame, keys: list[str], sigma: float = 1.5) -> DataFrame:
@@ -133,15 +172,24 @@ def outer_edges(columns: DataFrame, keys: list[str], value: str) -> DataFrame:
     return found.withColumn("distance", F.col("down") - F.col("up"))
 
 
-def repaired_edge(columns: DataFrame, keys: list[str], value: str, most: int = 5, away: float = 3.0) -> DataFrame:
-    """The first row over its column's mean that is not far from the trace's median; candidates are ranked once, so no pass is repeated."""
+def repaired_edge(columns: DataFrame, keys: list[str], value: str, lower: bool = False, literal: bool = False) -> DataFrame:
+    """The first row over its column's mean (the last one less one, for the lower edge) that is not off the trace: not beyond mean minus (plus) one standard deviation of all frames.
+
+    The rows over the mean are looked through until one fits, in one pass; where none does, the first stays.
+    literal: as first published, a trace with one such frame only is left as it is
+    """
     w = Window.partitionBy(*keys, "t")
-    over = columns.withColumn("__m", F.avg(value).over(w)).where(F.col(value) > F.col("__m")).withColumn("__k", F.row_number().over(w.orderBy("y"))).where(F.col("__k") <= most)
-    first = over.where("__k = 1").groupBy(*keys).agg(F.median("y").alias("__mid"))
-    spread = over.where("__k = 1").join(first, keys).groupBy(*keys).agg(F.first("__mid").alias("__mid"), (stats.MAD_SCALE * F.median(F.abs(F.col("y") - F.col("__mid")))).alias("__mad"))
-    near = over.join(spread, keys).withColumn("__far", F.abs(F.col("y") - F.col("__mid")) > away * F.greatest("__mad", F.lit(1.0)))
-    best = F.min(F.struct("__far", "__k", "y"))
-    return near.groupBy(*keys, "t").agg(best.alias("b")).select(*keys, "t", F.col("b.y").alias("edge"))
+    sign = -1 if lower else 1
+    # mirrored rows make the lower edge an upper one
+    at = (F.col("y") - 1) * sign if lower else F.col("y")
+    over = columns.withColumn("__m", F.avg(value).over(w)).where(F.col(value) > F.col("__m")).select(*keys, "t", at.alias("__y"))
+    first = over.groupBy(*keys, "t").agg(F.min("__y").alias("__first"))
+    limit = first.groupBy(*keys).agg((F.avg("__first") - F.coalesce(F.stddev_samp("__first"), F.lit(0.0))).alias("__limit"))
+    off = first.join(limit, keys).groupBy(*keys).agg(F.first("__limit").alias("__limit"), F.count_if(F.col("__first") <= F.col("__limit")).alias("__off"))
+    use = F.col("__y") > F.col("__limit")
+    found = over.join(off, keys).groupBy(*keys, "t").agg(F.min("__y").alias("__first"), F.min(F.when(use & (F.col("__off") > (1 if literal else 0)), F.col("__y"))).alias("__next"), F.first("__off").alias("__off"))
+    best = F.when(F.col("__off") > (1 if literal else 0), F.coalesce("__next", "__first")).otherwise(F.col("__first"))
+    return found.select(*keys, "t", (best * sign).alias("edge"))
 
 
 def bright_stripes(profile: DataFrame, keys: tuple[str, ...], x: str, value: str, least_width: int = 60) -> DataFrame:
@@ -159,7 +207,8 @@ def stripe_peaks(profile: DataFrame, stripes: DataFrame, keys: tuple[str, ...],
 
     s = Series(keys, (x,))
     peaks = profile.withColumns({"place": s.number(), "__p": local_extrema(s, value)}).where("__p")
-    inside = peaks.join(stripes.select(*keys, F.col("first").alias("__a"), F.col("last").alias("__b")), list(keys)).where("place between __a and __b")
+    places = stripes.select(*keys, F.col("first").alias("__a"), F.explode(F.sequence(F.col("first").cast("int"), F.col("last").cast("int"))).alias("place"))
+    inside = peaks.join(places, [*keys, "place"])
     w = Window.partitionBy(*keys, "__a").orderBy(F.desc(value), "place")
     return inside.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(*keys, "place", x, value, "rank")
 

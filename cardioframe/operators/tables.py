@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, naming, stats
@@ -36,9 +36,10 @@ def catalog(files: DataFrame, mapping: DataFrame, file: str = "file") -> DataFra
     return joins.lookup(parts, dim, "CODE", list(dim.columns))
 
 
-def scale_factor(factor, magnification):
-    """Microns a pixel: a factor of 1 stands for 0.65, a missing magnification for 1."""
-    return F.when(factor == 1, 0.65).otherwise(factor) * F.coalesce(magnification, F.lit(1.0))
+def scale_factor(factor: Column, magnification: Column, file: Column | None = None) -> Column:
+    """Microns a pixel: a factor of 1 stands for 0.65, a missing magnification for 1; a missing factor is an error that names ``file``."""
+    missing = F.raise_error(F.concat(F.lit("no calibration found: "), F.coalesce(file.cast("string") if file is not None else F.lit(None).cast("string"), F.lit("?")))).cast("double")
+    return F.when(factor.isNull(), missing).when(factor == 1, 0.65).otherwise(factor) * F.coalesce(magnification, F.lit(1.0))
 
 
 def movie_dates(meta: DataFrame) -> DataFrame:
@@ -52,10 +53,18 @@ def usable_movies(files: DataFrame, least_bytes: int = 150_000_000, least_frames
     return files.where((F.col("size") >= least_bytes) & (F.col("sizeT").cast("int") >= least_frames) & (F.col("time_interval").cast("double") <= slowest))
 
 
-def segment(df: DataFrame, x: str, key: str) -> DataFrame:
-    """anterior up to the mean of a movie's different positions, posterior beyond it."""
-    middle = df.select(key, x).distinct().groupBy(key).agg(F.avg(x).alias("__middle"))
-    return df.join(middle, key).withColumn("segment", F.when(F.col(x) <= F.col("__middle"), "anterior").otherwise("posterior")).drop("__middle")
+def segment(df: DataFrame, x: str) -> DataFrame:
+    """posterior beyond the whole part of the mean of all different positions, else anterior."""
+    middle = df.select(x).distinct().agg(F.floor(F.avg(x)).alias("__middle"))
+    return joins.with_scalar(df, middle).withColumn("segment", F.when(F.col(x) > F.col("__middle"), "posterior").otherwise("anterior")).drop("__middle")
+
+
+def joined_transients(landmarks: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each recording: medians and standard deviations of its landmarks and of its intervals, scaled MADs of SI, HP and DI, AI and relaxtime. Recordings without intervals keep nulls."""
+    marks = stats.median_and_sd(landmarks, keys, [c for c in landmarks.columns if c not in (*keys, "beat")])
+    spans = ["SI", "HP", "DI"]
+    found = marks.join(stats.median_and_sd(intervals, keys, spans), keys, "left").join(stats.mad(intervals, keys, spans), keys, "left")
+    return relaxation(found).withColumn("AI", F.try_divide("HP_sd", "HP_median"))
 
 
 def per_fly(recordings: DataFrame, fly: str, measures: list[str], attributes: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import beats, direction, joins, qc, series, signal
+from ..operators import beats, direction, joins, qc, series, signal, tables
 from ..operators.series import Series
 from .registry import query, table
 
@@ -159,7 +159,7 @@ def beat_summary(spark, d):
 
 _ROWS = f"""{_BEATS}, i as (select e.user_id, b.beat, e.rn, e.x, e.rn - b.start_place as time from e join b on e.user_id = b.user_id and e.rn between b.start_place and b.end_place),
 c as (select *, count(*) over (partition by user_id, beat) as m, x - first_value(x) over (partition by user_id, beat order by rn) as rise from i),
-r as (select user_id, beat, rn, time, rise, rise / nullif(max(rise) over (partition by user_id, beat), 0) as relative, coalesce((rise - lag(rise) over (partition by user_id, beat order by rn)) / 1.0, 0) as velocity from c where m > 3)"""
+r as (select user_id, beat, rn, time, rise, case when max(rise) over (partition by user_id, beat) = 0 then rise else rise / max(rise) over (partition by user_id, beat) end as relative, coalesce((rise - lag(rise) over (partition by user_id, beat order by rn)) / 1.0, 0) as velocity from c where m > 3)"""
 
 
 def beat_rows(spark, d, trim: bool = False) -> DataFrame:
@@ -183,8 +183,11 @@ def beat_trim(spark, d):
     return beat_rows(spark, d, trim=True).select("user_id", *(F.col(c).cast("long").alias(c) for c in ("beat", "place", "time")))
 
 
-@query(f"""{_ROWS}, tops as (select *, max(relative) over (partition by user_id, beat) as top from r), pk as (select *, min(case when relative = top then time end) over (partition by user_id, beat) as peaked from tops)
-select user_id, beat, max(peaked) as peaked, {", ".join(f"min(case when time <= peaked and relative > {v} then time end) as tt{round(v * 100)}p, max(case when time >= peaked and relative > {v} then time end) as tt{round(v * 100)}r" for v in beats.LEVELS)} from pk group by user_id, beat""")
+_MARKED = f"""tops as (select *, max(relative) over (partition by user_id, beat) as top from r), pk as (select *, min(case when relative = top then time end) over (partition by user_id, beat) as peaked from tops),
+lm as (select user_id, beat, max(peaked) as peaked, {", ".join(f"min(case when time <= peaked and relative > {v} then time end) as tt{round(v * 100)}p, min(case when time > peaked and relative < {v} then time end) as tt{round(v * 100)}r" for v in beats.LEVELS)} from pk group by user_id, beat)"""
+
+
+@query(f"{_ROWS}, {_MARKED} select * from lm")
 def landmarks_crossing(spark, d):
     found = beats.landmarks(beat_rows(spark, d), ("user_id", "beat"))
     return found.select("user_id", *(F.col(c).cast("long").alias(c) for c in found.columns[1:]))
@@ -320,13 +323,13 @@ def stripe_peaks(spark, d):
     return found.select("user_id", F.col("place").cast("long").alias("place"), "x", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""{_E}, p as (select user_id % 7 as movie, user_id as xpos, rn as t from (select user_id, rn, {_SLOPE} as s from e) where s < 0 and rn <= 40),
+@query(f"""{_E}, p as (select user_id % 7 as movie, user_id as xpos, rn as t from (select user_id, rn, {_SLOPE} as s from e) where s < 0),
 b as (select movie, xpos, t, t // 10 as bin from p), q as (select movie, bin, xpos, max(t) as t from b group by all),
 r as (select movie, bin, count(*) as n, nullif(regr_slope(xpos, t), 'nan'::double) as slope, nullif(1 - (1 - regr_r2(xpos, t)) * (count(*) - 1) / nullif(count(*) - 2, 0), 'nan'::double) as rsq, min(xpos) as x_first, max(xpos) as x_last, arg_min(t, xpos) as t_first, arg_max(t, xpos) as t_last from q group by movie, bin),
-u as (select movie, avg(n) as usual from (select distinct movie, n from r) group by movie), k as (select r.*, t_last - t_first as delta from r join u using (movie) where n >= usual)
-select movie, bin, n, round(slope, 5) + 0.0 as slope, round(rsq, 5) as rsq, delta, case when delta = 0 and rsq > 0.15 then (case when slope > 0 then 1 else 0 end) when delta < 0 then 1 else 0 end as direction, round((x_last - x_first) * 0.65 / nullif(delta * 0.01, 0), 4) as speed from k""")
+u as (select movie, avg(n) as usual from (select distinct movie, n from r) group by movie), k as (select r.*, t_first - t_last as delta from r join u using (movie) where n >= usual)
+select movie, bin, n, round(slope, 5) + 0.0 as slope, round(rsq, 5) as rsq, delta, case when delta = 0 and rsq > 0.15 then (case when slope > 0 then 1 else 0 end) when delta > 0 then 1 else 0 end as direction, round((x_last - x_first) * 0.65 / nullif(delta * 0.01, 0), 4) as speed from k""")
 def beat_direction(spark, d):
-    peaks = events(spark, d).withColumns({"p": series.local_extrema(S, "x"), "t": S.number().cast("long")}).where("p and t <= 40")
+    peaks = events(spark, d).withColumns({"p": series.local_extrema(S, "x"), "t": S.number().cast("long")}).where("p")
     binned = peaks.select((F.col("user_id") % 7).alias("movie"), F.col("user_id").alias("xpos"), "t", F.floor(F.col("t") / 10).alias("bin")).groupBy("movie", "bin", "xpos").agg(F.max("t").alias("t"))
     found = direction.direct(direction.regress(binned, ["movie"], "xpos", "t"), 0.65, 0.01)
     return found.select("movie", "bin", "n", _r(F.col("slope"), "slope", 5), _r(F.col("rsq"), "rsq", 5), "delta", "direction", _r(F.col("speed"), "speed", 4))
@@ -341,3 +344,69 @@ def beat_borders(spark, d):
     return direction.borders(frames, ("movie",), "t", "peak", 2)
 
 
+
+
+_ADAPTIVE = f"""{_E}, s as (select user_id, user_id % 7 as movie, rn as t, coalesce({_SLOPE} < 0 and x > 150, false) as peak from e), pk as (select * from s where peak), f as (select movie, t, bool_or(peak) as peak from s group by all),
+st as (select movie, floor(stddev_samp(d)) as start from (select movie, t - lag(t) over (partition by movie order by t, user_id) as d from pk) group by movie),
+bt as (select movie, floor(avg(c)) as beats from (select movie, user_id, count(*) as c from pk group by all) group by movie),
+nb as (select *, row_number() over (partition by movie order by t) as k from f), g as (select movie, k, min(case when peak then k end) over (partition by movie order by k rows between current row and unbounded following) - k as gap from nb),
+steps as (select unnest(range(-10, 11)) as step), tr as (select g.movie, k, gap, step, start + step as w from g join st using (movie) cross join steps),
+fr as (select *, k - row_number() over (partition by movie, step order by k) as i from tr where w >= 0 and (gap is null or gap > w)), b as (select movie, step, round_even((min(k) + max(k)) / 2.0, 0)::bigint as border from fr group by movie, step, i),
+c as (select m.movie, m.beats, m.step, 2 + count(b.border) as n from (select * from bt cross join steps) m left join b on b.movie = m.movie and b.step = m.step group by all),
+ch as (select movie, case when max(case when step = 0 then n end) > 1.2 * beats then coalesce(min(case when step > 0 and n <= 1.2 * beats then step end), 10)
+  when max(case when step = 0 then n end) < 0.8 * beats then coalesce(max(case when step < 0 and n >= 0.8 * beats then step end), -10) else 0 end as step from c group by movie, beats)"""
+
+
+@query(f"{_ADAPTIVE} select distinct movie, border from (select movie, border from b join ch using (movie, step) union all select movie, 0 from f union all select movie, count(*) from f group by movie)")
+def adaptive_beat_borders(spark, d):
+    """Borders with a window of each recording's own, from the spread of its peaks."""
+    s = events(spark, d).select("user_id", (F.col("user_id") % 7).alias("movie"), S.number().alias("t"), (series.local_extrema(S, "x") & (F.col("x") > 150)).alias("peak"))
+    peaks = s.where("peak")
+    order = Series(("movie",), ("t", "user_id"))
+    start = peaks.withColumn("d", F.col("t") - order.lag("t")).groupBy("movie").agg(F.floor(F.stddev_samp("d")).cast("int").alias("start"))
+    wanted = peaks.groupBy("movie", "user_id").agg(F.count("*").alias("c")).groupBy("movie").agg(F.floor(F.avg("c")).alias("beats")).join(start, "movie")
+    return direction.adaptive_borders(s.groupBy("movie", "t").agg(F.bool_or("peak").alias("peak")), ("movie",), "t", "peak", wanted)
+
+
+_SPREAD = ", ".join(f"median({c}) as {c}_median, stddev_samp({c}) as {c}_sd" for c in ("peaked", "tt50p", "tt50r"))
+
+
+@query(f"""{_ROWS}{_INTERVALS[len(_BEATS):]}, {_MARKED}, a as (select user_id, {_SPREAD} from lm group by user_id), h as (select user_id, median(hp) as hp, stddev_samp(hp) as hp_sd, median(si) as si from i3 group by user_id),
+dv as (select user_id, 1.4826 * median(abs(hp - mid)) as hp_mad from (select user_id, hp, median(hp) over (partition by user_id) as mid from i3) group by user_id)
+select user_id, round(peaked_median, 6) as peaked_median, round(peaked_sd, 6) as peaked_sd, round(tt50p_median, 6) as tt50p_median, round(tt50r_sd, 6) as tt50r_sd, round(h.hp, 6) as hp_median, round(si, 6) as si_median, round(hp_mad, 6) as hp_mad, round(h.hp - peaked_median, 6) as relaxtime, round(hp_sd / h.hp, 6) as ai
+from a left join h using (user_id) left join dv using (user_id)""")
+def transients_joined(spark, d):
+    """Landmarks of each recording joined with its intervals and their spread."""
+    marks = beats.landmarks(beat_rows(spark, d), ("user_id", "beat"))
+    found = tables.joined_transients(marks, all_intervals(spark, d).select("user_id", "SI", "HP", "DI"), ["user_id"])
+    return found.select("user_id", *(_r(F.col(c), n) for c, n in (("peaked_median", "peaked_median"), ("peaked_sd", "peaked_sd"), ("tt50p_median", "tt50p_median"), ("tt50r_sd", "tt50r_sd"), ("HP_median", "hp_median"), ("SI_median", "si_median"), ("HP_mad", "hp_mad"), ("relaxtime", "relaxtime"), ("AI", "ai"))))
+
+
+@query(f"""{_D}, g as (select user_id, corr(d, l) as a, stddev_samp(d) as s from d2 group by user_id), m as (select median(a) as ma, median(s) as ms from g) select user_id, case when a >= ma and s >= ms then 'ok' else 'bad' end as quality from g, m""")
+def qc_ok_or_bad(spark, d):
+    return qc.ok_or_bad(qc.trace_metrics(events(spark, d), S, "x"), "autocorr_x", "smooth_x").select("user_id", "quality")
+
+
+_EDGE = "select label, vec_id, v, y from (select label, vec_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as y from embeddings)"
+
+
+def _edge_sql(y: str, sign: str) -> str:
+    return f"""with c as ({_EDGE}), o as (select label, vec_id, {y} as y from (select *, avg(v) over (partition by label, vec_id) as m from c) where v > m), f as (select label, vec_id, min(y) as first from o group by all),
+l as (select label, avg(first) - coalesce(stddev_samp(first), 0) as lim from f group by label), n as (select f.label, any_value(lim) as lim, count_if(first <= lim) as off from f join l using (label) group by f.label)
+select label, vec_id, {sign} (case when any_value(off) > 0 then coalesce(min(case when y > lim then y end), min(y)) else min(y) end)::bigint as edge from o join n using (label) group by label, vec_id"""
+
+
+def _edges(spark, d, lower: bool):
+    e = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("t"), F.posexplode("embedding").alias("i", "v"))
+    found = signal.repaired_edge(e.select("label", "t", (F.col("i") + 1).cast("long").alias("y"), F.col("v").cast("double").alias("v")), ["label"], "v", lower=lower)
+    return found.select("label", F.col("t").alias("vec_id"), "edge")
+
+
+@query(_edge_sql("y", ""))
+def repaired_upper_edge(spark, d):
+    return _edges(spark, d, lower=False)
+
+
+@query(_edge_sql("-(y - 1)", "-"))
+def repaired_lower_edge(spark, d):
+    return _edges(spark, d, lower=True)

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, naming, stats
-from ..operators import joins, tables
+from ..operators import joins, signal, tables
+from ..sources import readers
 from .registry import query, table
 
 
@@ -146,9 +147,9 @@ def stroke_volume(spark, d):
     return df.select("l_orderkey", "l_linenumber", _r(F.col("SV"), "sv"), _r(F.col("CO"), "co"), _r(stats.fractional_shortening(F.col("EDD"), F.col("ESD")), "fs"))
 
 
-@query("with m as (select p_brand, avg(distinct p_size) as mid from part group by p_brand) select p_partkey, case when p_size <= mid then 'anterior' else 'posterior' end as segment from part join m using (p_brand)")
+@query("with m as (select floor(avg(distinct p_size)) as mid from part) select p_partkey, case when p_size > mid then 'posterior' else 'anterior' end as segment from part, m")
 def mean_distinct_segment(spark, d):
-    return tables.segment(table(spark, d, "part"), "p_size", "p_brand").select("p_partkey", "segment")
+    return tables.segment(table(spark, d, "part"), "p_size").select("p_partkey", "segment")
 
 
 @query("select o_orderkey, o_totalprice from orders where o_totalprice >= 150000 and o_orderkey >= 200 and o_orderstatus = 'O'")
@@ -178,4 +179,27 @@ def array_profile(spark, d):
 def pixel_sd(spark, d):
     """How much each place of an array varies over its rows."""
     e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "v"))
-    return e.groupBy((F.col("i") + 1).cast("long").alias("place"), "label").agg(_r(F.stddev_samp(F.col("v").cast("double")), "sd", 5))
+    pixels = e.select("label", F.lit(1).alias("x"), (F.col("i") + 1).cast("long").alias("y"), F.col("v").cast("double").alias("v"))
+    return signal.pixel_sd(pixels, ["label"]).select(F.col("y").alias("place"), "label", _r(F.col("sd"), "sd", 5))
+
+
+@query(f"""with f as (select o_orderkey, {_NAME} as name, o_orderdate as d from orders) select o_orderkey, split_part(name, '_', 1) || '_' || split_part(name, '_', 2) || '_' || split_part(name, '_', 3) as stem, split_part(name, '_', 1) as grp, strftime(d, '%U %Y') as week, round(o_orderkey * 0.005::double, 6) as time from f""")
+def names_and_weeks(spark, d):
+    n = table(spark, d, "orders").select("o_orderkey", F.expr(_NAME).alias("name"), F.to_date("o_orderdate").alias("day"))
+    day = dates.recording_day(F.lit(None).cast("date"), F.col("day"))
+    return n.select("o_orderkey", naming.stem(F.col("name")).alias("stem"), naming.without_age_sex(naming.coded(F.col("name"))).alias("grp"), dates.week_and_year(day).alias("week"), _r(dates.frame_time(F.col("o_orderkey"), F.lit(0.005)), "time"))
+
+
+@query("""select o_orderkey, o_custkey as width, 'uint16' as pixel_type, 10 as frames, round((0.005::double + (o_orderkey % 7) / 1000.0::double) / 2, 6) as time_interval, case when o_orderkey % 3 = 0 then 0.65::double else 0.5::double end * case when o_orderkey % 2 = 0 then 2 else 1 end as resolution,
+case when o_orderkey % 4 = 0 then 1 else o_orderkey end as created from orders""")
+def metadata_of_dumps(spark, d):
+    """Each order as the dump of a movie: lines of key and text, taken apart and laid in columns again."""
+    k = F.col("o_orderkey")
+    line = lambda key, text: F.struct(F.lit(key).alias("key"), text.cast("string").alias("text"))
+    lines = F.array(
+        line("Width", F.col("o_custkey")), line("SizeT", F.lit(300)), line("Pixel type", F.lit("uint 16")), line("factor", F.when(k % 3 == 0, "1;1").otherwise("0.5;2")), line("magnification", F.when(k % 2 == 0, "2;x")),
+        line("File Info Last Field Date Time", F.when(k % 4 != 0, k + dates.CAMERA_EPOCH)), line("Field 9 Time_From_Start", F.lit(0.1)), line("Field 10 Time_From_Start", F.lit(0.2)), line("Field 9 Time_From_Last", F.lit(0.005)), line("Field 10 Time_From_Last", (k % 7) / 1000),
+    )
+    dumps = table(spark, d, "orders").select(k.cast("string").alias("file"), F.explode(lines).alias("l")).select("file", "l.*").where("text is not null")
+    wide = tables.pivot_kv(readers.metadata(dumps), "file")
+    return wide.select(F.col("file").cast("long").alias("o_orderkey"), F.col("sizeX").cast("long").alias("width"), F.col("pixelType").alias("pixel_type"), F.col("imageCount").cast("int").alias("frames"), _r(F.col("time_interval").cast("double"), "time_interval"), F.col("resolution").cast("double").alias("resolution"), F.col("created_unix_from_file").cast("long").alias("created"))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import naming
+from ..functions import dates, naming
 from ..operators import tables
 from . import schemas
 
 #: Metadata keys and the text before the separator in a dump that gives each.
 DUMP_KEYS = {
-    "sizeX": "Width", "sizeY": "Height", "sizeZ": "SizeZ", "sizeT": "SizeT", "pixelType": "Pixel type", "bitsPerPixel": "Valid bits per pixel", "imageCount": "Image count",
+    "sizeX": "Width", "sizeY": "Height", "sizeZ": "SizeZ", "sizeT": "SizeT", "pixelType": "Pixel type", "bitsPerPixel": "Valid bits per pixel",
     "dimensionOrder": "Dimension order", "orderCertain": "Dimension order", "rgb": "RGB", "littleEndian": "Endianness", "interleaved": "Interleaved",
 }
 #: What the format always has: fixed values.
@@ -54,33 +54,31 @@ def file_dates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def metadata_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, key and text of ``key : value`` and ``key = value`` lines of saved dumps."""
-    line = F.regexp_replace("value", "\t", "")
-    parts = F.split(line, "[:=]", 2)
-    rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.trim(parts[0]).alias("key"), F.trim(F.get(parts, F.lit(1))).alias("text"))
+    """file, key and text of the lines of saved dumps, parted at the first ``:`` or ``=``. Tabs go; blanks in a row count as one."""
+    parts = F.split(F.regexp_replace("value", "\t", ""), "[:=]", 2)
+    rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.trim(F.regexp_replace(parts[0], " +", " ")).alias("key"), F.trim(F.get(parts, F.lit(1))).alias("text"))
     return rows.where("text is not null")
 
 
 def metadata(lines: DataFrame) -> DataFrame:
     """file, L1, value: the keys of each movie in long form, with constants and calibration.
 
-    time_interval is the median spacing of the frames' time stamps, ordered as numbers; the camera's time is
-    repaired where it is missing. A movie without a scale factor keeps a null resolution.
+    ``Field <k> <type>`` keys hold the time codes of frames: time_interval is the mean of type Time_From_Last,
+    imageCount the largest k of Time_From_Start. Of ``factor`` and ``magnification`` the part before the first
+    semicolon counts; a movie without a factor is an error. The camera's time is repaired where it is missing.
     """
-    picked = lines.groupBy("file").agg(
-        *(F.max(F.when(F.col("key") == k, F.col("text"))).alias(n) for n, k in DUMP_KEYS.items()),
-        F.max(F.when(F.col("key").contains("Scale Factor"), F.col("text").try_cast("double"))).alias("__factor"),
-        F.max(F.when(F.col("key").contains("Magnification"), F.col("text").try_cast("double"))).alias("__zoom"),
-        F.max(F.when(F.col("key") == "File Info Last Field Date Time", F.col("text").try_cast("double"))).alias("__created"),
-    )
-    stamps = lines.select("file", F.regexp_extract("key", r"^Field (\d+) .*Time", 1).try_cast("int").alias("field"), F.col("text").try_cast("double").alias("at")).where("field is not null")
-    from ..operators.series import Series
-
-    s = Series(("file",), ("field",))
-    spacing = stamps.withColumn("__d", F.col("at") - s.lag("at")).groupBy("file").agg(F.median("__d").alias("time_interval"))
-    wide = picked.join(spacing, "file", "left").withColumns({k: F.lit(v) for k, v in CONSTANT_KEYS.items()})
-    created = F.coalesce(F.col("__created"), F.lit(11644444801.0)).cast("long") - 11644444800
-    wide = wide.withColumns({"resolution": tables.scale_factor(F.col("__factor"), F.col("__zoom")).cast("string"), "created_unix_from_file": created.cast("string"), "time_interval": F.col("time_interval").cast("string")})
+    number = lambda key: F.max(F.when(F.col("key") == key, F.substring_index("text", ";", 1).try_cast("double")))
+    word = F.split("key", " ")
+    field, kind = F.get(word, F.lit(1)).try_cast("int"), F.get(word, F.lit(2))
+    wide = lines.groupBy("file").agg(
+        *(F.max(F.when(F.col("key") == k, F.replace("text", F.lit(" "), F.lit("")))).alias(n) for n, k in DUMP_KEYS.items()),
+        F.max(F.when(kind == "Time_From_Start", field)).cast("string").alias("imageCount"),
+        F.avg(F.when(kind == "Time_From_Last", F.col("text").try_cast("double"))).cast("string").alias("time_interval"),
+        number("factor").alias("__factor"), number("magnification").alias("__zoom"), number("File Info Last Field Date Time").alias("__created"),
+    )
+    created = F.coalesce(F.col("__created").cast("long"), F.lit(dates.CAMERA_EPOCH + 1)) - dates.CAMERA_EPOCH
+    resolution = tables.scale_factor(F.col("__factor"), F.col("__zoom"), F.col("file"))
+    wide = wide.withColumns({**{k: F.lit(v) for k, v in CONSTANT_KEYS.items()}, "resolution": resolution.cast("string"), "created_unix_from_file": created.cast("string")})
     return wide.unpivot(["file"], [F.col(k) for k in tables.META_KEYS], "L1", "value").where("value is not null")
 
 

@@ -115,6 +115,19 @@ def test_landmarks_are_in_order(spark):
         assert times == sorted(times)
 
 
+def test_landmarks_take_the_first_sample_under_a_level_though_it_rebounds(spark):
+    rows = spark.createDataFrame([(1, 1, t, float(y)) for t, y in enumerate([0, 0.6, 1, 0.4, 0.8, 0.05, 0.3])], "k int, beat int, time int, relative double")
+    got = beats.landmarks(rows, ("k", "beat")).first()
+    assert (got["peaked"], got["tt50p"], got["tt90r"], got["tt50r"], got["tt10r"]) == (2, 1, 3, 3, 5)
+
+
+def test_long_and_short_series_have_their_own_windows(spark):
+    long, short = [float((7 * i) % 31) for i in range(450)], [float((5 * i) % 13) for i in range(30)]
+    df = frame(spark, long).unionByName(frame(spark, short, key=2))
+    got = {(r["k"], r["t"]): r["threshold"] for r in series.forward_threshold(df, S, "x", 400).collect()}
+    assert all(got[1, i] == pytest.approx(sum(long[i : i + 400]) / 400) for i in range(50)) and all(got[2, i] == pytest.approx(sum(short[i : i + 10]) / 10) for i in range(20))
+
+
 def test_flat_and_single_rows_have_no_beats(spark):
     for values in ([5] * 50, [1]):
         assert beats.find_beats(beats.turning_points(frame(spark, values), S, "x", 10), S, "x", "t").count() == 0

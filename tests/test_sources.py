@@ -1,15 +1,19 @@
 from cardioframe.sources import readers, writers
 from cardioframe.streaming import traces
 
-DUMP = "Width = 1000\nHeight = 400\nSizeT : 300\nDimension order = XYCZT\nScale Factor for X\t: 1.0\nField 2 Time: 0.005\nField 1 Time: 0.0\nField 10 Time: 0.045\nField 3 Time: 0.010\nno separator\n"
+DUMP = "Width = 1000\nHeight = 400\nSizeT = 300\nDimension order = XYCZT (certain)\nfactor\t: 1;um\nmagnification: 10;x\nCapture Region: 1\nFile Info Last Field Date  Time: 11644444805\nno separator\n" + "".join(
+    f"Field {k} Time_From_Start: {0.005 * k}\nField {k} Time_From_Last: {0.005 if k else 0.0}\n" for k in range(12)
+)
 
 
 def test_metadata_of_a_dump(spark, tmp_path):
     (tmp_path / "m.txt").write_text(DUMP)
     got = {r["L1"]: r["value"] for r in readers.metadata(readers.metadata_lines(spark, str(tmp_path))).collect()}
-    assert (got["sizeX"], got["sizeT"], got["sizeC"], got["orderCertain"]) == ("1000", "300", "1", "XYCZT")
-    assert float(got["resolution"]) == 0.65 and float(got["time_interval"]) == 0.005
-    assert got["created_unix_from_file"] == "1"
+    assert (got["sizeX"], got["sizeT"], got["sizeC"], got["orderCertain"]) == ("1000", "300", "1", "XYCZT(certain)")
+    assert float(got["resolution"]) == 6.5 and abs(float(got["time_interval"]) - 0.055 / 12) < 1e-9 and got["imageCount"] == "11"
+    assert got["created_unix_from_file"] == "5"
+    bare = readers.metadata(readers.metadata_lines(spark, str(tmp_path)).where("key not like 'File Info%'"))
+    assert bare.where("L1 = 'created_unix_from_file'").first()["value"] == "1"
 
 
 def test_mapping_with_a_mark_and_underscores(spark, tmp_path):

@@ -51,9 +51,10 @@ def test_rescue_takes_good_traces_of_movies_without_an_excellent_one(spark):
 
 
 def test_scale_rules(spark):
-    rows = [(1.0, 2.0), (0.5, None), (None, 1.0)]
-    df = spark.createDataFrame(rows, "f double, m double")
-    assert [r[0] for r in df.select(tables.scale_factor(F.col("f"), F.col("m"))).collect()] == [1.3, 0.5, None]
+    df = spark.createDataFrame([(1.0, 2.0), (0.5, None)], "f double, m double")
+    assert [r[0] for r in df.select(tables.scale_factor(F.col("f"), F.col("m"))).collect()] == [1.3, 0.5]
+    with pytest.raises(Exception, match="no calibration found: m.cxd"):
+        df.select(tables.scale_factor(F.nullif(F.col("f"), F.lit(1.0)), F.col("m"), F.lit("m.cxd"))).collect()
 
 
 def test_usable_movies_compare_numbers(spark):
@@ -63,7 +64,7 @@ def test_usable_movies_compare_numbers(spark):
 
 def test_segment_and_per_fly(spark):
     df = spark.createDataFrame([("f", "m", 10, 1.0), ("f", "m", 30, 3.0), ("f", "m", 30, 5.0)], "fly string, movie string, x int, v double")
-    assert sorted(r["segment"] for r in tables.segment(df, "x", "movie").collect()) == ["anterior", "posterior", "posterior"]
+    assert sorted(r["segment"] for r in tables.segment(df, "x").collect()) == ["anterior", "posterior", "posterior"]
     assert [tuple(r) for r in tables.per_fly(df, "fly", ["v"], ["movie"]).collect()] == [("f", 3.0, "m")]
 
 
@@ -71,7 +72,7 @@ def test_direction_of_a_wave(spark):
     rows = [("m", 1, x, 10 - x) for x in range(5)] + [("m", 2, x, 30) for x in range(5)]
     df = spark.createDataFrame(rows, "movie string, bin int, x int, t int")
     got = {r["bin"]: r for r in direction.direct(direction.regress(df, ["movie"], "x", "t"), 0.65, 0.01).collect()}
-    assert (got[1]["delta"], got[1]["direction"], got[1]["slope"]) == (-4, 1, -1.0)
+    assert (got[1]["delta"], got[1]["direction"], got[1]["slope"]) == (4, 1, -1.0)
     assert (got[2]["delta"], got[2]["direction"], got[2]["speed"]) == (0, 0, None)
 
 
