@@ -10,7 +10,10 @@ into spans; a span is thus verified against its source coordinates window by win
 
 The words of spans whose source is an earlier document are removed. Edge cases: a null text has no words;
 texts under k words have no window; rows with a null doc_id keep all words and are no source; repeated
-rows are one document; rows of one doc_id with different texts lose the places of all of them.
+rows are one document; rows of one doc_id with different texts are no sources of one another and lose places
+of their own text each; of equal windows of one document any may name the place of the source; an empty table
+gives an empty result; very long texts are held whole by one task each; of other columns only doc_id and text
+are read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -58,11 +61,11 @@ def _marks(docs: DataFrame, k: int, short: int) -> DataFrame:
             new = np.append(True, (m[1:] != m[:-1]) | (doc[1:] != doc[:-1]))[: len(m)]
             yield pa.RecordBatch.from_arrays([pa.array(kit.signed(m[new])), piece.column("doc_id").take(pa.array(doc[new]))], ["m", "doc_id"])
 
-    return kit.map_texts(docs, run, "m long, doc_id long")
+    return kit.map_texts(docs.select("doc_id", "text"), run, "m long, doc_id long")
 
 
 def _edges(docs: DataFrame, k: int, short: int) -> DataFrame:
-    """The windows of docs (doc_id, text, shared) whose minimizer is in ``shared``: e1, e2 (hashes), around (a byte of the hash of the window after and of that before, 0 for none), doc_id, at."""
+    """The windows of docs (doc_id, text, shared) whose minimizer is in ``shared``: e1, e2 (hashes), around (a byte of the hash of the window after and of that before, 0 for none), doc_id, copy, at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in kit.pieces(batches):
@@ -86,20 +89,27 @@ def _edges(docs: DataFrame, k: int, short: int) -> DataFrame:
             around[:-1] += np.where(meets, part[1:] << 8, 0).astype(np.int16)
             around[1:] += np.where(meets, part[:-1], 0).astype(np.int16)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kit.signed(e1)), pa.array((e2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(around), piece.column("doc_id").take(pa.array(doc)), pa.array((at - words.first[doc]).astype(np.int32))],
-                ["e1", "e2", "around", "doc_id", "at"],
+                [pa.array(kit.signed(e1)), pa.array((e2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(around), piece.column("doc_id").take(pa.array(doc)), piece.column("copy").take(pa.array(doc)), pa.array((at - words.first[doc]).astype(np.int32))],
+                ["e1", "e2", "around", "doc_id", "copy", "at"],
             )
 
-    return kit.map_texts(docs, run, "e1 long, e2 int, around short, doc_id long, at int")
+    return kit.map_texts(docs, run, "e1 long, e2 int, around short, doc_id long, copy long, at int")
+
+
+def told_apart(docs: DataFrame) -> DataFrame:
+    """doc_id, text and copy, which tells texts of one doc_id apart: 0 where a doc_id has one row, else a hash of the text."""
+    rows = kit.base_columns(docs)
+    several = kit.stage(rows.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 and doc_id is not null"))
+    return rows.join(several, "doc_id", "left").select("doc_id", "text", F.when(F.col("rows").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("text")).alias("copy"))
 
 
 def spans(docs: DataFrame, k: int = 13, short: int = 5, slices: int = 2) -> DataFrame:
-    """doc_id, at, windows, source, source_at: the compacted runs of windows that an earlier document has, staged.
+    """doc_id, copy, at, windows, source, source_at: the compacted runs of windows that an earlier document has, staged. docs: as told_apart() gives them.
 
     k: words of a window; short: words of the runs that minimizers are chosen from; slices: of windows,
     taken one after the other
     """
-    texts = kit.base_columns(docs).where("doc_id is not null")
+    texts = docs.where("doc_id is not null")
     marks = kit.stage(_marks(texts, k, short))
     several = kit.stage(marks.groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("m"))
     shared = kit.stage(marks.join(several, "m").groupBy("doc_id").agg(F.collect_list("m").alias("shared")))
@@ -116,23 +126,24 @@ def spans(docs: DataFrame, k: int = 13, short: int = 5, slices: int = 2) -> Data
         differ = F.col("all").bitwiseXOR(F.col("any"))
         on, back = (differ.bitwiseAND(F.lit(-256).cast("short")) == 0).alias("on"), (differ.bitwiseAND(F.lit(255).cast("short")) == 0).alias("back")
         first = kit.stage(first.where("source < last").select("e1", "e2", "source", "source_at", on, back))
-        found.append(kit.stage(part.select("e1", "e2", "doc_id", "at").join(first, ["e1", "e2"]).where("doc_id > source").select("doc_id", "at", "source", "source_at", "on", "back")))
+        found.append(kit.stage(part.select("e1", "e2", "doc_id", "copy", "at").join(first, ["e1", "e2"]).where("doc_id > source").select("doc_id", "copy", "at", "source", "source_at", "on", "back")))
         kit.drop(first)
     kit.drop(edges)
     again = reduce(DataFrame.unionByName, found)
-    order = Window.partitionBy("doc_id").orderBy("at", "source_at")
+    order = Window.partitionBy("doc_id", "copy").orderBy("at", "source_at")
     lag = lambda c: F.lag(c).over(order)
     follows = (F.col("at") == lag("at") + 1) & (F.col("source") == lag("source")) & (F.col("source_at") == lag("source_at") + 1) & F.col("back") & lag("on")
     runs = again.withColumn("run", F.sum(F.when(follows, 0).otherwise(1)).over(order))
-    out = kit.stage(runs.groupBy("doc_id", "run").agg(F.min("at").alias("at"), F.count("*").alias("windows"), F.first("source").alias("source"), F.min("source_at").alias("source_at")).drop("run"))
+    out = kit.stage(runs.groupBy("doc_id", "copy", "run").agg(F.min("at").alias("at"), F.count("*").alias("windows"), F.first("source").alias("source"), F.min("source_at").alias("source_at")).drop("run"))
     kit.drop(*found)
     return out
 
 
 def remove(docs: DataFrame, k: int = 13, short: int = 5) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the words that stay, joined by one space)."""
-    found = spans(docs, k, short)
-    of_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "windows")).alias("gone")).select("doc_id", F.col("gone.at").alias("at"), F.col("gone.windows").alias("windows"))
+    rows = told_apart(docs)
+    found = spans(rows, k, short)
+    of_doc = found.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("at", "windows")).alias("gone")).select("doc_id", "copy", F.col("gone.at").alias("at"), F.col("gone.windows").alias("windows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in kit.pieces(batches):
@@ -157,5 +168,5 @@ def remove(docs: DataFrame, k: int = 13, short: int = 5) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
             )
 
-    texts = kit.base_columns(docs).join(of_doc, "doc_id", "left")
+    texts = rows.join(of_doc, ["doc_id", "copy"], "left")
     return kit.map_texts(texts, run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
