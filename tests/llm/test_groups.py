@@ -144,6 +144,16 @@ def test_substring_dedup_of_null_ids_and_repeated_rows(spark):
     assert debruijn.remove(df.limit(0)).count() == 0
 
 
+def test_substring_dedup_of_rows_of_one_id_and_very_long_texts(spark):
+    rng = random.Random(14)
+    own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(3)]
+    long = [f"v{rng.randrange(10**6)}" for _ in range(150_000)]
+    df = spark.createDataFrame([(1, own[0]), (7, f"x {own[0]} y"), (7, own[1]), (7, own[1]), (9, f"{own[1]} z"), (9, own[2]), (20, " ".join(long)), (21, " ".join(["a", *long, "b"]))], "doc_id long, text string")
+    rows = debruijn.remove(df.selectExpr("*", "1 as copy", "2 as rows", "'s' as shared", "3 as at"))
+    got = sorted((r["doc_id"], r["n_removed"], len(r["kept"].split())) for r in rows.collect())
+    assert got == [(1, 0, 30), (7, 0, 30), (7, 0, 30), (7, 30, 2), (9, 0, 30), (9, 30, 1), (20, 0, 150_000), (21, 150_000, 2)]
+
+
 def passage(rng, n):
     return [f"b{rng.randrange(500)}" for _ in range(n)]
 

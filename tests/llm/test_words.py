@@ -229,6 +229,59 @@ def test_secrets_copied_within_one_owner_are_examples(spark):
     assert all((got[i]["n_live"], got[i]["n_example"], got[i]["candidates"]) == (0, 1, "4:28:21:2") for i in range(41, 62))
 
 
+def test_forest_agrees_with_a_walk():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4))
+    forest = iforest.Forest.grow(x, x.min(0), x.max(0), trees=30, size=64, depth=8)
+
+    def path(t, row):
+        place = 0
+        while forest.feature[t, place] >= 0:
+            place = 2 * place + (2 if row[forest.feature[t, place]] > forest.cut[t, place] else 1)
+        return forest.path[t, place]
+
+    odd = np.vstack([x[:40], rng.normal(size=(10, 4)) * 20])
+    want = [np.mean([path(t, row) for t in range(30)]) for row in odd]
+    assert np.allclose(forest.paths(odd), want) and np.mean(want[40:]) < np.mean(want[:40])
+
+
+def test_ownership_agrees_with_counting(spark):
+    rng = random.Random(17)
+    values = ["".join(rng.choice("0123456789abcdef") for _ in range(28)) for _ in range(40)]
+    rows = [(i, " | ".join(f"key {v} end" for v in rng.choices(values[: 1 + i % 40], k=rng.randrange(3))), rng.choice("abcdef")[: rng.randrange(2)] or None) for i in range(300)]
+    docs_of, owners = collections.defaultdict(set), collections.defaultdict(lambda: collections.defaultdict(set))
+    for i, t, owner in rows:
+        for v in re.findall("[0-9a-f]{28}", t):
+            docs_of[v].add(i)
+            owners[v][owner].add(i)
+    example = {v: len(owners[v]) > 2 or max(map(len, owners[v].values())) > 10 for v in docs_of}
+    assert len(set(example.values())) == 2
+    got = {r["doc_id"]: r for r in secrets.digest(secrets.find(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()}
+    for i, t, _ in rows:
+        found = [(m.start(), m.end(), m.group()) for m in re.finditer("[0-9a-f]{28}", t)]
+        assert got[i]["candidates"] == ",".join(f"{a}:{b}:{len(docs_of[v])}:{len(owners[v])}" for a, b, v in found)
+        assert (got[i]["n_live"], got[i]["n_example"]) == (sum(not example[v] for _, _, v in found), sum(example[v] for _, _, v in found))
+
+
+def test_scores_of_the_graph_agree_with_plain_rounds(spark):
+    rng = random.Random(19)
+    edges = {(f"p{rng.randrange(9)}", f"v{rng.randrange(30)}") for _ in range(120)}
+    seeds = {f"v{i}" for i in range(12)}
+    held = collections.defaultdict(set)
+    for p, v in edges:
+        held[p].add(v)
+    known = {p for p in held if len(held[p] & seeds) >= 3}
+    score = {v: float(v in seeds) for p in known for v in held[p]}
+    mean = lambda p: sum(score[v] for v in held[p]) / len(held[p])
+    for _ in range(3):
+        conf = {p: mean(p) for p in known}
+        score = {v: 1.0 if v in seeds else 1 - np.prod([max(1e-9, 1 - conf[p]) for p in known if v in held[p]]) for v in score}
+    want = {(p, v) for p in known for v in held[p] if v not in seeds and score[v] >= 0.6 and mean(p) >= 0.6}
+    tokens = spark.createDataFrame([(i, [(5 * i, 5 * i + 1, v, p, int(v in seeds))]) for i, (p, v) in enumerate(sorted(edges))], "row long, tokens array<struct<start:long,end:long,value:string,pattern:string,seed:int>>")
+    got = {sorted(edges)[r["row"]] for r in pii.discover(tokens, trust=0.6).collect()}
+    assert got == want and want
+
+
 @pytest.mark.parametrize("find", [pii.find, secrets.find])
 def test_no_documents(spark, find):
     assert find(docs(spark, ["x"]).limit(0)).count() == 0
