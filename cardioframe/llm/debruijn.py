@@ -1,12 +1,15 @@
 """Substring dedup by De Bruijn compaction.
 
-The edges of the graph are the runs of k words (a window); two windows that follow one another meet in a
-node of k - 1 words. Only windows that start in several documents matter, so these are found first: every
-window has a minimizer, the least hash of its short word runs, which equal windows share, and windows
-whose minimizer occurs in one document only are left out before any window is shuffled. The remaining
-edges are aggregated to their first document and a place in it, and to whether one edge follows and one
-precedes them. Along edges that don't branch, whose source places follow one another too, windows compact
-into spans; a span is thus verified against its source coordinates window by window, by 96 bits of hash.
+The edges of the graph are the runs of k words (a window); a window goes from the node of its first k - 1
+words to that of its last k - 1, and the hashes of both nodes name it. Only windows that start in several
+documents matter, so these are found first: every window has a minimizer, the least hash of its short word
+runs, which equal windows share, and windows whose minimizer occurs in one document only are left out before
+any window is shuffled. The remaining edges are aggregated to their first document and a place in it.
+
+A node that one edge enters and one edge leaves, at the same place of the same source, is a joint. Paths
+contract at their joints by joins on the node: the joints at odd places first, then those at places that are
+an odd number of 2, 4, 8 ... words, so each join halves what is left. Windows of documents follow the paths
+they lie on as spans, and a span counts only if its words have the digest of those at its source coordinates.
 
 The words of spans whose source is an earlier document are removed. Edge cases: a null text has no words;
 texts under k words have no window; rows with a null doc_id keep all words and are no source; repeated
@@ -65,7 +68,7 @@ def _marks(docs: DataFrame, k: int, short: int) -> DataFrame:
 
 
 def _edges(docs: DataFrame, k: int, short: int) -> DataFrame:
-    """The windows of docs (doc_id, text, shared) whose minimizer is in ``shared``: e1, e2 (hashes), around (a byte of the hash of the window after and of that before, 0 for none), doc_id, copy, at."""
+    """The windows of docs (doc_id, copy, text, shared) whose minimizer is in ``shared``: u and v (hashes of their nodes), doc_id, copy, at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in kit.pieces(batches):
@@ -80,20 +83,16 @@ def _edges(docs: DataFrame, k: int, short: int) -> DataFrame:
             mine = key(doc, m)
             place = np.minimum(np.searchsorted(known, mine), max(0, len(known) - 1))
             use = known[place] == mine if len(known) else np.zeros(len(mine), bool)
-            _, e1 = words.windows(hashes, k)
-            _, e2 = words.windows(hashes, k, salt=1)
-            at, doc, e1, e2 = at[use], doc[use], e1[use], e2[use]
-            meets = (at[1:] == at[:-1] + 1) & (doc[1:] == doc[:-1])
-            part = (e1 & np.uint64(0xFF)).astype(np.int16)
-            around = np.zeros(len(at), np.int16)
-            around[:-1] += np.where(meets, part[1:] << 8, 0).astype(np.int16)
-            around[1:] += np.where(meets, part[:-1], 0).astype(np.int16)
+            at, doc = at[use], doc[use]
+            begins, node = words.windows(hashes, k - 1)
+            nodes = np.zeros(len(hashes) + 1, np.uint64)
+            nodes[begins] = node
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kit.signed(e1)), pa.array((e2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(around), piece.column("doc_id").take(pa.array(doc)), piece.column("copy").take(pa.array(doc)), pa.array((at - words.first[doc]).astype(np.int32))],
-                ["e1", "e2", "around", "doc_id", "copy", "at"],
+                [pa.array(kit.signed(nodes[at])), pa.array(kit.signed(nodes[at + 1])), piece.column("doc_id").take(pa.array(doc)), piece.column("copy").take(pa.array(doc)), pa.array((at - words.first[doc]).astype(np.int32))],
+                ["u", "v", "doc_id", "copy", "at"],
             )
 
-    return kit.map_texts(docs, run, "e1 long, e2 int, around short, doc_id long, copy long, at int")
+    return kit.map_texts(docs, run, "u long, v long, doc_id long, copy long, at int")
 
 
 def told_apart(docs: DataFrame) -> DataFrame:
@@ -103,8 +102,40 @@ def told_apart(docs: DataFrame) -> DataFrame:
     return rows.join(several, "doc_id", "left").select("doc_id", "text", F.when(F.col("rows").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("text")).alias("copy"))
 
 
+def compact(edges: DataFrame) -> DataFrame:
+    """source, source_copy, at, windows: the nonbranching paths of a graph, staged. edges: u, v, source, source_copy, source_at, each edge once.
+
+    Each edge is in one path. A path is also one stretch of its source, so a cycle ends where its places do.
+    Rounds grow with the logarithm of the longest text; the table of a round is about half the one before it.
+    """
+    origin = ["source", "source_copy"]
+    ends = edges.select(F.col("u").alias("node"), *origin, F.col("source_at").alias("place"), F.lit(1).alias("leaves"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), *origin, (F.col("source_at") + 1).alias("place"), F.lit(0).alias("leaves")))
+    same = [F.min(c).eqNullSafe(F.max(c)).alias(f"same_{c}") for c in (*origin, "place")]
+    nodes = ends.groupBy("node").agg(F.count("*").alias("degree"), F.sum("leaves").alias("out"), F.min("place").alias("place"), *same)
+    joints = kit.stage(nodes.where("degree = 2 and out = 1 and same_source and same_source_copy and same_place").select("node", "place"))
+    lowest = lambda place: place.bitwiseAND(-place)
+    rounds = (joints.agg(F.max(lowest(F.col("place")))).first()[0] or 0).bit_length()
+    before, after = joints.select(F.col("node").alias("u"), F.lit(True).alias("before")), joints.select(F.col("node").alias("v"), F.lit(True).alias("after"))
+    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("before", "after")]
+    paths = edges.join(before, "u", "left").join(after, "v", "left").select("u", "v", *origin, F.col("source_at").alias("at"), F.lit(1).alias("windows"), *flags)
+    tables = [joints, kit.stage(paths)]
+    for r in range(rounds):
+        left_open = tables[-1].where("before or after")
+        joins_after = F.col("after") & (lowest(F.col("at") + F.col("windows")) == 1 << r)
+        joins_before = F.col("before") & (lowest(F.col("at")) == 1 << r)
+        first = left_open.where(joins_after)
+        second = left_open.where(joins_before).select(F.col("u").alias("v"), F.col("v").alias("to"), F.col("windows").alias("more"), F.col("after").alias("on"))
+        merged = first.join(second, "v").select("u", F.col("to").alias("v"), *origin, "at", (F.col("windows") + F.col("more")).alias("windows"), "before", F.col("on").alias("after"))
+        tables.append(kit.stage(left_open.where(~joins_after & ~joins_before).unionByName(merged)))
+    done = [t.where("not before and not after").select(*origin, "at", "windows") for t in tables[1:]]
+    out = kit.stage(reduce(DataFrame.unionByName, done))
+    kit.drop(*tables)
+    return out
+
+
 def spans(docs: DataFrame, k: int = 13, short: int = 5, slices: int = 2) -> DataFrame:
-    """doc_id, copy, at, windows, source, source_at: the compacted runs of windows that an earlier document has, staged. docs: as told_apart() gives them.
+    """doc_id, copy, at, windows, source, source_copy, source_at: the stretches of compacted paths that documents share with an earlier one, staged. docs: as told_apart() gives them.
 
     k: words of a window; short: words of the runs that minimizers are chosen from; slices: of windows,
     taken one after the other
@@ -117,41 +148,75 @@ def spans(docs: DataFrame, k: int = 13, short: int = 5, slices: int = 2) -> Data
     edges = kit.stage(_edges(texts.join(shared, "doc_id"), k, short))
     kit.drop(shared)
     # slices of the hashes one after the other: the same rows are shuffled, but only a slice at a time is on disk
+    part = lambda df, i: df.where(F.pmod("u", F.lit(slices)) == i)
+    repeated = []
+    for i in range(slices):
+        first = part(edges, i).groupBy("u", "v").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min_by("copy", "doc_id").alias("source_copy"), F.min_by("at", "doc_id").alias("source_at"))
+        repeated.append(kit.stage(first.where("source < last").drop("last")))
+    graph = reduce(DataFrame.unionByName, repeated)
+    paths = compact(graph)
+    places = paths.select("source", "source_copy", F.col("at").alias("path"), F.explode(F.sequence("at", F.col("at") + F.col("windows") - 1)).alias("source_at"))
+    placed = kit.stage(graph.join(places, ["source", "source_copy", "source_at"]))
+    kit.drop(paths, *repeated)
     found = []
     for i in range(slices):
-        part = edges.where(F.pmod("e1", F.lit(slices)) == i)
-        first = part.groupBy("e1", "e2").agg(
-            F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min_by("at", "doc_id").alias("source_at"), F.bit_and("around").alias("all"), F.bit_or("around").alias("any")
-        )
-        differ = F.col("all").bitwiseXOR(F.col("any"))
-        on, back = (differ.bitwiseAND(F.lit(-256).cast("short")) == 0).alias("on"), (differ.bitwiseAND(F.lit(255).cast("short")) == 0).alias("back")
-        first = kit.stage(first.where("source < last").select("e1", "e2", "source", "source_at", on, back))
-        found.append(kit.stage(part.select("e1", "e2", "doc_id", "copy", "at").join(first, ["e1", "e2"]).where("doc_id > source").select("doc_id", "copy", "at", "source", "source_at", "on", "back")))
-        kit.drop(first)
-    kit.drop(edges)
-    again = reduce(DataFrame.unionByName, found)
-    order = Window.partitionBy("doc_id", "copy").orderBy("at", "source_at")
-    lag = lambda c: F.lag(c).over(order)
-    follows = (F.col("at") == lag("at") + 1) & (F.col("source") == lag("source")) & (F.col("source_at") == lag("source_at") + 1) & F.col("back") & lag("on")
-    runs = again.withColumn("run", F.sum(F.when(follows, 0).otherwise(1)).over(order))
-    out = kit.stage(runs.groupBy("doc_id", "copy", "run").agg(F.min("at").alias("at"), F.count("*").alias("windows"), F.first("source").alias("source"), F.min("source_at").alias("source_at")).drop("run"))
+        here = part(edges, i).join(part(placed, i), ["u", "v"]).where("doc_id > source")
+        found.append(kit.stage(here.select("doc_id", "copy", "at", "source", "source_copy", "path", (F.col("source_at") - F.col("at")).alias("shift"))))
+    kit.drop(edges, placed)
+    along = ["doc_id", "copy", "source", "source_copy", "path", "shift"]
+    # places in a row less their ranks are one number; a document that leaves a path and meets it again has several
+    runs = reduce(DataFrame.unionByName, found).withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy(*along).orderBy("at")))
+    out = runs.groupBy(*along, "run").agg(F.min("at").alias("at"), F.count("*").cast("int").alias("windows"))
+    out = kit.stage(out.select("doc_id", "copy", "at", "windows", "source", "source_copy", (F.col("at") + F.col("shift")).alias("source_at")))
     kit.drop(*found)
     return out
 
 
+def _digest(words: kit.Words, at: int, n: int) -> bytes:
+    """Of the bytes of n words from ``at`` on, joined by one space."""
+    a, b = words.start[at], words.end[at + n - 1]
+    body, within = words.buf[a:b], words.is_word[a:b]
+    keep = within.copy()
+    keep[1:] |= within[:-1]  # the byte after each word
+    return hashlib.blake2b(np.where(within, body, 32).astype(np.uint8)[keep].tobytes(), digest_size=16).digest()
+
+
+def source_digests(docs: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """source, source_copy, source_at, windows, digest: of the words that the spans have at their sources."""
+    places = found.groupBy("source", "source_copy").agg(F.collect_set(F.struct("source_at", "windows")).alias("places"))
+    places = places.select(F.col("source").alias("doc_id"), F.col("source_copy").alias("copy"), F.col("places.source_at").alias("at"), F.col("places.windows").alias("windows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in kit.pieces(batches):
+            words = kit.Words(piece)
+            for d, (at, windows) in enumerate(zip(piece.column("at").to_pylist(), piece.column("windows").to_pylist(), strict=True)):
+                owner = pa.array([d] * len(at))
+                digests = [_digest(words, words.first[d] + a, w + k - 1) for a, w in zip(at, windows, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("doc_id").take(owner), piece.column("copy").take(owner), pa.array(at, pa.int32()), pa.array(windows, pa.int32()), pa.array(digests, pa.binary())],
+                    ["source", "source_copy", "source_at", "windows", "digest"],
+                )
+
+    # repeated rows of a document give equal digests
+    return kit.map_texts(docs.join(places, ["doc_id", "copy"]), run, "source long, source_copy long, source_at int, windows int, digest binary").distinct()
+
+
 def remove(docs: DataFrame, k: int = 13, short: int = 5) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the words that stay, joined by one space)."""
     rows = told_apart(docs)
     found = spans(rows, k, short)
-    of_doc = found.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("at", "windows")).alias("gone")).select("doc_id", "copy", F.col("gone.at").alias("at"), F.col("gone.windows").alias("windows"))
+    digests = kit.stage(source_digests(rows, found, k))
+    known = found.join(digests, ["source", "source_copy", "source_at", "windows"])
+    of_doc = known.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("at", "windows", "digest")).alias("gone")).select("doc_id", "copy", *(F.col(f"gone.{c}").alias(c) for c in ("at", "windows", "digest")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in kit.pieces(batches):
             words = kit.Words(piece)
             gone = np.zeros(len(words.start), bool)
-            for d, (at, windows) in enumerate(zip(piece.column("at").to_pylist(), piece.column("windows").to_pylist(), strict=True)):
-                for a, w in zip(at or (), windows or (), strict=True):
-                    gone[min(words.first[d] + a, words.first[d + 1]) : min(words.first[d] + a + w + k - 1, words.first[d + 1])] = True
+            for d, lists in enumerate(zip(*(piece.column(c).to_pylist() for c in ("at", "windows", "digest")), strict=True)):
+                for a, w, digest in zip(*(x or () for x in lists), strict=True):
+                    if _digest(words, words.first[d] + a, w + k - 1) == digest:
+                        gone[words.first[d] + a : words.first[d] + a + w + k - 1] = True
             # the bytes of words that stay, each with one byte after it, which becomes a space
             stays = ~gone[np.maximum(words.index, 0)] & words.is_word if len(gone) else np.zeros(len(words.buf), bool)
             size = np.where(gone, 0, words.end - words.start + 1)
