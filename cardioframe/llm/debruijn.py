@@ -112,13 +112,17 @@ def compact(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("u").alias("node"), *origin, F.col("source_at").alias("place"), F.lit(1).alias("leaves"))
     ends = ends.unionByName(edges.select(F.col("v").alias("node"), *origin, (F.col("source_at") + 1).alias("place"), F.lit(0).alias("leaves")))
     same = [F.min(c).eqNullSafe(F.max(c)).alias(f"same_{c}") for c in (*origin, "place")]
-    nodes = ends.groupBy("node").agg(F.count("*").alias("degree"), F.sum("leaves").alias("out"), F.min("place").alias("place"), *same)
-    joints = kit.stage(nodes.where("degree = 2 and out = 1 and same_source and same_source_copy and same_place").select("node", "place"))
+    nodes = ends.groupBy("node").agg(F.count("*").alias("degree"), F.sum("leaves").alias("out"), *(F.min(c).alias(c) for c in (*origin, "place")), *same)
+    joints = kit.stage(nodes.where("degree = 2 and out = 1 and same_source and same_source_copy and same_place").select(*origin, "place"))
     lowest = lambda place: place.bitwiseAND(-place)
     rounds = (joints.agg(F.max(lowest(F.col("place")))).first()[0] or 0).bit_length()
-    before, after = joints.select(F.col("node").alias("u"), F.lit(True).alias("before")), joints.select(F.col("node").alias("v"), F.lit(True).alias("after"))
-    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("before", "after")]
-    paths = edges.join(before, "u", "left").join(after, "v", "left").select("u", "v", *origin, F.col("source_at").alias("at"), F.lit(1).alias("windows"), *flags)
+    # an edge learns which of its ends are joints by its place: one aggregation, without a sort
+    place = lambda shift, **flags: joints.select(*origin, (F.col("place") + shift).alias("at"), *(F.lit(flags.get(c)).cast(t).alias(c) for c, t in kinds.items()))
+    kinds = {"u": "long", "v": "long", "before": "boolean", "after": "boolean"}
+    told = edges.select(*origin, F.col("source_at").alias("at"), "u", "v", F.lit(None).cast("boolean").alias("before"), F.lit(None).cast("boolean").alias("after"))
+    told = told.unionByName(place(0, before=True)).unionByName(place(-1, after=True)).groupBy(*origin, "at")
+    paths = told.agg(F.max("u").alias("u"), F.max("v").alias("v"), *(F.coalesce(F.max(c), F.lit(False)).alias(c) for c in ("before", "after")))
+    paths = paths.select("u", "v", *origin, "at", F.lit(1).alias("windows"), "before", "after")
     tables = [joints, kit.stage(paths)]
     for r in range(rounds):
         left_open = tables[-1].where("before or after")
@@ -164,10 +168,15 @@ def spans(docs: DataFrame, k: int = 13, short: int = 5, slices: int = 2) -> Data
         found.append(kit.stage(here.select("doc_id", "copy", "at", "source", "source_copy", "path", (F.col("source_at") - F.col("at")).alias("shift"))))
     kit.drop(edges, placed)
     along = ["doc_id", "copy", "source", "source_copy", "path", "shift"]
-    # places in a row less their ranks are one number; a document that leaves a path and meets it again has several
-    runs = reduce(DataFrame.unionByName, found).withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy(*along).orderBy("at")))
-    out = runs.groupBy(*along, "run").agg(F.min("at").alias("at"), F.count("*").cast("int").alias("windows"))
+    hits = reduce(DataFrame.unionByName, found)
+    stretches = kit.stage(hits.groupBy(*along).agg(F.min("at").alias("at"), F.max("at").alias("last"), F.count("*").cast("int").alias("windows")))
+    whole = F.col("last") - F.col("at") + 1 == F.col("windows")
+    # a document that leaves a path and meets it again has several spans: places in a row less their ranks are one number
+    broken = hits.join(stretches.where(~whole).select(*along), along, "left_semi").withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy(*along).orderBy("at")))
+    parts = broken.groupBy(*along, "run").agg(F.min("at").alias("at"), F.count("*").cast("int").alias("windows"))
+    out = stretches.where(whole).drop("last").unionByName(parts.drop("run"))
     out = kit.stage(out.select("doc_id", "copy", "at", "windows", "source", "source_copy", (F.col("at") + F.col("shift")).alias("source_at")))
+    kit.drop(stretches)
     kit.drop(*found)
     return out
 

@@ -154,6 +154,35 @@ def test_substring_dedup_of_rows_of_one_id_and_very_long_texts(spark):
     assert got == [(1, 0, 30), (7, 0, 30), (7, 0, 30), (7, 30, 2), (9, 0, 30), (9, 30, 1), (20, 0, 150_000), (21, 150_000, 2)]
 
 
+def walked_paths(edges):
+    """The nonbranching paths of edges (u, v, place of one source), as (place, windows)."""
+    at = {p: (u, v) for u, v, p in edges}
+    enters, leaves = collections.Counter(v for _, v, _ in edges), collections.Counter(u for u, _, _ in edges)
+    joint = {p for p, (u, _) in at.items() if p - 1 in at and at[p - 1][1] == u and enters[u] == leaves[u] == 1}
+    out = []
+    for p in sorted(set(at) - joint):
+        n = 1
+        while p + n in joint:
+            n += 1
+        out.append((p, n))
+    return out
+
+
+@pytest.mark.parametrize("seed", [3, 8])
+def test_paths_contract_as_walking_them_does(spark, seed):
+    rng = random.Random(seed)
+    edges, node = [], 0
+    for p in range(400):
+        after = rng.randrange(node) if node and rng.random() < 0.08 else p + 1000
+        if rng.random() < 0.9:
+            edges.append((node, after, p))
+        node = after
+    edges = list({(u, v): (u, v, p) for u, v, p in edges}.values()) + [(5000, 5000, 700)]
+    rows = spark.createDataFrame([(u, v, 1, 0, p) for u, v, p in edges], "u long, v long, source long, source_copy long, source_at int")
+    assert sorted((r["at"], r["windows"]) for r in debruijn.compact(rows).collect()) == walked_paths(edges)
+    assert debruijn.compact(rows.limit(0)).count() == 0
+
+
 def passage(rng, n):
     return [f"b{rng.randrange(500)}" for _ in range(n)]
 
