@@ -4,11 +4,12 @@ The edges of the graph are the runs of k words (a window); a window goes from th
 words to that of its last k - 1, and the hashes of both nodes name it. Only windows that start in several
 documents matter, so these are found first: every window has a minimizer, the least hash of its short word
 runs, which equal windows share, and windows whose minimizer occurs in one document only are left out before
-any window is shuffled. The remaining edges are aggregated to their first document and a place in it.
+any window is shuffled. Neighbouring windows of one minimizer travel together as a run; each different run is
+taken apart once, and its edges are aggregated to their first document and a place in it.
 
 A node that one edge enters and one edge leaves, at the same place of the same source, is a joint. Paths
 contract at their joints by joins on the node: the joints at odd places first, then those at places that are
-an odd number of 2, 4, 8 ... words, so each join halves what is left. Windows of documents follow the paths
+an odd number of 2, 4, 8 ... words, so each join halves what is left. Runs of documents follow the paths
 they lie on as spans, and a span counts only if its words have the digest of those at its source coordinates.
 
 The words of spans whose source is an earlier document are removed. Edge cases: a null text has no words;
@@ -67,8 +68,11 @@ def _marks(docs: DataFrame, k: int, short: int) -> DataFrame:
     return kit.map_texts(docs.select("doc_id", "text"), run, "m long, doc_id long")
 
 
-def _edges(docs: DataFrame, k: int, short: int) -> DataFrame:
-    """The windows of docs (doc_id, copy, text, shared) whose minimizer is in ``shared``: u and v (hashes of their nodes), doc_id, copy, at."""
+def _runs(docs: DataFrame, k: int, short: int) -> DataFrame:
+    """The windows of docs (doc_id, copy, text, shared) whose minimizer is in ``shared``, neighbours of one minimizer together: nodes (hashes, one more than windows), doc_id, copy, at.
+
+    A run has at most k - 1 windows, so the words of its first and last node are all of its words, and these two and its length name it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in kit.pieces(batches):
@@ -83,16 +87,23 @@ def _edges(docs: DataFrame, k: int, short: int) -> DataFrame:
             mine = key(doc, m)
             place = np.minimum(np.searchsorted(known, mine), max(0, len(known) - 1))
             use = known[place] == mine if len(known) else np.zeros(len(mine), bool)
-            at, doc = at[use], doc[use]
+            at, doc, m = at[use], doc[use], m[use]
             begins, node = words.windows(hashes, k - 1)
             nodes = np.zeros(len(hashes) + 1, np.uint64)
             nodes[begins] = node
+            new = np.append(True, (at[1:] != at[:-1] + 1) | (m[1:] != m[:-1]))[: len(at)]  # windows of two documents are never neighbours
+            rank = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+            starts = np.flatnonzero(rank % (k - 1) == 0)
+            size = np.diff(np.append(starts, len(at))) + 1
+            offsets = np.append(0, np.cumsum(size))
+            at, doc = at[starts], doc[starts]
+            flat = nodes[np.repeat(at - offsets[:-1], size) + np.arange(offsets[-1])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kit.signed(nodes[at])), pa.array(kit.signed(nodes[at + 1])), piece.column("doc_id").take(pa.array(doc)), piece.column("copy").take(pa.array(doc)), pa.array((at - words.first[doc]).astype(np.int32))],
-                ["u", "v", "doc_id", "copy", "at"],
+                [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(kit.signed(flat))), piece.column("doc_id").take(pa.array(doc)), piece.column("copy").take(pa.array(doc)), pa.array((at - words.first[doc]).astype(np.int32))],
+                ["nodes", "doc_id", "copy", "at"],
             )
 
-    return kit.map_texts(docs, run, "u long, v long, doc_id long, copy long, at int")
+    return kit.map_texts(docs, run, "nodes array<long>, doc_id long, copy long, at int")
 
 
 def told_apart(docs: DataFrame) -> DataFrame:
@@ -138,46 +149,48 @@ def compact(edges: DataFrame) -> DataFrame:
     return out
 
 
-def spans(docs: DataFrame, k: int = 13, short: int = 5, slices: int = 2) -> DataFrame:
+def spans(docs: DataFrame, k: int = 13, short: int = 5) -> DataFrame:
     """doc_id, copy, at, windows, source, source_copy, source_at: the stretches of compacted paths that documents share with an earlier one, staged. docs: as told_apart() gives them.
 
-    k: words of a window; short: words of the runs that minimizers are chosen from; slices: of windows,
-    taken one after the other
+    k: words of a window; short: words of the runs that minimizers are chosen from
     """
     texts = docs.where("doc_id is not null")
     marks = kit.stage(_marks(texts, k, short))
-    several = kit.stage(marks.groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("m"))
+    several = marks.groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("m")
     shared = kit.stage(marks.join(several, "m").groupBy("doc_id").agg(F.collect_list("m").alias("shared")))
-    kit.drop(marks, several)
-    edges = kit.stage(_edges(texts.join(shared, "doc_id"), k, short))
+    kit.drop(marks)
+    runs = kit.stage(_runs(texts.join(shared, "doc_id"), k, short))
     kit.drop(shared)
-    # slices of the hashes one after the other: the same rows are shuffled, but only a slice at a time is on disk
-    part = lambda df, i: df.where(F.pmod("u", F.lit(slices)) == i)
-    repeated = []
-    for i in range(slices):
-        first = part(edges, i).groupBy("u", "v").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min_by("copy", "doc_id").alias("source_copy"), F.min_by("at", "doc_id").alias("source_at"))
-        repeated.append(kit.stage(first.where("source < last").drop("last")))
-    graph = reduce(DataFrame.unionByName, repeated)
+    # each different run once, with its first document and the last one
+    different = kit.stage(runs.groupBy("nodes").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min_by("copy", "doc_id").alias("source_copy"), F.min_by("at", "doc_id").alias("at")))
+    name = [F.col("nodes")[0].alias("head"), F.element_at("nodes", -1).alias("tail"), F.size("nodes").alias("long")]
+    windows = different.select("*", F.explode(F.sequence(F.lit(0), F.size("nodes") - 2)).alias("i"))
+    windows = windows.select(F.col("nodes")[F.col("i")].alias("u"), F.col("nodes")[F.col("i") + 1].alias("v"), "i", "source", "last", "source_copy", (F.col("at") + F.col("i")).alias("source_at"), *name)
+    first = windows.groupBy("u", "v").agg(F.min("source").alias("source"), F.max("last").alias("last"), F.min_by("source_copy", "source").alias("source_copy"), F.min_by("source_at", "source").alias("source_at"))
+    graph = kit.stage(first.where("source < last").drop("last"))
     paths = compact(graph)
     places = paths.select("source", "source_copy", F.col("at").alias("path"), F.explode(F.sequence("at", F.col("at") + F.col("windows") - 1)).alias("source_at"))
-    placed = kit.stage(graph.join(places, ["source", "source_copy", "source_at"]))
-    kit.drop(paths, *repeated)
-    found = []
-    for i in range(slices):
-        here = part(edges, i).join(part(placed, i), ["u", "v"]).where("doc_id > source")
-        found.append(kit.stage(here.select("doc_id", "copy", "at", "source", "source_copy", "path", (F.col("source_at") - F.col("at")).alias("shift"))))
-    kit.drop(edges, placed)
+    placed = graph.join(places, ["source", "source_copy", "source_at"])
+    # the stretches of each different run on paths: a window between two of one path and shift consists of their words, so stretches have no gaps
+    met = windows.select("u", "v", "i", "head", "tail", "long").join(placed, ["u", "v"])
+    met = met.groupBy("head", "tail", "long", "source", "source_copy", "path", (F.col("source_at") - F.col("i")).alias("origin")).agg(F.min("i").alias("i"), F.count("*").cast("int").alias("windows"))
+    met = kit.stage(met)
+    kit.drop(paths, graph, different)
+    here = runs.select(*name, "doc_id", "copy", "at").join(met, ["head", "tail", "long"]).where("doc_id > source")
+    found = kit.stage(here.select("doc_id", "copy", (F.col("at") + F.col("i")).alias("at"), "windows", "source", "source_copy", "path", (F.col("origin") - F.col("at")).alias("shift")))
+    kit.drop(runs, met)
+    # repeated rows of a document say the same; they can only be where texts are told apart
+    hits = found.where("copy = 0").unionByName(found.where("copy <> 0").distinct())
     along = ["doc_id", "copy", "source", "source_copy", "path", "shift"]
-    hits = reduce(DataFrame.unionByName, found)
-    stretches = kit.stage(hits.groupBy(*along).agg(F.min("at").alias("at"), F.max("at").alias("last"), F.count("*").cast("int").alias("windows")))
-    whole = F.col("last") - F.col("at") + 1 == F.col("windows")
-    # a document that leaves a path and meets it again has several spans: places in a row less their ranks are one number
-    broken = hits.join(stretches.where(~whole).select(*along), along, "left_semi").withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy(*along).orderBy("at")))
-    parts = broken.groupBy(*along, "run").agg(F.min("at").alias("at"), F.count("*").cast("int").alias("windows"))
-    out = stretches.where(whole).drop("last").unionByName(parts.drop("run"))
+    stretches = kit.stage(hits.groupBy(*along).agg(F.min("at").alias("at"), F.max(F.col("at") + F.col("windows")).alias("end"), F.sum("windows").cast("int").alias("windows")))
+    whole = F.col("end") - F.col("at") == F.col("windows")
+    # a document that leaves a path and meets it again has several spans: places less the windows before them are one number in each
+    before = F.coalesce(F.sum("windows").over(Window.partitionBy(*along).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    broken = hits.join(stretches.where(~whole).select(*along), along, "left_semi").withColumn("run", F.col("at") - before)
+    parts = broken.groupBy(*along, "run").agg(F.min("at").alias("at"), F.sum("windows").cast("int").alias("windows"))
+    out = stretches.where(whole).drop("end").unionByName(parts.drop("run"))
     out = kit.stage(out.select("doc_id", "copy", "at", "windows", "source", "source_copy", (F.col("at") + F.col("shift")).alias("source_at")))
-    kit.drop(stretches)
-    kit.drop(*found)
+    kit.drop(stretches, found)
     return out
 
 
