@@ -7,9 +7,10 @@ runs, which equal windows share, and windows whose minimizer occurs in one docum
 any window is shuffled. Neighbouring windows of one minimizer travel together as a run; each different run is
 taken apart once, and its edges are aggregated to their first document and a place in it.
 
-A node that one edge enters and one edge leaves, at the same place of the same source, is a joint. Paths
-contract at their joints by joins on the node: the joints at odd places first, then those at places that are
-an odd number of 2, 4, 8 ... words, so each join halves what is left. Runs of documents follow the paths
+A node that one edge enters and one edge leaves, at the same place of the same source, is a joint, and the
+place names it. Edges of a block of 16 places contract at the joints between them by an aggregation of bits;
+from there on paths contract by joins on their joints: those at places that are an odd number of 16 words
+first, then of 32, 64 ... words, so each join halves what is left. Runs of documents follow the paths
 they lie on as spans, and a span counts only if its words have the digest of those at its source coordinates.
 
 The words of spans whose source is an earlier document are removed. Edge cases: a null text has no words;
@@ -113,6 +114,10 @@ def told_apart(docs: DataFrame) -> DataFrame:
     return rows.join(several, "doc_id", "left").select("doc_id", "text", F.when(F.col("rows").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("text")).alias("copy"))
 
 
+#: Places of a block, within which paths contract by their joints' bits before any join.
+BLOCK = 16
+
+
 def compact(edges: DataFrame) -> DataFrame:
     """source, source_copy, at, windows: the nonbranching paths of a graph, staged. edges: u, v, source, source_copy, source_at, each edge once.
 
@@ -125,23 +130,31 @@ def compact(edges: DataFrame) -> DataFrame:
     same = [F.min(c).eqNullSafe(F.max(c)).alias(f"same_{c}") for c in (*origin, "place")]
     nodes = ends.groupBy("node").agg(F.count("*").alias("degree"), F.sum("leaves").alias("out"), *(F.min(c).alias(c) for c in (*origin, "place")), *same)
     joints = kit.stage(nodes.where("degree = 2 and out = 1 and same_source and same_source_copy and same_place").select(*origin, "place"))
+    # blocks of places: the bits of their edges, of their joints, and of the joint at the next block's first place
+    bit = lambda place: F.call_function("shiftleft", F.lit(1), F.pmod(place, F.lit(BLOCK)))
+    mark = lambda df, place, edge, joint: df.select(*origin, F.floor(place / BLOCK).cast("int").alias("block"), edge.alias("edge"), joint.alias("joint"))
+    none, at, place = F.lit(0), F.col("source_at"), F.col("place")
+    marked = mark(edges, at, bit(at), none).unionByName(mark(joints, place, none, bit(place)))
+    marked = marked.unionByName(mark(joints.where(F.pmod(place, F.lit(BLOCK)) == 0), place - 1, none, F.lit(1 << BLOCK)))
+    blocks = marked.groupBy(*origin, "block").agg(F.bit_or("edge").alias("edge"), F.bit_or("joint").alias("joint"))
+    inner = f"(joint & {(1 << BLOCK) - 2})"
+    begins = F.filter(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda i: F.getbit(F.expr(f"edge & ~{inner}"), i) == 1)
+    pieces = blocks.select(*origin, "block", "joint", F.expr(inner).alias("inner"), F.explode(begins).alias("i"))
+    # a piece goes on for as many edges as there are joints in a row after its first one
+    more = "bit_count(((inner >> (i + 1)) ^ ((inner >> (i + 1)) + 1)) >> 1)"
+    pieces = pieces.select(*origin, "joint", (F.col("block") * BLOCK + F.col("i")).alias("at"), "i", F.expr(f"cast(1 + {more} as int)").alias("windows"))
+    border = lambda i, b: (i == b) & (F.getbit("joint", F.lit(b)) == 1)
+    paths = kit.stage(pieces.select(*origin, "at", "windows", border(F.col("i"), 0).alias("before"), border(F.col("i") + F.col("windows"), BLOCK).alias("after")))
     lowest = lambda place: place.bitwiseAND(-place)
-    rounds = (joints.agg(F.max(lowest(F.col("place")))).first()[0] or 0).bit_length()
-    # an edge learns which of its ends are joints by its place: one aggregation, without a sort
-    place = lambda shift, **flags: joints.select(*origin, (F.col("place") + shift).alias("at"), *(F.lit(flags.get(c)).cast(t).alias(c) for c, t in kinds.items()))
-    kinds = {"u": "long", "v": "long", "before": "boolean", "after": "boolean"}
-    told = edges.select(*origin, F.col("source_at").alias("at"), "u", "v", F.lit(None).cast("boolean").alias("before"), F.lit(None).cast("boolean").alias("after"))
-    told = told.unionByName(place(0, before=True)).unionByName(place(-1, after=True)).groupBy(*origin, "at")
-    paths = told.agg(F.max("u").alias("u"), F.max("v").alias("v"), *(F.coalesce(F.max(c), F.lit(False)).alias(c) for c in ("before", "after")))
-    paths = paths.select("u", "v", *origin, "at", F.lit(1).alias("windows"), "before", "after")
-    tables = [joints, kit.stage(paths)]
-    for r in range(rounds):
+    rounds = (joints.agg(F.max(lowest(place))).first()[0] or 0).bit_length()
+    tables = [joints, paths]
+    for r in range(BLOCK.bit_length() - 1, rounds):
         left_open = tables[-1].where("before or after")
         joins_after = F.col("after") & (lowest(F.col("at") + F.col("windows")) == 1 << r)
         joins_before = F.col("before") & (lowest(F.col("at")) == 1 << r)
-        first = left_open.where(joins_after)
-        second = left_open.where(joins_before).select(F.col("u").alias("v"), F.col("v").alias("to"), F.col("windows").alias("more"), F.col("after").alias("on"))
-        merged = first.join(second, "v").select("u", F.col("to").alias("v"), *origin, "at", (F.col("windows") + F.col("more")).alias("windows"), "before", F.col("on").alias("after"))
+        first = left_open.where(joins_after).withColumn("place", F.col("at") + F.col("windows"))
+        second = left_open.where(joins_before).select(*origin, F.col("at").alias("place"), F.col("windows").alias("more"), F.col("after").alias("on"))
+        merged = first.join(second, [*origin, "place"]).select(*origin, "at", (F.col("windows") + F.col("more")).alias("windows"), "before", F.col("on").alias("after"))
         tables.append(kit.stage(left_open.where(~joins_after & ~joins_before).unionByName(merged)))
     done = [t.where("not before and not after").select(*origin, "at", "windows") for t in tables[1:]]
     out = kit.stage(reduce(DataFrame.unionByName, done))
@@ -169,8 +182,11 @@ def spans(docs: DataFrame, k: int = 13, short: int = 5) -> DataFrame:
     first = windows.groupBy("u", "v").agg(F.min("source").alias("source"), F.max("last").alias("last"), F.min_by("source_copy", "source").alias("source_copy"), F.min_by("source_at", "source").alias("source_at"))
     graph = kit.stage(first.where("source < last").drop("last"))
     paths = compact(graph)
-    places = paths.select("source", "source_copy", F.col("at").alias("path"), F.explode(F.sequence("at", F.col("at") + F.col("windows") - 1)).alias("source_at"))
-    placed = graph.join(places, ["source", "source_copy", "source_at"])
+    # an edge finds its path among those of its block, which are as many as the block has places at most
+    of_block = lambda place: F.floor(place / BLOCK).cast("int")
+    end = F.col("at") + F.col("windows")
+    places = paths.select("source", "source_copy", F.col("at").alias("path"), end.alias("end"), F.explode(F.sequence(of_block(F.col("at")), of_block(end - 1))).alias("block"))
+    placed = graph.withColumn("block", of_block(F.col("source_at"))).join(places, ["source", "source_copy", "block"]).where("source_at >= path and source_at < end")
     # the stretches of each different run on paths: a window between two of one path and shift consists of their words, so stretches have no gaps
     met = windows.select("u", "v", "i", "head", "tail", "long").join(placed, ["u", "v"])
     met = met.groupBy("head", "tail", "long", "source", "source_copy", "path", (F.col("source_at") - F.col("i")).alias("origin")).agg(F.min("i").alias("i"), F.count("*").cast("int").alias("windows"))
