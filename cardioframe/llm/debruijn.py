@@ -176,9 +176,8 @@ def spans(docs: DataFrame, k: int = 13, short: int = 5) -> DataFrame:
     kit.drop(shared)
     # each different run once, with its first document and the last one
     different = kit.stage(runs.groupBy("nodes").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min_by("copy", "doc_id").alias("source_copy"), F.min_by("at", "doc_id").alias("at")))
-    name = [F.col("nodes")[0].alias("head"), F.element_at("nodes", -1).alias("tail"), F.size("nodes").alias("long")]
     windows = different.select("*", F.explode(F.sequence(F.lit(0), F.size("nodes") - 2)).alias("i"))
-    windows = windows.select(F.col("nodes")[F.col("i")].alias("u"), F.col("nodes")[F.col("i") + 1].alias("v"), "i", "source", "last", "source_copy", (F.col("at") + F.col("i")).alias("source_at"), *name)
+    windows = windows.select(F.col("nodes")[F.col("i")].alias("u"), F.col("nodes")[F.col("i") + 1].alias("v"), "i", "source", "last", "source_copy", "at", (F.col("at") + F.col("i")).alias("source_at"))
     first = windows.groupBy("u", "v").agg(F.min("source").alias("source"), F.max("last").alias("last"), F.min_by("source_copy", "source").alias("source_copy"), F.min_by("source_at", "source").alias("source_at"))
     graph = kit.stage(first.where("source < last").drop("last"))
     paths = compact(graph)
@@ -187,14 +186,20 @@ def spans(docs: DataFrame, k: int = 13, short: int = 5) -> DataFrame:
     end = F.col("at") + F.col("windows")
     places = paths.select("source", "source_copy", F.col("at").alias("path"), end.alias("end"), F.explode(F.sequence(of_block(F.col("at")), of_block(end - 1))).alias("block"))
     placed = graph.withColumn("block", of_block(F.col("source_at"))).join(places, ["source", "source_copy", "block"]).where("source_at >= path and source_at < end")
+    placed = kit.stage(placed.select("u", "v", "source", "source_copy", "source_at", "path"))
+    kit.drop(paths, graph)
     # the stretches of each different run on paths: a window between two of one path and shift consists of their words, so stretches have no gaps
-    met = windows.select("u", "v", "i", "head", "tail", "long").join(placed, ["u", "v"])
-    met = met.groupBy("head", "tail", "long", "source", "source_copy", "path", (F.col("source_at") - F.col("i")).alias("origin")).agg(F.min("i").alias("i"), F.count("*").cast("int").alias("windows"))
+    place = [F.col("source").alias("run_source"), F.col("source_copy").alias("run_copy"), F.col("at").alias("run_at")]  # where it was found first, which is less to shuffle than its hashes
+    met = windows.select("u", "v", "i", *place).join(placed, ["u", "v"])
+    met = met.groupBy("run_source", "run_copy", "run_at", "source", "source_copy", "path", (F.col("source_at") - F.col("i")).alias("origin")).agg(F.min("i").alias("i"), F.count("*").cast("int").alias("windows"))
     met = kit.stage(met)
-    kit.drop(paths, graph, different)
-    here = runs.select(*name, "doc_id", "copy", "at").join(met, ["head", "tail", "long"]).where("doc_id > source")
+    kit.drop(placed)
+    name = [F.col("nodes")[0].alias("head"), F.element_at("nodes", -1).alias("tail"), F.size("nodes").alias("long")]
+    named = kit.stage(met.join(different.select(*name, *place), ["run_source", "run_copy", "run_at"]).drop("run_source", "run_copy", "run_at"))
+    kit.drop(met, different)
+    here = runs.select(*name, "doc_id", "copy", "at").join(named, ["head", "tail", "long"]).where("doc_id > source")
     found = kit.stage(here.select("doc_id", "copy", (F.col("at") + F.col("i")).alias("at"), "windows", "source", "source_copy", "path", (F.col("origin") - F.col("at")).alias("shift")))
-    kit.drop(runs, met)
+    kit.drop(runs, named)
     # repeated rows of a document say the same; they can only be where texts are told apart
     hits = found.where("copy = 0").unionByName(found.where("copy <> 0").distinct())
     along = ["doc_id", "copy", "source", "source_copy", "path", "shift"]
