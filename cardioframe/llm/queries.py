@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, debruijn, decontam, gbt, iforest, jaccard, langid, lines, pii, secrets
+from . import bpe, debruijn, decontam, gbt, iforest, imatch, jaccard, langid, lines, negatives, pii, ranked, secrets
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -115,9 +115,72 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(_table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = """
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, list_dot_product(a.q, b.q)::bigint as score from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, id)::int as rank, id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, id) <= 10
+"""
+
+
+def op12_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+_DIGIT = "substr(h, 2 * i + {}, 1)"
+OP12_SQL = rf"""
+with d as (select row_number() over (order by doc_id desc nulls last, coalesce(text, '')) as rn, doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n from documents),
+nx as (select *, coalesce(lead(text) over (order by rn), first_value(text) over (order by rn)) as nxt from d),
+t as (select rn, 0 as which, text from nx union all select rn, 1, left(text, (n - n // 3)::bigint) || left(nxt, (n // 3)::bigint) from nx),
+w as (select rn, which, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> ''))) as term from t),
+lex as (select term from w where which = 0 group by term having count(*) between 0.001::double * (select count(*) from d) and 0.1::double * (select count(*) from d)),
+k as (select w.*, lex.term is not null as inside from w left join lex using (term)),
+c as (select *, count_if(inside) over (partition by rn, which) as held, count(*) over (partition by rn, which) as everything from k),
+chosen as (select rn, which, term, md5(term) as h, case when held >= 8 then held else everything end as n from c where inside or held < 8),
+grid as (select i, k from (select unnest(range(16)) as i) cross join (select unnest(range(4)) as k)),
+sig as (select rn, which, i, k, case when any_value(n) > 16 * pow(4, k + 1) then '++++' else substr(md5(string_agg(term, ' ' order by term)), 1, 4) end as s from chosen join grid
+  on case k when 0 then {_DIGIT.format(1)} < '4' when 1 then {_DIGIT.format(1)} = '0' when 2 then {_DIGIT.format(1)} = '0' and {_DIGIT.format(2)} < '4' else {_DIGIT.format(1)} = '0' and {_DIGIT.format(2)} = '0' end group by rn, which, i, k),
+crowd as (select rn, which, any_value(n) as n from chosen group by rn, which),
+slot as (select t.rn, t.which, i, k, coalesce(s, case when coalesce(n, 0) > 16 * pow(4, k + 1) then '++++' else '----' end) as s from t cross join grid left join sig using (rn, which, i, k) left join crowd using (rn, which)),
+fp as (select rn, which, string_agg(s, '' order by i, k) as f from slot group by rn, which),
+pairs as (select rn, 'e' as kind, rn as a, 0 as wa, rn as b, 1 as wb from d union all select rn, 'n', rn, 0, case when rn = (select max(rn) from d) then 1 else rn + 1 end, 0 from d),
+both_slots as (select p.rn, p.kind, x.k, x.s as s1, y.s as s2 from pairs p join slot x on x.rn = p.a and x.which = p.wa join slot y on y.rn = p.b and y.which = p.wb and y.i = x.i and y.k = x.k),
+lev as (select rn, kind, k, count_if(s1 <> s2 or s1 not in ('----', '++++')) as used, count_if(s1 = s2 and s1 not in ('----', '++++')) as same from both_slots group by rn, kind, k),
+best as (select rn, kind, arg_max(coalesce(same::double / nullif(used, 0), 0), case when used >= 8 then 1000 + k else used * 10 + k end) as share from lev group by rn, kind),
+near as (select p.rn, p.kind, case when fa.f = fb.f then 1.0::double else best.share end as near from pairs p join fp fa on fa.rn = p.a and fa.which = p.wa join fp fb on fb.rn = p.b and fb.which = p.wb join best on best.rn = p.rn and best.kind = p.kind)
+select d.doc_id, d.n as n_chars, sha256(t.text) as edited_sha256, f0.f as fingerprint, f1.f as edited_fingerprint, ne.near as near_edited, nn.near as near_next
+from d join t on t.rn = d.rn and t.which = 1 join fp f0 on f0.rn = d.rn and f0.which = 0 join fp f1 on f1.rn = d.rn and f1.which = 1 join near ne on ne.rn = d.rn and ne.kind = 'e' join near nn on nn.rn = d.rn and nn.kind = 'n'
+"""
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+with t as (select doc_id, row_number() over () as rn, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+s as (select count(*)::bigint as nd, sum(len(w))::bigint as l from t where len(w) > 0),
+tf as (select rn, term, count(*)::bigint as tf from (select rn, unnest(w) as term from t) group by rn, term),
+df as (select term, count(*)::bigint as df from tf group by term),
+i as (select distinct item_id, text from benchmark),
+q as (select item_id, text, term, count(*)::bigint as repeats from (select item_id, text, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from i) group by all),
+w as (select q.*, floor(1000 * ln((2 * nd + 2)::double / (2 * df + 1)::double))::bigint as w from q join df using (term), s),
+m as (select rn, doc_id, 75 + (25 * len(w)::bigint * nd) // l as m from t, s where len(w) > 0),
+sc as (select item_id, text, doc_id, rn, sum(repeats * w.w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score from w join tf using (term) join m using (rn) group by item_id, text, doc_id, rn)
+select item_id, row_number() over (partition by item_id, text order by score desc, doc_id)::int as rank, doc_id, score from sc where score > 0 qualify rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_isolation_forest, op2_ngram_jaccard, op3_pii_bootstrap, op4_secret_ownership, op5_hist_gbt, op6_debruijn_dedup, op7_spaced_seeds, op8_line_spread, op9_zstd_language_id, op10_bpe)}
+    return {f.__name__: f for f in (op1_isolation_forest, op2_ngram_jaccard, op3_pii_bootstrap, op4_secret_ownership, op5_hist_gbt, op6_debruijn_dedup, op7_spaced_seeds, op8_line_spread, op9_zstd_language_id, op10_bpe, op11_hard_negatives, op12_imatch, op13_ranked_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard": OP2_SQL, "op6_debruijn_dedup": OP6_SQL, "op8_line_spread": OP8_SQL}
+    return {"op2_ngram_jaccard": OP2_SQL, "op6_debruijn_dedup": OP6_SQL, "op8_line_spread": OP8_SQL, "op11_hard_negatives": OP11_SQL, "op12_imatch": OP12_SQL, "op13_ranked_search": OP13_SQL}
