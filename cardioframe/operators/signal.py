@@ -153,12 +153,6 @@ def pixel_sd(pixels: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
     return pixels.groupBy(*keys, "x", "y").agg(F.stddev_samp(value).alias("sd"))
 
 
-def stripe_profile(pixels: DataFrame, keys: list[str], value: str, x: int, height: int, reach: int = 20, share: float = 0.35) -> DataFrame:
-    """Mean brightness of each frame around column x, of the top and bottom ``share`` of rows."""
-    rim = (F.col("y") <= F.floor(F.lit(height * share))) | (F.col("y") > height - F.floor(F.lit(height * share)))
-    return pixels.where((F.abs(F.col("x") - x) <= reach) & rim).groupBy(*keys, "t").agg(F.avg(value).alias("profile"))
-
-
 def half_sine(row: Column, height: Column) -> Column:
     """The weight of a row (from 0) of an image: nothing at its rims, all in its middle."""
     return F.sin(F.lit(np.pi) * row / (height - 1))

@@ -323,49 +323,83 @@ def stripe_peaks(spark, d):
     return found.select("user_id", F.col("place").cast("long").alias("place"), "x", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""{_E}, p as (select user_id % 7 as movie, user_id as xpos, rn as t from (select user_id, rn, {_SLOPE} as s from e) where s < 0),
-b as (select movie, xpos, t, t // 10 as bin from p), q as (select movie, bin, xpos, max(t) as t from b group by all),
-r as (select movie, bin, count(*) as n, nullif(regr_slope(xpos, t), 'nan'::double) as slope, nullif(1 - (1 - regr_r2(xpos, t)) * (count(*) - 1) / nullif(count(*) - 2, 0), 'nan'::double) as rsq, min(xpos) as x_first, max(xpos) as x_last, arg_min(t, xpos) as t_first, arg_max(t, xpos) as t_last from q group by movie, bin),
-u as (select movie, avg(n) as usual from (select distinct movie, n from r) group by movie), k as (select r.*, t_first - t_last as delta from r join u using (movie) where n >= usual)
-select movie, bin, n, round(slope, 5) + 0.0 as slope, round(rsq, 5) as rsq, delta, case when delta = 0 and rsq > 0.15 then (case when slope > 0 then 1 else 0 end) when delta > 0 then 1 else 0 end as direction, round((x_last - x_first) * 0.65 / nullif(delta * 0.01, 0), 4) as speed from k""")
-def beat_direction(spark, d):
-    peaks = events(spark, d).withColumns({"p": series.local_extrema(S, "x"), "t": S.number().cast("long")}).where("p")
-    binned = peaks.select((F.col("user_id") % 7).alias("movie"), F.col("user_id").alias("xpos"), "t", F.floor(F.col("t") / 10).alias("bin")).groupBy("movie", "bin", "xpos").agg(F.max("t").alias("t"))
-    found = direction.direct(direction.regress(binned, ["movie"], "xpos", "t"), 0.65, 0.01)
-    return found.select("movie", "bin", "n", _r(F.col("slope"), "slope", 5), _r(F.col("rsq"), "rsq", 5), "delta", "direction", _r(F.col("speed"), "speed", 4))
+#: Borders from pk (movie, xpos, t): frames between the first and the last peak that see none ahead, for each window that may be taken.
+_STEPS = """pf as (select distinct movie, t from pk), pn as (select movie, t, t - lag(t) over (partition by movie order by t, xpos) as d from pk),
+st as (select movie, coalesce(floor(stddev_samp(d)), 0) as start, floor(count(*) / any_value(k)) as beats from pn join al using (movie) group by movie),
+fr0 as (select movie, unnest(range(min(t), max(t))) as t from pf group by movie), nx as (select fr0.movie, fr0.t, min(pf.t) - fr0.t as gap from fr0 join pf on pf.movie = fr0.movie and pf.t >= fr0.t group by fr0.movie, fr0.t),
+steps as (select unnest(range(-10, 11)) as step), tr as (select nx.movie, t, gap, step, start + step as w from nx join st using (movie) cross join steps),
+fr as (select *, t - row_number() over (partition by movie, step order by t) as i from tr where w >= 0 and gap > w), b as (select movie, step, round_even((min(t) + max(t)) / 2.0, 0)::bigint as border from fr group by movie, step, i),
+c as (select m.movie, m.beats, m.step, 2 + count(b.border) as n from (select * from st cross join steps) m left join b on b.movie = m.movie and b.step = m.step group by all),
+ch as (select movie, case when max(case when step = 0 then n end) > 1.2 * beats then coalesce(min(case when step > 0 and n <= 1.2 * beats then step end), 10)
+  when max(case when step = 0 then n end) < 0.8 * beats then coalesce(max(case when step < 0 and n >= 0.8 * beats then step end), -10) else 0 end as step from c group by movie, beats),
+bo as (select distinct movie, border from (select movie, border from b join ch using (movie, step) union all select movie, 0 from ms union all select movie, frames from ms))"""
+_MOVIES = "ms as (select user_id % 7 as movie, max(rn) as frames from e group by 1), al as (select user_id % 7 as movie, count(distinct user_id) as k from e group by 1)"
 
 
-@query(f"""{_E}, f as (select user_id % 7 as movie, rn as t, bool_or(s < 0 and x > 150) as peak from (select *, {_SLOPE} as s from e) group by 1, 2),
-a as (select *, count(*) filter (where peak) over (partition by movie order by t rows between current row and 2 following) as c, row_number() over (partition by movie order by t) as k from f),
-g as (select *, k - row_number() over (partition by movie order by k) as i from a where c = 0) select movie, round_even((min(k) + max(k)) / 2.0, 0)::bigint as border from g group by movie, i""")
-def beat_borders(spark, d):
-    frames = events(spark, d).withColumns({"p": series.local_extrema(S, "x") & (F.col("x") > 150), "t": S.number()})
-    frames = frames.groupBy((F.col("user_id") % 7).alias("movie"), "t").agg(F.bool_or("p").alias("peak"))
-    return direction.borders(frames, ("movie",), "t", "peak", 2)
+def _movies(spark, d, frames: DataFrame) -> DataFrame:
+    return frames.groupBy("movie").agg(F.max("t").cast("long").alias("frames")).withColumns({"resolution": F.lit(0.65), "time_interval": F.lit(0.01)})
 
 
+def _frames(spark, d) -> DataFrame:
+    """Users as positions of seven movies, their events as frames; values in hundredths, so that means are exact."""
+    return events(spark, d).select((F.col("user_id") % 7).alias("movie"), F.col("user_id").alias("xpos"), S.number().cast("long").alias("t"), F.round(F.col("x") * 100).alias("v"))
 
 
-_ADAPTIVE = f"""{_E}, s as (select user_id, user_id % 7 as movie, rn as t, coalesce({_SLOPE} < 0 and x > 150, false) as peak from e), pk as (select * from s where peak), f as (select movie, t, bool_or(peak) as peak from s group by all),
-st as (select movie, floor(stddev_samp(d)) as start from (select movie, t - lag(t) over (partition by movie order by t, user_id) as d from pk) group by movie),
-bt as (select movie, floor(avg(c)) as beats from (select movie, user_id, count(*) as c from pk group by all) group by movie),
-nb as (select *, row_number() over (partition by movie order by t) as k from f), g as (select movie, k, min(case when peak then k end) over (partition by movie order by k rows between current row and unbounded following) - k as gap from nb),
-steps as (select unnest(range(-10, 11)) as step), tr as (select g.movie, k, gap, step, start + step as w from g join st using (movie) cross join steps),
-fr as (select *, k - row_number() over (partition by movie, step order by k) as i from tr where w >= 0 and (gap is null or gap > w)), b as (select movie, step, round_even((min(k) + max(k)) / 2.0, 0)::bigint as border from fr group by movie, step, i),
-c as (select m.movie, m.beats, m.step, 2 + count(b.border) as n from (select * from bt cross join steps) m left join b on b.movie = m.movie and b.step = m.step group by all),
-ch as (select movie, case when max(case when step = 0 then n end) > 1.2 * beats then coalesce(min(case when step > 0 and n <= 1.2 * beats then step end), 10)
-  when max(case when step = 0 then n end) < 0.8 * beats then coalesce(max(case when step < 0 and n >= 0.8 * beats then step end), -10) else 0 end as step from c group by movie, beats)"""
+def _missing_sql(k: str, to: str) -> str:
+    """Of the beats in ``k``: how many there are, whether a position has all, and the first and last that lack fewer than two."""
+    return f"""h{to} as (select ix.movie, ix.place, count(g.bin) as have from ix left join (select rg.* from rg join {k} on {k}.movie = rg.movie and {k}.bin = rg.bin) g on g.movie = ix.movie and g.place = ix.place group by all),
+q{to} as (select movie, count(*) as bins from {k} group by movie), w{to} as (select movie, any_value(bins) as bins, bool_or(have = bins) as whole, min(place) filter (bins - have < 2) as f, max(place) filter (bins - have < 2) as l from h{to} join q{to} using (movie) group by movie)"""
+
+
+@query(f"""{_E}, {_MOVIES}, pr as (select user_id % 7 as movie, user_id as xpos, rn as t, n, round(x * 100) as v from e),
+mn as (select * from (select *, avg(v) over (partition by xpos order by t rows between current row and 3 following) as m from pr) where t <= n - 3),
+fl as (select *, 1 - (m - min(m) over (partition by xpos)) / nullif(max(m) over (partition by xpos) - min(m) over (partition by xpos), 0) as y from mn),
+pk as (select movie, xpos, t from (select *, sign((lead(y) over o) - y) - sign(y - (lag(y) over o)) as s, max(y) over (partition by xpos order by t rows between 3 preceding and 1 preceding) as a, max(y) over (partition by xpos order by t rows between 1 following and 3 following) as z from fl window o as (partition by xpos order by t)) where s < 0 and y >= a and y >= z),
+{_STEPS}, bb as (select movie, border as lo, lead(border) over (partition by movie order by border) as hi, row_number() over (partition by movie order by border) as bin from bo),
+ix as (select movie, xpos, row_number() over (partition by movie order by xpos) as place from (select distinct movie, xpos from pr)),
+rg as (select pk.movie, pk.xpos, any_value(ix.place) as place, bin, max(t) as t from pk join bb on pk.movie = bb.movie and t >= lo and t < hi join ix on ix.movie = pk.movie and ix.xpos = pk.xpos group by pk.movie, pk.xpos, bin),
+bn as (select movie, bin, count(*) as n, nullif(regr_slope(place, t), 'nan'::double) as slope, nullif(1 - (1 - regr_r2(place, t)) * (count(*) - 1) / nullif(count(*) - 2, 0), 'nan'::double) as rsq from rg group by movie, bin),
+k1 as (select bn.* from bn join (select movie, avg(n) as usual from (select distinct movie, n from bn) group by movie) u using (movie) where n >= usual - 1e-9),
+{_missing_sql("k1", "1")}, k2 as (select k1.* from k1 join w1 using (movie) join al using (movie) where whole or k - n <= 4), {_missing_sql("k2", "2")},
+en as (select movie, whole, case when bins < 2 or not whole then 1 else f end as f, case when bins < 2 or not whole then k else l end as l from w2 join al using (movie)),
+mk as (select k2.movie, k2.bin, slope, rsq, whole, xf.xpos as xpos_first, xl.xpos as xpos_last, rf.t as t_first, rl.t as t_last, rf.t - rl.t as delta from k2 join en using (movie) join ix xf on xf.movie = k2.movie and xf.place = f join ix xl on xl.movie = k2.movie and xl.place = l
+  left join rg rf on rf.movie = k2.movie and rf.bin = k2.bin and rf.place = f left join rg rl on rl.movie = k2.movie and rl.bin = k2.bin and rl.place = l)
+select movie, bin, xpos_first, xpos_last, t_first, t_last, delta, case when delta = 0 and rsq > 0.15 and slope <> 0 then (slope > 0)::int when delta is not null then (delta > 0)::int when not whole and slope <> 0 then (slope < 0)::int end as direction,
+round(slope, 5) + 0.0 as slope, round((xpos_last - xpos_first) * 0.65 / nullif(delta * 0.01, 0), 4) + 0.0 as speed, round(rsq, 5) as rsq from mk""")
+def beat_direction(spark, d):
+    """Direction marks of seven movies from the brightness of their positions: the whole chain."""
+    frames = _frames(spark, d)
+    found = direction.beat_directions(frames, _movies(spark, d, frames), ["movie"], "xpos", "t", "v", smooth=4, reach=3)
+    return found.select("movie", F.col("bin").cast("long").alias("bin"), "xpos_first", "xpos_last", "t_first", "t_last", "delta", "direction", _r(F.col("slope"), "slope", 5), _r(F.col("speed"), "speed", 4), _r(F.col("rsq"), "rsq", 5))
+
+
+@query(f"""{_E}, f as (select user_id % 7 as movie, rn as t, bool_or(s < 0 and x > 150) as peak from (select *, {_SLOPE} as s from e) group by 1, 2),
+a as (select *, count(*) filter (where peak) over (partition by movie order by t rows between current row and 2 following) as c, row_number() over (partition by movie order by t) as k from f),
+g as (select *, k - row_number() over (partition by movie order by k) as i from a where c = 0), ends as (select movie, min(t) filter (where peak) as a, max(t) filter (where peak) as z from f group by movie)
+select movie, round_even((min(k) + max(k)) / 2.0, 0)::bigint as border from g join ends using (movie) group by movie, i having min(k) > any_value(a) and max(k) < any_value(z)""")
+def beat_borders(spark, d):
+    peaks = events(spark, d).withColumns({"p": series.local_extrema(S, "x") & (F.col("x") > 150), "t": S.number()}).where("p").select((F.col("user_id") % 7).alias("movie"), "t")
+    return direction.borders(peaks, ["movie"], "t", 2)
 
 
-@query(f"{_ADAPTIVE} select distinct movie, border from (select movie, border from b join ch using (movie, step) union all select movie, 0 from f union all select movie, count(*) from f group by movie)")
+@query(f"""{_E}, {_MOVIES}, pk as (select user_id % 7 as movie, user_id as xpos, rn as t from (select *, {_SLOPE} as s from e) where s < 0 and x > 150), {_STEPS} select movie, border from bo""")
 def adaptive_beat_borders(spark, d):
     """Borders with a window of each recording's own, from the spread of its peaks."""
-    s = events(spark, d).select("user_id", (F.col("user_id") % 7).alias("movie"), S.number().alias("t"), (series.local_extrema(S, "x") & (F.col("x") > 150)).alias("peak"))
-    peaks = s.where("peak")
-    order = Series(("movie",), ("t", "user_id"))
-    start = peaks.withColumn("d", F.col("t") - order.lag("t")).groupBy("movie").agg(F.floor(F.stddev_samp("d")).cast("int").alias("start"))
-    wanted = peaks.groupBy("movie", "user_id").agg(F.count("*").alias("c")).groupBy("movie").agg(F.floor(F.avg("c")).alias("beats")).join(start, "movie")
-    return direction.adaptive_borders(s.groupBy("movie", "t").agg(F.bool_or("peak").alias("peak")), ("movie",), "t", "peak", wanted)
+    frames = events(spark, d).select((F.col("user_id") % 7).alias("movie"), F.col("user_id").alias("xpos"), S.number().alias("t"), (series.local_extrema(S, "x") & (F.col("x") > 150)).alias("peak"))
+    peaks = frames.where("peak")
+    wanted = direction.wanted(peaks, frames.select("movie", "xpos").distinct(), ["movie"], "xpos", "t")
+    return direction.adaptive_borders(peaks, _movies(spark, d, frames), ["movie"], "t", wanted)
+
+
+@query("""with c as (select label as movie, (1 + vec_id % 50)::bigint as x, vec_id // 50 as t, embedding[1:22] || embedding[42:64] as rim from embeddings),
+pl as (select distinct label as movie, unnest(list_distinct(list_transform(list_concat(range(2, 26, 2), [(25 + label % 5)::bigint]), lambda k: least(greatest(k, 21), 29)))) as xpos from embeddings)
+select movie, xpos, t, round(sum(list_sum(list_transform(rim, lambda v: v::double))) / sum(len(rim)), 6) + 0.0 as profile from c join pl using (movie) where abs(x - xpos) <= 20 group by movie, xpos, t""")
+def stripe_profiles(spark, d):
+    """Brightness at the rims around each position; vectors stand for image columns of 64 rows."""
+    e = table(spark, d, "embeddings").select(F.col("label").alias("movie"), (1 + F.col("vec_id") % 50).alias("x"), F.floor(F.col("vec_id") / 50).alias("t"), F.col("embedding").cast("array<double>").alias("col"))
+    movies = e.groupBy("movie").agg(F.lit(64).alias("height")).withColumn("places", direction.positions(F.lit(50), F.array(25 + F.col("movie") % 5)))
+    found = direction.stripes(e, movies, ["movie"])
+    return found.select("movie", "xpos", "t", _r(F.col("profile"), "profile"))
 
 
 _SPREAD = ", ".join(f"median({c}) as {c}_median, stddev_samp({c}) as {c}_sd" for c in ("peaked", "tt50p", "tt50r"))

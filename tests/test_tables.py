@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cardioframe.functions import dates, naming, stats
-from cardioframe.operators import direction, joins, tables
+from cardioframe.operators import joins, tables
 
 NAME = "CRISPR0002_017_3wf_10x_r1_note.cxd_peak_2_at Xpos_331.tiff_traced.jpg"
 
@@ -68,14 +68,6 @@ def test_segment_and_per_fly(spark):
     assert [tuple(r) for r in tables.per_fly(df, "fly", ["v"], ["movie"]).collect()] == [("f", 3.0, "m")]
 
 
-def test_direction_of_a_wave(spark):
-    rows = [("m", 1, x, 10 - x) for x in range(5)] + [("m", 2, x, 30) for x in range(5)]
-    df = spark.createDataFrame(rows, "movie string, bin int, x int, t int")
-    got = {r["bin"]: r for r in direction.direct(direction.regress(df, ["movie"], "x", "t"), 0.65, 0.01).collect()}
-    assert (got[1]["delta"], got[1]["direction"], got[1]["slope"]) == (4, 1, -1.0)
-    assert (got[2]["delta"], got[2]["direction"], got[2]["speed"]) == (0, 0, None)
-
-
 def test_pivot_and_melt(spark):
     kv = spark.createDataFrame([("f", "sizeX", "10"), ("f", "sizeT", "300")], "file string, L1 string, value string")
     wide = tables.pivot_kv(kv, "file")
