@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import beats, direction, joins, qc, series, signal, tables
+from ..operators import areas, beats, direction, joins, qc, series, signal, tables
 from ..operators.series import Series
 from .registry import query, table
 
@@ -402,6 +402,39 @@ def stripe_profiles(spark, d):
     return found.select("movie", "xpos", "t", _r(F.col("profile"), "profile"))
 
 
+_AREAS = f"""with recursive {_E[5:]}, br as (select *, (x >= avg(x) over (partition by user_id))::int as b from e),
+pad as (select user_id, rn, b, n from br union all select user_id, n + unnest(range(1, 6)), b, n from br where rn = n),
+ct as (select user_id, rn, n, b, sum(b) over (partition by user_id order by rn rows between current row and 5 following) as k from pad),
+ed as (select user_id, list(rn order by rn) as es from ct where rn <= n and k = 3 group by user_id),
+hd as (select ed.user_id, es, list_distinct(list(b) filter (where rn <= es[1])) as kinds, max(b) filter (where rn = 1) as b1, max(b) filter (where rn = es[1]) as be from ed join br using (user_id) group by all),
+bs as (select user_id, case when (case when len(kinds) = 1 then b1 else be end) = 1 then list_concat([1::bigint], es) else es end as b from hd),
+f as (select user_id, b from bs union all select user_id, b[3:] from f where len(b) >= 2 and b[2] - b[1] < 5),
+ar as (select user_id, 1 as area, b[1] as a, b[2] as z from f where len(b) >= 2 and b[2] - b[1] >= 5 union all select user_id, 2, b[3], b[4] from f where len(b) >= 4 and b[2] - b[1] >= 5)"""
+
+
+@query(f"{_AREAS} select user_id, area, a as first, z as last from ar")
+def bright_areas(spark, d):
+    """Bright areas of recordings whose frames stand for image columns; SQL takes borders off two by two."""
+    found = areas.bright_areas(areas.borders(_columns(spark, d), ["user_id"], "rn", "x", 6), ["user_id"], 5)
+    return found.select("user_id", "area", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
+
+
+def _columns(spark, d) -> DataFrame:
+    return events(spark, d).select("user_id", S.number().cast("long").alias("rn"), "x")
+
+
+@query(f"""{_AREAS}, ins as (select e.user_id, e.rn, ar.area, greatest(x, quantile_cont(x, 0.75) over (partition by e.user_id, ar.area)) as v from e join ar on ar.user_id = e.user_id and e.rn between a and z),
+pk as (select * from (select *, sign((lead(v) over o) - v) - sign(v - (lag(v) over o)) as s, max(v) over (partition by user_id, area order by rn rows between 3 preceding and 1 preceding) as l, max(v) over (partition by user_id, area order by rn rows between 1 following and 3 following) as r from ins window o as (partition by user_id, area order by rn)) where s < 0 and v >= l and v >= r),
+tp as (select user_id, area, v, min(rn) as rn from (select *, row_number() over (partition by user_id, area order by v desc, rn) as k from pk) where k <= 3 group by user_id, area, v),
+ps as (select user_id, least(rn + 1, (select max(n) from e where e.user_id = tp.user_id)) as xpos, min({{'area': area, 'v': -v}}) as o from tp group by all)
+select user_id, row_number() over (partition by user_id order by o, xpos) as peak_no, xpos from ps""")
+def kymograph_positions(spark, d):
+    """Columns at which kymographs of these recordings are cut."""
+    columns = _columns(spark, d)
+    found = areas.kymograph_positions(columns, areas.bright_areas(areas.borders(columns, ["user_id"], "rn", "x", 6), ["user_id"], 5), ["user_id"], "rn", "x")
+    return found.select("user_id", F.col("peak_no").cast("long").alias("peak_no"), "xpos")
+
+
 _SPREAD = ", ".join(f"median({c}) as {c}_median, stddev_samp({c}) as {c}_sd" for c in ("peaked", "tt50p", "tt50r"))
 
 
