@@ -186,6 +186,21 @@ def repaired_edge(columns: DataFrame, keys: list[str], value: str, lower: bool =
     return found.select(*keys, "t", (best * sign).alias("edge"))
 
 
+def outliers(df: DataFrame, firsts: DataFrame, keys: list[str], edge: str, candidates: str, lower: bool, literal: bool = False) -> DataFrame:
+    """``df`` with ``edge`` repaired as repaired_edge() does, where each frame holds its rows over the mean as an array.
+
+    firsts: keys, edge of all frames, from which the limit is taken (``df`` itself, or a table of it)
+    """
+    spread = F.coalesce(F.stddev_samp(edge), F.lit(0.0))
+    limit = firsts.groupBy(*keys).agg((F.avg(edge) + spread if lower else F.avg(edge) - spread).alias("__limit"))
+    off = (lambda c: c >= F.col("__limit")) if lower else (lambda c: c <= F.col("__limit"))
+    many = firsts.join(limit, keys).groupBy(*keys).agg(F.first("__limit").alias("__limit"), F.count_if(off(F.col(edge))).alias("__off"))
+    rows = F.transform(F.reverse(candidates), lambda i: i - 1) if lower else F.col(candidates)
+    fit = F.element_at(F.filter(rows, lambda i: ~off(i)), 1)
+    best = F.when((F.col("__off") > (1 if literal else 0)) & off(F.col(edge)), F.coalesce(fit, F.col(edge))).otherwise(F.col(edge))
+    return df.join(many, keys).withColumn(edge, best).drop("__limit", "__off")
+
+
 def bright_stripes(profile: DataFrame, keys: tuple[str, ...], x: str, value: str, least_width: int = 60) -> DataFrame:
     """Runs of columns at least as bright as the mean, of at least ``least_width`` columns."""
     from .series import islands

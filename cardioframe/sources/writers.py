@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 
@@ -19,3 +21,14 @@ def table(df: DataFrame, path: str) -> None:
 def tables(named: dict[str, DataFrame], folder: str) -> None:
     for name, df in named.items():
         table(df, f"{folder}/{name}")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that the cluster names in spark.checkpoint.dir, and read back, so that it is worked out once and outlives executors; where none is named, ``df`` itself."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df
+    path = f"{folder}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
