@@ -207,8 +207,9 @@ def subtract_background(tiles: DataFrame, keys: list[str], radius: float = 50, s
             low, weight = _between(first, n, blocks, shrink)
             at = low - first // shrink + 2
             weight = weight[:, None] if axis == 0 else weight
-            near = np.take(under, at, axis) * weight
-            under = near + np.take(under, at + 1, axis) * (1 - weight) if blocks > 1 else near
+            with np.errstate(invalid="ignore"):  # beyond the image the surface is infinite; it is cut off with the other axis
+                near = np.take(under, at, axis) * weight
+                under = near + np.take(under, at + 1, axis) * (1 - weight) if blocks > 1 else near
         return np.maximum(own - under, 0)
 
     return stencil(tiles, keys, (reach, reach), work, outside=np.inf, side=side)

@@ -46,7 +46,7 @@ ed as (select fi.label, fi.t, case when any_value(up) <= any_value(lo) then coal
   case when any_value(down) >= any_value(hi) then coalesce(max(y - 1) filter (where y - 1 < hi), any_value(down)) else any_value(down) end as down from fi join li using (label) join ov on ov.label = fi.label and ov.t = fi.t group by fi.label, fi.t),
 st as (select label, greatest(1, trunc(max(up) - coalesce(stddev_samp(up), 0))) as um, greatest(1, trunc(max(down) - coalesce(stddev_samp(down), 0))) as dm, min(up) as u0, max(up) as u1, min(down) as d0, max(down) as d1 from ed group by label),
 br as (select sc.label, sc.t, sum(v) filter (where y <= um) - (max(v) filter (where y = 1) + max(v) filter (where y = um)) / 2 as ub, sum(v) filter (where y >= dm) - (max(v) filter (where y = 64) + max(v) filter (where y = dm)) / 2 as db from sc join st using (label) group by sc.label, sc.t)
-select ed.label, ed.t, round(ed.t * 0.01, 5) as time, round((down - up) * 0.65, 5) + 0.0 as distance, up::bigint as up, down::bigint as down, round(ub, 5) + 0.0 as up_bright, round(db, 5) + 0.0 as down_bright,
+select ed.label, ed.t, round(ed.t * 0.01::double, 5) as time, round((down - up) * 0.65::double, 5) + 0.0 as distance, up::bigint as up, down::bigint as down, round(ub, 5) + 0.0 as up_bright, round(db, 5) + 0.0 as down_bright,
 round((down - d0) / nullif(d1 - d0, 0), 5) + 0.0 as down_norm, round((up - u0) / nullif(u1 - u0, 0), 5) + 0.0 as up_norm, round((down - d0) / nullif(d1 - d0, 0) - (up - u0) / nullif(u1 - u0, 0), 5) + 0.0 as distance_norm
 from ed join st using (label) join br on br.label = ed.label and br.t = ed.t""")
 def trace_table(spark, d):
