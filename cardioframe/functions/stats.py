@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import order
+
 #: Makes the median absolute deviation agree with the standard deviation of a normal distribution.
 MAD_SCALE = 1.4826
 
@@ -40,13 +42,16 @@ def finite(x: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
 
 
-def mad(df: DataFrame, keys: list[str], columns: list[str], suffix: str = "_mad") -> DataFrame:
-    """Scaled median absolute deviation of each column within the groups of ``keys``."""
-    w = Window.partitionBy(*keys)
-    away = df.select(*keys, *(F.abs(F.col(c) - F.median(c).over(w)).alias(c) for c in columns))
-    return away.groupBy(*keys).agg(*((F.lit(MAD_SCALE) * F.median(c)).alias(f"{c}{suffix}") for c in columns))
+def mad(df: DataFrame, keys: list[str], columns: list[str], suffix: str = "_mad", most: int = 1_000_000) -> DataFrame:
+    """Scaled median absolute deviation of each column within the groups of ``keys``; see order.quantiles() for ``most``."""
+    middle = order.quantiles(df, keys, {f"__m_{c}": (c, 0.5) for c in columns}, most)
+    away = df.join(middle, keys).select(*keys, *(F.abs(F.col(c) - F.col(f"__m_{c}")).alias(c) for c in columns))
+    spread = order.quantiles(away, keys, {f"{c}{suffix}": (c, 0.5) for c in columns}, most)
+    return spread.select(*keys, *((F.lit(MAD_SCALE) * F.col(f"{c}{suffix}")).alias(f"{c}{suffix}") for c in columns))
 
 
-def median_and_sd(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """``<c>_median`` and ``<c>_sd`` of each column."""
-    return df.groupBy(*keys).agg(*(f(c).alias(f"{c}_{name}") for c in columns for name, f in (("median", F.median), ("sd", F.stddev_samp))))
+def median_and_sd(df: DataFrame, keys: list[str], columns: list[str], most: int = 1_000_000) -> DataFrame:
+    """``<c>_median`` and ``<c>_sd`` of each column; see order.quantiles() for ``most``."""
+    middle = order.quantiles(df, keys, {f"{c}_median": (c, 0.5) for c in columns}, most)
+    spread = df.groupBy(*keys).agg(*(F.stddev_samp(c).alias(f"{c}_sd") for c in columns))
+    return middle.join(spread, keys).select(*keys, *(f"{c}_{name}" for c in columns for name in ("median", "sd")))

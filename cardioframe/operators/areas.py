@@ -76,3 +76,13 @@ def kymograph_positions(profile: DataFrame, areas: DataFrame, keys: list[str], x
     width = profile.groupBy(*keys).agg(F.max(x).alias("__last"))
     placed = first.join(width, keys).withColumn("xpos", F.least(F.col("__x") + 1, F.col("__last"))).groupBy(*keys, "xpos").agg(F.min(F.struct("area", (-F.col("__v")).alias("v"))).alias("__o"))
     return placed.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("__o", "xpos")).alias("peak_no"), "xpos")
+
+
+def kymographs(stack: DataFrame, positions: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, peak_no, xpos, t, col: the columns of movies at their positions.
+
+    stack: keys, t, x, col. Where it is a table in folders by x (writers.stack()), the positions choose the folders before they are read: the
+    condition that they lie inside the image, which all do, is what lets Spark look for their folders at run time.
+    """
+    chosen = positions.where("xpos >= 1").select(*keys, "peak_no", F.col("xpos").alias("x"))
+    return stack.join(chosen, [*keys, "x"]).select(*keys, "peak_no", F.col("x").alias("xpos"), "t", "col")

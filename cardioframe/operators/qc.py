@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import order
 from . import joins
 from .series import Series
 
@@ -30,7 +31,7 @@ def two_sd(a: Column, b: Column) -> Column:
 
 def classes(metrics: DataFrame, a: str, b: str, sd: str) -> DataFrame:
     """excellent or good by how a trace stands to the medians of all traces, else n.t.; nulls are n.t."""
-    middle = metrics.agg(F.median(a).alias("__a"), F.median(b).alias("__b"), F.median(sd).alias("__sd"))
+    middle = order.quantiles(metrics, [], {"__a": (a, 0.5), "__b": (b, 0.5), "__sd": (sd, 0.5)})
     near = lambda share, most: (F.col(a) > F.col("__a") * share) & (F.col(b) > F.col("__b") * share) & (F.col(sd) < F.col("__sd") * most)
     quality = F.when(near(0.9, 1.5), "excellent").when(near(0.5, 3.0), "good").otherwise("n.t.")
     return joins.with_scalar(metrics, middle).withColumn("quality", quality).drop("__a", "__b", "__sd")
@@ -38,5 +39,5 @@ def classes(metrics: DataFrame, a: str, b: str, sd: str) -> DataFrame:
 
 def ok_or_bad(metrics: DataFrame, a: str, b: str) -> DataFrame:
     """The older rule: ok where both edges are at least as correlated as the median."""
-    middle = metrics.agg(F.median(a).alias("__a"), F.median(b).alias("__b"))
+    middle = order.quantiles(metrics, [], {"__a": (a, 0.5), "__b": (b, 0.5)})
     return joins.with_scalar(metrics, middle).withColumn("quality", F.when((F.col(a) >= F.col("__a")) & (F.col(b) >= F.col("__b")), "ok").otherwise("bad")).drop("__a", "__b")

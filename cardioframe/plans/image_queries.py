@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import images
+from ..operators import areas, images
+from ..sources import tiff, writers
 from .registry import query, table
 
 #: Images of the tables are small, so their tiles are too, that stencils cross some.
@@ -65,3 +66,39 @@ def image_background(spark, d):
     tiles = _tiles(spark, d).withColumn("pixels", F.transform("pixels", lambda v: 50 * v))
     found = images.to_columns(images.subtract_background(tiles, ["label"], 9, SIDE), ["label"], SIDE)
     return found.select("label", F.col("t").cast("long").alias("t"), F.posexplode("col").alias("y", "v")).select("label", "t", (F.col("y") + 1).cast("long").alias("y"), _r("v"))
+
+
+_CUT = """with st as (select label as movie, (1 + vec_id % 16)::bigint as x, vec_id // 16 as t, embedding from embeddings where label is not null),
+po as (select distinct label as movie, 1 as peak_no, (1 + 3 * label % 16)::bigint as xpos from embeddings where label is not null union all select distinct label, 2, (1 + (5 * label + 7) % 16)::bigint from embeddings where label is not null),
+ky as (select st.movie, peak_no, xpos, t, embedding from st join po on po.movie = st.movie and po.xpos = st.x)"""
+
+
+def _kymographs(spark, d) -> DataFrame:
+    e = table(spark, d, "embeddings").where("label is not null")
+    stack = e.select(F.col("label").alias("movie"), (1 + F.col("vec_id") % 16).alias("x"), F.floor(F.col("vec_id") / 16).alias("t"), F.col("embedding").alias("col"))
+    path = writers.shared(spark)
+    writers.stack(stack, ["movie"], path)
+    label = F.col("movie")
+    places = F.array(F.struct(F.lit(1).alias("peak_no"), (1 + 3 * label % 16).cast("long").alias("xpos")), F.struct(F.lit(2).alias("peak_no"), (1 + (5 * label + 7) % 16).cast("long").alias("xpos")))
+    positions = e.select(F.col("label").alias("movie")).distinct().select("movie", F.explode(places).alias("p")).select("movie", "p.*")
+    return areas.kymographs(spark.read.schema(stack.schema).parquet(path), positions, ["movie"])
+
+
+@query(f"{_CUT} select movie, peak_no, xpos, t, round(list_sum(list_transform(embedding, lambda v: v::double)), 5) + 0.0 as total, len(embedding) as rows from ky")
+def kymograph_cuts(spark, d):
+    """Kymographs out of stacks that lie in folders by column; only the folders of chosen columns are read."""
+    found = _kymographs(spark, d)
+    total = F.aggregate(F.col("col").cast("array<double>"), F.lit(0.0), lambda a, v: a + v)
+    return found.select("movie", "peak_no", "xpos", "t", (F.round(total, 5) + F.lit(0.0)).alias("total"), F.size("col").cast("long").alias("rows"))
+
+
+@query(f"""{_CUT}, nb as (select *, row_number() over (partition by movie, peak_no order by t) - 1 as k from ky)
+select movie::varchar || '.cxd_peak_' || peak_no || '_at Xpos_' || xpos || '.tiff' as file, k, y, round(v, 5) + 0.0 as v from (select movie, peak_no, xpos, k, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as y from nb)""")
+def kymograph_files(spark, d):
+    """Kymographs written as image files, and read again strip by strip."""
+    cut = _kymographs(spark, d).select(F.concat(F.col("movie").cast("string"), F.lit(".cxd")).alias("recording"), "peak_no", "xpos", "t", "col")
+    folder = writers.shared(spark)
+    written = tiff.write_images(cut, folder).agg(F.count("*").alias("n")).first()["n"]
+    tiles = tiff.image_tiles(spark, folder, side=SIDE) if written else cut.sparkSession.createDataFrame([], "file string, ty int, tx int, height int, width int, pixels array<double>")
+    found = images.to_columns(tiles, ["file"], SIDE)
+    return found.select("file", F.col("t").cast("long").alias("k"), F.posexplode("col").alias("y", "v")).select("file", "k", (F.col("y") + 1).cast("long").alias("y"), _r("v"))

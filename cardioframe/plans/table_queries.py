@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, naming, stats
+from ..functions import dates, naming, order, stats
 from ..operators import joins, signal, tables
 from ..sources import readers
 from .registry import query, table
@@ -29,6 +29,17 @@ def median_sd_all(spark, d):
     return found.select("l_returnflag", *(_r(F.col(c), c, 4 if c == "l_extendedprice_sd" else 6) for c in found.columns[1:]))
 
 
+@query("""with q as (select l_returnflag, quantile_cont(l_extendedprice, 0.1) as d1, quantile_cont(l_extendedprice, 0.75) as q3, quantile_cont(l_quantity, 0.5) as m from lineitem group by l_returnflag),
+v as (select l_returnflag, median(abs(l_extendedprice - mid)) * 1.4826::double as mad from (select *, median(l_extendedprice) over (partition by l_returnflag) as mid from lineitem) group by l_returnflag)
+select l_returnflag, round(d1, 4) as d1, round(q3, 4) as q3, round(m, 4) as m, round(mad, 4) as mad from q join v using (l_returnflag)""")
+def order_statistics(spark, d):
+    """Quantiles and deviations of three large groups, of which no task brings more than 5,000 values together."""
+    items = table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice", "l_quantity")
+    found = order.quantiles(items, ["l_returnflag"], {"d1": ("l_extendedprice", 0.1), "q3": ("l_extendedprice", 0.75), "m": ("l_quantity", 0.5)}, 5000)
+    spread = stats.mad(items, ["l_returnflag"], ["l_extendedprice"], "", 5000).withColumnRenamed("l_extendedprice", "mad")
+    return found.join(spread, "l_returnflag").select("l_returnflag", *(_r(F.col(c), c, 4) for c in ("d1", "q3", "m", "mad")))
+
+
 @query("""select l_linestatus, count_if(l_returnflag = 'A')::bigint as "A", count_if(l_returnflag = 'N')::bigint as "N", count_if(l_returnflag = 'R')::bigint as "R" from lineitem group by l_linestatus""")
 def contingency(spark, d):
     return table(spark, d, "lineitem").groupBy("l_linestatus").agg(*(F.count_if(F.col("l_returnflag") == f).alias(f) for f in "ANR"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def stage(df: DataFrame, path: str, by: str | None = None, append: bool = False) -> None:
@@ -23,12 +24,24 @@ def tables(named: dict[str, DataFrame], folder: str) -> None:
         table(df, f"{folder}/{name}")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that the cluster names in spark.checkpoint.dir, and read back, so that it is worked out once and outlives executors; where none is named, ``df`` itself."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """A new path in the folder that the cluster names in spark.checkpoint.dir. Only a session on one machine that names none gets a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        return df
-    path = f"{folder}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``df`` written to a shared() path (in a folder for each value of ``by``) and read back, so that it is worked out once and outlives executors."""
+    path = shared(df.sparkSession)
+    stage(df, path, by)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stack(columns: DataFrame, keys: list[str], path: str) -> None:
+    """Movies as image columns (keys, t, x, col), in a folder for each column's place, so that cuts at some places read these only."""
+    stage(columns.repartition("x", *keys), path, "x")

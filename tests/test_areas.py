@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from cardioframe.operators import areas
+from cardioframe.sources import writers
 
 KEYS = ["movie"]
 SCHEMA = "movie int, x int, v double"
@@ -85,3 +86,15 @@ def test_profile_sums_what_varies_most(spark):
     got = {r["x"]: r for r in areas.column_profile(df, KEYS).collect()}
     # the third quartile is 5.5
     assert got[1]["total"] == 0 and got[2]["total"] == pytest.approx(14 / 8) and got[2]["area"] == pytest.approx(np.trapezoid([0, 1, 0.75]))
+
+
+def test_cuts_read_the_folders_of_their_columns_only(spark, tmp_path):
+    columns = spark.createDataFrame([(m, t, x, [float(m), float(x), float(t)]) for m in (1, 2) for t in range(4) for x in range(1, 21)], "movie int, t int, x int, col array<double>")
+    writers.stack(columns, KEYS, str(tmp_path / "stack"))
+    assert len(list((tmp_path / "stack").glob("x=*"))) == 20
+    positions = spark.createDataFrame([(1, 1, 7), (1, 2, 9), (2, 1, 9)], "movie int, peak_no int, xpos int")
+    df = areas.kymographs(spark.read.parquet(str(tmp_path / "stack")), positions, KEYS)
+    got = sorted((r["movie"], r["peak_no"], r["xpos"], r["t"], r["col"]) for r in df.collect())
+    assert got == sorted((m, k, x, t, [float(m), float(x), float(t)]) for m, k, x in ((1, 1, 7), (1, 2, 9), (2, 1, 9)) for t in range(4))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
