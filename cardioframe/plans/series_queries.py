@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import areas, beats, direction, joins, qc, series, signal, tables
+from ..operators import areas, beats, blocks, direction, joins, qc, series, signal, tables
 from ..operators.series import Series
 from .registry import query, table
 
@@ -137,6 +137,26 @@ def beats_vpv(spark, d):
     return all_beats(spark, d).select("user_id", F.col("beat").cast("long").alias("beat"), *(F.col(c).cast("long").alias(c) for c in ("start", "peak", "end")), "start_x", "peak_x", "end_x")
 
 
+def _blocks(spark, d) -> DataFrame:
+    """Events numbered and taken as series of blocks of 16 frames."""
+    return blocks.numbered(events(spark, d), ["user_id"], ["ts", "event_id"], "place").withColumn("t", F.col("place") - 1)
+
+
+@query(f"{_BEATS} select user_id, beat, start, peak, \"end\", start_x, peak_x, end_x from b")
+def beats_in_blocks(spark, d):
+    """Beats of series that are dealt out in blocks."""
+    b = blocks.Blocks(("user_id",), "place", 16)
+    found = blocks.find_beats(blocks.turning_points(_blocks(spark, d), b, "x", WIDTH), b, "x", "t")
+    return found.select("user_id", F.col("beat").cast("long").alias("beat"), *(F.col(c).cast("long").alias(c) for c in ("start", "peak", "end")), "start_x", "peak_x", "end_x")
+
+
+@query(f"""{_E}, f as (select *, x < 50 as low from e), g as (select *, rn - row_number() over (partition by user_id order by rn) as k from f where low)
+select user_id, min(rn) as first, max(rn) as last, count(*) as n, round_even((min(rn) + max(rn)) / 2.0, 0)::bigint as centre from g group by user_id, k""")
+def islands_in_blocks(spark, d):
+    found = blocks.islands(_blocks(spark, d), blocks.Blocks(("user_id",), "place", 16), F.col("x") < 50)
+    return found.select("user_id", *(F.col(c).cast("long").alias(c) for c in ("first", "last", "n", "centre")))
+
+
 _INTERVALS = f"""{_BEATS}, i1 as (select *, "end" - start as si, lead(start) over (partition by user_id order by start) - start as hp from b),
 i2 as (select *, lead(si) over (partition by user_id order by start) - si as dsi, hp - si as di from i1), i3 as (select *, lead(dsi) over (partition by user_id order by start) as dsip from i2)"""
 
