@@ -25,17 +25,6 @@ def melt(df: DataFrame, keys: list[str], columns: list[str], name: str = "L1", v
     return df.unpivot(keys, columns, name, value)
 
 
-def catalog(files: DataFrame, mapping: DataFrame, file: str = "file") -> DataFrame:
-    """Names taken apart, with the mapping's columns; sorting and group number the genotypes."""
-    f = F.col(file)
-    parts = files.withColumns({
-        "CODE": naming.code(f), "ID": naming.number(f), "Age_filename": naming.age(f), "Sex_filename": naming.sex(f), "comment": naming.comment(f),
-        "CODED": naming.coded(f), "flyID": naming.fly_id(f), "Xpos": naming.xpos(f), "cxd_file": naming.movie(f),
-    })
-    dim = mapping.withColumn("CODE", naming.mapping_code(F.col("CODE")))
-    return joins.lookup(parts, dim, "CODE", list(dim.columns))
-
-
 def scale_factor(factor: Column, magnification: Column, file: Column | None = None) -> Column:
     """Microns a pixel: a factor of 1 stands for 0.65, a missing magnification for 1; a missing factor is an error that names ``file``."""
     missing = F.raise_error(F.concat(F.lit("no calibration found: "), F.coalesce(file.cast("string") if file is not None else F.lit(None).cast("string"), F.lit("?")))).cast("double")

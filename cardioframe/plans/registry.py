@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import image_queries, series_queries, table_queries  # noqa: E402,F401  they register themselves
+from . import image_queries, result_queries, series_queries, table_queries  # noqa: E402,F401  they register themselves

@@ -90,3 +90,19 @@ def finished(spark: SparkSession, path: str) -> DataFrame | None:
         return spark.read.parquet(path)
     except AnalysisException:
         return None
+
+
+def tables_of(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The result tables of the last finished run (see writers.tables()) by name, all as text; none before a run is finished."""
+    done = finished(spark, f"{folder}/finished")
+    last = None if done is None else done.orderBy(F.desc("at"), "run").first()
+    return {} if last is None else {name: spark.read.option("header", True).csv(f"{folder}/runs/{last['run']}/{name}") for name in last["names"]}
+
+
+#: What the files of a folder are told apart by: listings of movies, kymographs, traces, traced pictures, direction marks and metadata. Fixed values.
+LISTINGS = {"movies": "*.cxd", "kymographs": "*.tiff", "traces": "*.tiff.csv", "pictures": "*_traced.jpg", "directions": "*_directionmarks.csv", "metadata": "*_new_meta_data.csv"}
+
+
+def listings(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """listing() of each kind of file; a kind without a file is an empty table."""
+    return {kind: listing(spark, path, pattern) for kind, pattern in LISTINGS.items()}

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def stage(df: DataFrame, path: str, by: str | None = None, append: bool = False) -> None:
@@ -19,9 +20,17 @@ def table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def tables(named: dict[str, DataFrame], folder: str) -> None:
+def tables(named: dict[str, DataFrame], folder: str) -> str:
+    """Result tables as CSV in a new folder of this run, and, once all of them are there, a row that says so; gives the run's name.
+
+    A reader (readers.tables_of()) goes by these rows, so it sees all tables of a run or none of them.
+    """
+    run = uuid.uuid4().hex
     for name, df in named.items():
-        table(df, f"{folder}/{name}")
+        table(df, f"{folder}/runs/{run}/{name}")
+    done = next(iter(named.values())).sparkSession.range(1).select(F.lit(run).alias("run"), F.current_timestamp().alias("at"), F.array(*map(F.lit, named)).alias("names"))
+    done.coalesce(1).write.mode("append").parquet(f"{folder}/finished")
+    return run
 
 
 def shared(spark: SparkSession) -> str:
