@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from . import series
+from . import series, signal
 from .series import Series
 
 #: Heights of a beat, as shares of its amplitude, at which landmarks are taken on either side of the peak.
@@ -85,7 +85,35 @@ def auc(rows: DataFrame, keys: tuple[str, ...], order: str, y: str = "relative")
 def of_usual_area(areas: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Beats whose area is known and lies between the quartiles 0 and 4 of its series, so those without one go."""
     w = Window.partitionBy(*keys)
-    return areas.where("auc is not null").where(F.col("auc").between(F.min("auc").over(w), F.max("auc").over(w)))
+    ends = areas.where("auc is not null").withColumns({"__low": F.min("auc").over(w), "__high": F.max("auc").over(w)})
+    return ends.where("auc between __low and __high").drop("__low", "__high")
+
+
+def of_recordings(traces: DataFrame, s: Series, t: str, distance: str, width: int = 400, wm: int = 20, ws: int = 20, digits: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Frames and beats of recordings of diameters, as published: frames have ``x`` (the diameter turned over and rounded) and ``corrected`` (``x`` less its baseline).
+
+    Peaks, valleys and the threshold are those of ``corrected``; values, and so the diameters at the beginning (start_x) and the
+    peak (peak_x) of a beat, are those of ``x``.
+    """
+    turned = traces.withColumn("x", F.round(-F.col(distance), digits))
+    frames = signal.with_baseline(turned, s, "x", wm, ws)
+    return frames, find_beats(turning_points(frames, s, "corrected", width), s, "x", t)
+
+
+def transients(frames: DataFrame, beats: DataFrame, s: Series, t: str, more_than: int = 10) -> DataFrame:
+    """A row for each frame of each beat: keys, beat, time (from the first frame that is kept), distance (share of the beat's largest change), diameter, timestamp, delta (change since the beat began), from_EDD and velocity.
+
+    frames, beats: as of_recordings() gives them. Leading frames without movement go, then beats without a known area, then beats of
+    ``more_than`` frames or fewer. from_EDD is the recording's diameter at the beginning of beats (their median) less delta.
+    """
+    keys = (*s.keys, "beat")
+    rows = rows_of_beats(frames, beats, s, "x", t, more_than=0, trim=True)
+    known = of_usual_area(auc(rows, keys, "place"), s.keys).select(*keys)
+    rows = rows.join(known, list(keys), "left_semi").withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).where(F.col("__n") > more_than)
+    rest = beats.groupBy(*s.keys).agg((-F.median("start_x")).alias("__edd"))
+    return rows.join(rest, list(s.keys)).select(
+        *keys, "time", F.col("relative").alias("distance"), (-F.col("x")).alias("diameter"), F.col(t).alias("timestamp"), F.col("from_start").alias("delta"), (F.col("__edd") - F.col("from_start")).alias("from_EDD"), "velocity"
+    )
 
 
 def summary(beats_with_intervals: DataFrame, keys: tuple[str, ...]) -> DataFrame:

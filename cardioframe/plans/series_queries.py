@@ -455,6 +455,43 @@ def kymograph_positions(spark, d):
     return found.select("user_id", F.col("peak_no").cast("long").alias("peak_no"), "xpos")
 
 
+_TURNED = f"""with e0 as (select user_id, event_id, ts, round(-value * 100) as d, row_number() over (partition by user_id order by ts, event_id) as rn, count(*) over (partition by user_id) as n from events),
+lo as (select *, min(d) over (partition by user_id order by rn rows between 5 preceding and 5 following) as lo from e0), hg as (select *, max(lo) over (partition by user_id order by rn rows between 5 preceding and 5 following) as hi from lo),
+e as (select user_id, event_id, ts, rn, n, d, d - avg(hi) over (partition by user_id order by rn rows between 5 preceding and 5 following) as x from hg){_BEATS[len(_E):]}"""
+
+
+def _of_recordings(spark, d):
+    traces = events(spark, d).select("user_id", "event_id", "ts", F.round(F.col("x") * 100).alias("distance")).withColumn("t", S.number() - 1)
+    return beats.of_recordings(traces, S, "t", "distance", WIDTH, 5, 5, digits=0)
+
+
+@query(f"""{_TURNED} select b.user_id, beat, start, peak, "end", a.d as start_x, p.d as peak_x from b join e a on a.user_id = b.user_id and a.rn = b.start_place join e p on p.user_id = b.user_id and p.rn = b.peak + 1""")
+def corrected_beats(spark, d):
+    """Beats found on the baseline-corrected series, with the diameters of the original one."""
+    _, found = _of_recordings(spark, d)
+    return found.select("user_id", *(F.col(c).cast("long").alias(c) for c in ("beat", "start", "peak", "end")), "start_x", "peak_x")
+
+
+@query(f"""{_TURNED}, ed as (select b.user_id, -median(a.d) as edd from b join e a on a.user_id = b.user_id and a.rn = b.start_place group by b.user_id),
+tr as (select e.user_id, b.beat, e.rn, e.d, e.rn - b.start_place as tm, e.d - first_value(e.d) over (partition by e.user_id, b.beat order by e.rn) as rise from e join b on e.user_id = b.user_id and e.rn between b.start_place and b.end_place),
+nr as (select *, case when max(rise) over (partition by user_id, beat) = 0 then rise else rise / max(rise) over (partition by user_id, beat) end as rel, coalesce(rise - lag(rise) over (partition by user_id, beat order by rn), 0) as vel, row_number() over (partition by user_id, beat order by rn) as k from tr),
+tt as (select * from (select *, min(case when vel <> 0 then k end) over (partition by user_id, beat) as mv from nr) where k >= coalesce(mv - 1, 1)),
+ct as (select *, count(*) over (partition by user_id, beat) as m from tt)
+select ct.user_id, beat, tm - min(tm) over (partition by ct.user_id, beat) as time, round(rel, 6) + 0.0 as distance, -d as diameter, rn - 1 as timestamp, rise as delta, edd - rise as from_edd, vel as velocity from ct join ed using (user_id) where m > 3""")
+def transient_table(spark, d):
+    """The rows of beats with all published columns."""
+    found = beats.transients(*_of_recordings(spark, d), S, "t", more_than=3)
+    return found.select("user_id", *(F.col(c).cast("long").alias(c) for c in ("beat", "time", "timestamp")), _r(F.col("distance"), "distance"), *((F.col(c) + F.lit(0.0)).alias(c) for c in ("diameter", "delta", "velocity")), (F.col("from_EDD") + F.lit(0.0)).alias("from_edd"))
+
+
+@query(f"""{_ROWS}, a as (select *, (relative + lead(relative) over (partition by user_id, beat order by rn)) / 2 as part from r), s as (select user_id, beat, sum(part) as auc from a group by user_id, beat)
+select user_id, beat, round(auc, 6) + 0.0 as auc from s where auc is not null""")
+def usual_areas(spark, d):
+    """Beats whose area is known and lies between the outermost quartiles of its series, as all known ones do."""
+    found = beats.of_usual_area(beats.auc(beat_rows(spark, d), ("user_id", "beat"), "place"), ("user_id",))
+    return found.select("user_id", F.col("beat").cast("long").alias("beat"), _r(F.col("auc"), "auc"))
+
+
 _SPREAD = ", ".join(f"median({c}) as {c}_median, stddev_samp({c}) as {c}_sd" for c in ("peaked", "tt50p", "tt50r"))
 
 

@@ -51,10 +51,10 @@ def lookup_first_match(spark, d):
     return joins.lookup(table(spark, d, "nation").select("n_nationkey", "n_name"), dim, "n_nationkey", ["c_custkey"])
 
 
-@query("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)")
+@query("select doc_id, source from documents where doc_id not in (select doc_id from labels where doc_id is not null)")
 def unfinished_inputs(spark, d):
-    done = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return joins.unfinished(table(spark, d, "customer").select("c_custkey", "c_name"), done, ["c_custkey"])
+    """Documents that no label is finished for."""
+    return joins.unfinished(table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels"), ["doc_id"])
 
 
 @query("select c_custkey, c_name from customer where c_custkey in (select o_custkey from orders where o_totalprice > 400000)")
@@ -70,17 +70,18 @@ def rescued_traces(spark, d):
     return joins.rescue(o, "quality", "o_custkey").select("o_orderkey", "o_custkey")
 
 
-@query("select n_name, r.r_regionkey, r_name from nation right join (select * from region) r on n_regionkey = r.r_regionkey and n_nationkey % 5 = 0")
+@query("select quality, d.doc_id, lang, source from labels l right join documents d on l.doc_id = d.doc_id")
 def right_join_keep(spark, d):
-    n = table(spark, d, "nation").where("n_nationkey % 5 = 0")
-    r = table(spark, d, "region")
-    return n.join(r, n["n_regionkey"] == r["r_regionkey"], "right").select("n_name", "r_regionkey", "r_name")
+    """All documents, with their labels where they have any."""
+    l, docs = table(spark, d, "labels").select("doc_id", "quality"), table(spark, d, "documents").select("doc_id", "lang", "source")
+    return l.join(docs, "doc_id", "right").select("quality", "doc_id", "lang", "source")
 
 
-@query("select c_custkey, n_name from customer left join nation on c_nationkey = n_nationkey and n_nationkey < 10")
+@query("select vec_id, label, quality, toxic from embeddings left join labels on vec_id = doc_id")
 def left_meta(spark, d):
-    n = table(spark, d, "nation").where("n_nationkey < 10")
-    return table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name")
+    """All vectors, beside the labels of the document of the same number where there are any."""
+    e, l = table(spark, d, "embeddings").select("vec_id", "label"), table(spark, d, "labels")
+    return e.join(l, F.col("vec_id") == F.col("doc_id"), "left").select("vec_id", "label", "quality", "toxic")
 
 
 @query("""with per as (select l_orderkey, median(l_quantity) as q, median(l_extendedprice) as p from lineitem group by l_orderkey), rec as (select o_custkey, o_orderpriority, q, p from orders join per on l_orderkey = o_orderkey),
@@ -163,9 +164,11 @@ def mean_distinct_segment(spark, d):
     return tables.segment(table(spark, d, "part"), "p_size").select("p_partkey", "segment")
 
 
-@query("select o_orderkey, o_totalprice from orders where o_totalprice >= 150000 and o_orderkey >= 200 and o_orderstatus = 'O'")
+@query("select o_orderkey, o_totalprice from orders where o_totalprice * 1000 >= 150000000 and o_orderkey % 1000 >= 200 and (o_orderkey % 20) / 1000.0::double <= 0.010")
 def filtered_scan(spark, d):
-    return table(spark, d, "orders").where("o_totalprice >= 150000 and o_orderkey >= 200 and o_orderstatus = 'O'").select("o_orderkey", "o_totalprice")
+    """Movies that are large, long and fast enough; orders stand for movies."""
+    movies = table(spark, d, "orders").select("o_orderkey", "o_totalprice", (F.col("o_totalprice") * 1000).alias("size"), (F.col("o_orderkey") % 1000).cast("string").alias("sizeT"), (F.col("o_orderkey") % 20 / 1000).cast("string").alias("time_interval"))
+    return tables.usable_movies(movies).select("o_orderkey", "o_totalprice")
 
 
 @query("select l_orderkey, l_linenumber, round(case when l_linenumber = 1 then 0.65 else l_linenumber end * coalesce(nullif(l_tax, 0), 1), 6) as resolution from lineitem")
