@@ -25,6 +25,13 @@ def adjusted_r2(y: Column, x: Column) -> Column:
     return 1 - F.try_divide((1 - F.regr_r2(y, x)) * (n - 1), n - 2)
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Of the rows that have both; null where one of them never changes, for which the built-in one raises an error."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def fractional_shortening(edd: Column, esd: Column) -> Column:
     return F.try_divide(edd - esd, edd)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..operators import areas, beats, blocks, direction, joins, qc, series, signal, tables
 from ..operators.series import Series
+from ..sources import writers
 from .registry import query, table
 
 S = Series(("user_id",), ("ts", "event_id"))
@@ -511,6 +512,52 @@ def qc_ok_or_bad(spark, d):
     return qc.ok_or_bad(qc.trace_metrics(events(spark, d), S, "x"), "autocorr_x", "smooth_x").select("user_id", "quality")
 
 
+@query(f"{_BEATS} select user_id, beat, start, peak, \"end\", start_x, peak_x, end_x from b")
+def beats_from_store(spark, d):
+    """Beats read from a table that is bucketed and sorted by series: no shuffle on the way."""
+    path = writers.shared(spark)
+    stored = writers.series_store(events(spark, d), ["user_id"], ["ts", "event_id"], f"series_{path[-32:]}", path, 8)
+    found = beats.find_beats(beats.turning_points(stored.withColumn("t", S.number() - 1), S, "x", WIDTH), S, "x", "t")
+    return found.select("user_id", F.col("beat").cast("long").alias("beat"), *(F.col(c).cast("long").alias(c) for c in ("start", "peak", "end")), "start_x", "peak_x", "end_x")
+
+
+_QUALITY = f"""with q0 as (select 'G' || user_id % 5 || '_' || user_id || '_1wm.cxd_peak_1_at Xpos_' || user_id % 90 || '.tiff.csv' as csv, user_id % 40 as mv, case when user_id % 11 = 0 then 1.0::double else value end as up, row_number() over (partition by user_id order by ts, event_id) as t, event_id from events),
+q1 as (select *, (event_id * 7 % 101)::double as down, sqrt(t::double) * 10 as distance, sqrt(t::double) * case when mv % 3 = 0 then 1 else (t % 2) end as distance_norm from q0),
+q2 as (select *, up - lag(up) over w as du, down - lag(down) over w as dd, distance - lag(distance) over w as di, distance_norm - lag(distance_norm) over w as dn from q1 window w as (partition by csv order by t)),
+q3 as (select *, lag(du) over w as eu, lag(dd) over w as ed, lag(di) over w as ei, lag(dn) over w as en from q2 window w as (partition by csv order by t)),
+q4 as (select csv, stddev_samp(du) as su, stddev_samp(dd) as sd_, case when stddev_samp(du) > 0 then corr(du, eu) end as cu, corr(dd, ed) as cd, corr(di, ei) as ci, corr(dn, en) as cn from q3 group by csv),
+q5 as (select csv, case when su = 0 or sd_ = 0 then 10 else su end as smoothie_up, case when su = 0 or sd_ = 0 then 10 else sd_ end as smoothie_down, case when su = 0 or sd_ = 0 then 100 else abs(sd_ - su) / sqrt(2.0) end as sd, case when su = 0 or sd_ = 0 then 0 else ci end as dist_cor,
+  case when su = 0 or sd_ = 0 then 0 else cn end as norm_dist_cor, case when su = 0 or sd_ = 0 then 0 else cu end as autocorr_up, case when su = 0 or sd_ = 0 then 0 else cd end as autocorr_down from q4),
+q6 as (select *, case when autocorr_up > (select median(autocorr_up) from q5) * 0.9 and autocorr_down > (select median(autocorr_down) from q5) * 0.9 and sd < (select median(sd) from q5) * 1.5 then 'excellent' when dist_cor > 0.6 and sd < 4 and norm_dist_cor > 0.6 then 'good' else 'n.t.' end as quality from q5)"""
+
+
+def _quality(spark, d) -> DataFrame:
+    u = F.col("user_id")
+    e = events(spark, d).withColumn("t", S.number())
+    csv = F.concat(F.lit("G"), (u % 5).cast("string"), F.lit("_"), u.cast("string"), F.lit("_1wm.cxd_peak_1_at Xpos_"), (u % 90).cast("string"), F.lit(".tiff.csv"))
+    root = F.sqrt(F.col("t").cast("double"))
+    traces = e.select(csv.alias("csv"), "t", F.when(u % 11 == 0, 1.0).otherwise(F.col("x")).alias("up"), (F.col("event_id") * 7 % 101).cast("double").alias("down"), (root * 10).alias("distance"), (root * F.when(u % 40 % 3 == 0, 1).otherwise(F.col("t") % 2)).alias("distance_norm"))
+    return qc.quality_table(traces)
+
+
+@query(f"{_QUALITY} select csv, split_part(csv, '_', 1) as \"CODE\", regexp_extract(csv, 'Xpos_([0-9]+)', 1)::int as \"Xpos\", quality, round(smoothie_up, 5) as smoothie_up, round(sd, 5) + 0.0 as sd, round(dist_cor, 5) + 0.0 as dist_cor, round(autocorr_down, 5) + 0.0 as autocorr_down from q6")
+def quality_table(spark, d):
+    """The published quality classes with the metrics behind them; some traces have an edge that never moves."""
+    return _quality(spark, d).select("csv", "CODE", "Xpos", "quality", *(_r(F.col(c), c, 5) for c in ("smoothie_up", "sd", "dist_cor", "autocorr_down")))
+
+
+@query(f"""{_QUALITY}, m as (select *, regexp_extract(csv, '^(.*?[.]cxd)', 1) as cxd from q6), c as (select cxd, count_if(quality = 'excellent') as best, count_if(quality = 'good') as value from m group by cxd)
+select c.cxd, value, csv, round(sd, 5) + 0.0 as sd from c join m on m.cxd = c.cxd and quality = 'good' where best = 0""")
+def rescued_with_quality(spark, d):
+    """Good traces of movies without an excellent one, with the columns of the quality table."""
+    return qc.rescued(_quality(spark, d)).select("cxd", "value", "csv", _r(F.col("sd"), "sd", 5))
+
+
+@query(f"""{_QUALITY}, m as (select *, regexp_extract(csv, '^(.*?[.]cxd)', 1) as cxd from q6), k as (select unnest(['excellent', 'good', 'n.t.']) as quality) select k.quality, x.cxd, count(m.csv) as value from (select distinct cxd from m) x cross join k left join m on m.cxd = x.cxd and m.quality = k.quality group by all""")
+def quality_tally(spark, d):
+    return qc.tally(_quality(spark, d)).select("quality", "cxd", "value")
+
+
 _EDGE = "select label, vec_id, v, y from (select label, vec_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as y from embeddings)"
 
 

@@ -45,12 +45,22 @@ def mapping(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_dates(spark: SparkSession, path: str) -> DataFrame:
-    """Movie names and dates of an optional list; the first date of a name stays."""
+    """cxd_file and cxd_date of an optional list of tab-separated lines (path, date); short lines are read as far as they go.
+
+    The first date of a name stays; of a date the text before its first blank counts. Without a list the table is empty.
+    """
+    from pyspark.errors import AnalysisException
+
     from ..operators.joins import first_per_key
 
-    raw = spark.read.schema(schemas.FILE_DATES).option("sep", "\t").option("mode", "PERMISSIVE").csv(path)
+    try:
+        raw = spark.read.schema(schemas.FILE_DATES).option("sep", "\t").option("mode", "PERMISSIVE").csv(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raw = spark.sql("select cast(null as string) as path, cast(null as string) as date where false")
     named = raw.select(naming.base_name(F.translate("path", "\\", "/")).alias("cxd_file"), F.substring_index("date", " ", 1).alias("cxd_date"))
-    return first_per_key(named, ["cxd_file"], ["cxd_date"])
+    return first_per_key(named.where("cxd_file is not null"), ["cxd_file"], ["cxd_date"])
 
 
 def metadata_lines(spark: SparkSession, path: str) -> DataFrame:

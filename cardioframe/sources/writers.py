@@ -54,3 +54,9 @@ def staged(df: DataFrame, by: str | None = None) -> DataFrame:
 def stack(columns: DataFrame, keys: list[str], path: str) -> None:
     """Movies as image columns (keys, t, x, col), in a folder for each column's place, so that cuts at some places read these only."""
     stage(columns.repartition("x", *keys), path, "x")
+
+
+def series_store(df: DataFrame, keys: list[str], order: list[str], name: str, path: str, buckets: int = 64) -> DataFrame:
+    """A table of series, bucketed by ``keys`` and sorted by ``order`` within, so that operators of series read it without a shuffle."""
+    df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys, *order).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
