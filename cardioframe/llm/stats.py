@@ -126,6 +126,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, u
             rows = matrix(measure(piece), names)
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("y"), pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, len(names), dtype=np.int32)), pa.array(rows.ravel()))], ["doc_id", "y", "x"])
 
-    got = kit.map_texts(texts, run, "doc_id long, y int, x array<double>").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    # one row for each doc_id before any of them reach the driver; of its different texts the one with the smallest statistics stands for it
+    measured = kit.map_texts(texts, run, "doc_id long, y int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("r"))
+    got = measured.select("doc_id", "r.y", "r.x").toPandas().sort_values("doc_id")
     x = np.array(got["x"].tolist(), np.float64).reshape(len(got), len(names))
     return x, got["y"].to_numpy(np.int64), got["doc_id"].to_numpy(np.int64)

@@ -291,3 +291,17 @@ def test_folds_are_those_of_crc32(spark):
     from cardioframe.llm.queries import fold
 
     assert all(r["f"] == zlib.crc32(str(r["doc_id"]).encode()) % 4 for r in docs(spark, TEXTS).select("doc_id", fold(4).alias("f")).collect())
+
+
+def test_a_sample_has_one_row_for_each_document_before_the_driver(spark, monkeypatch):
+    """Repeated rows of a document don't reach the driver, and the order in which its texts arrive does not matter."""
+    texts = ["b b b\nb", "a fine text, with a line.", "", None]
+    rows = [(d, t) for d in (1, 2) for t in texts * 50]
+    labels = spark.createDataFrame([(1, 0), (2, 1), (2, 0)], "doc_id long, quality int")
+    seen = []
+    plain = type(labels).toPandas
+    monkeypatch.setattr(type(labels), "toPandas", lambda df: seen.append(df.count()) or plain(df))
+    got = [stats.labelled_sample(spark.createDataFrame(order, "doc_id long, text string"), labels, "quality", 10) for order in (rows, rows[::-1])]
+    assert seen == [2, 2]
+    for (x, y, ids), (x2, y2, ids2) in [got]:
+        assert np.array_equal(x, x2) and y.tolist() == y2.tolist() == [0, 1] and ids.tolist() == ids2.tolist() == [1, 2]
