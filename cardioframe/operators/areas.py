@@ -67,9 +67,10 @@ def kymograph_positions(profile: DataFrame, areas: DataFrame, keys: list[str], x
     Values under an area's quantile count as that quantile. Of peaks that are equally bright the first stands for all. As published a
     position is one column behind its peak, and never behind the last column of the image; equal positions count once.
     """
+    profile = profile.select(*keys, x, F.col(value).alias("__value"))
     inside = profile.join(areas, keys).where(F.col(x).between(F.col("first"), F.col("last")))
     s = Series((*keys, "area"), (x,))
-    clamped = inside.withColumn("__q", F.percentile(value, F.lit(q)).over(s.whole)).withColumn("__v", F.greatest(F.col(value), F.col("__q")))
+    clamped = inside.withColumn("__q", F.percentile("__value", F.lit(q)).over(s.whole)).withColumn("__v", F.greatest("__value", "__q"))
     peaks = clamped.withColumn("__p", series.window_peaks(s, "__v", reach)).where("__p")
     ranked = peaks.withColumn("__k", F.row_number().over(s.whole.orderBy(F.desc("__v"), x))).where(F.col("__k") <= most)
     first = ranked.groupBy(*keys, "area", "__v").agg(F.min(x).alias("__x"))

@@ -31,12 +31,14 @@ def stripes(columns: DataFrame, movies: DataFrame, keys: list[str], reach: int =
     The rims are the first ``share`` of rows (rounded down) and, as published, one row more at the end. A column is summed
     where it is read, so what is shuffled is one number for each frame and position.
     """
-    height, x = F.col("height").cast("int"), F.col("x")
+    height = F.col("height").cast("int")
     extent = F.floor(height * share).cast("int")
     rim = F.concat(F.slice("col", F.lit(1), extent), F.slice("col", height - extent, extent + 1))
-    near = F.filter("places", lambda p: F.abs(p - x) <= reach)
-    each = columns.join(movies.select(*keys, "height", "places"), keys).where(F.size(near) > 0)
-    total = each.select(*keys, "t", F.aggregate(rim, F.lit(0.0), lambda a, v: a + v).alias("__s"), F.size(rim).alias("__n"), F.explode(near).alias("xpos"))
+    # the columns of each position are listed, so columns meet their positions by equal keys, and a stack in folders by x is pruned
+    wanted = movies.select(*keys, "height", F.explode("places").alias("xpos"))
+    near = wanted.select(*keys, "height", "xpos", F.explode(F.sequence(F.col("xpos") - reach, F.col("xpos") + reach)).alias("x"))
+    each = columns.join(near, [*keys, "x"])
+    total = each.select(*keys, "xpos", "t", F.aggregate(rim, F.lit(0.0), lambda a, v: a + v).alias("__s"), F.size(rim).alias("__n"))
     return total.groupBy(*keys, "xpos", "t").agg((F.sum("__s") / F.sum("__n")).alias("profile"))
 
 

@@ -110,7 +110,7 @@ def final(table: DataFrame, merged: DataFrame, mapping: DataFrame) -> DataFrame:
     file = F.col("file")
     both = table.join(merged.withColumnRenamed("jpg", "file"), "file", "left").withColumns({"Age": naming.age(file), "Sex": naming.sex(file), "CODE": F.col("CODE_x")})
     one = joins.first_per_key(both, ["file"], ["cxd_file", "EDD", "ESD", "HR"])
-    stock = joins.lookup(one.drop("stocks"), mapping.select("CODE", "stocks"), "CODE", ["stocks"])
+    stock = joins.lookup(one, mapping.select(naming.mapping_code(F.col("CODE")).alias("CODE"), "stocks"), "CODE", ["stocks"])
     return stock.withColumn("file", naming.masked_peak(F.col("file"))).select(*FINAL_COLUMNS).distinct()
 
 
