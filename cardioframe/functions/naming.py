@@ -35,6 +35,11 @@ def sex(name: Column) -> Column:
     return _some(F.right(field(name, 3), F.lit(1)))
 
 
+def last(text: Column, n: int) -> Column:
+    """The last n characters; all of a shorter text."""
+    return F.right(text, F.lit(n))
+
+
 def comment(name: Column) -> Column:
     return F.coalesce(_some(F.regexp_extract(name, r"^(?:[^_]*_){5}([^.]*)\.", 1)), F.lit("none"))
 

@@ -133,8 +133,8 @@ def genotypes(found: DataFrame) -> DataFrame:
     first = lambda c, name: F.min(c).alias(name)  # noqa: E731  one value for each genotype
     numbers = [a for c, sd in spread.items() for a in (F.avg(c).alias(c), F.stddev_samp(c).alias(sd))]
     out = found.groupBy(F.col("CODED").alias("Code")).agg(F.count("*").alias("n"), first("cross", "Cross"), first("type", "type"), first("symbol_human", "human"), first("symbol_fly", "fly"), *numbers)
-    pair = F.right("Code", F.lit(2))
-    out = out.withColumns({"AgeSex": pair, "Sex": F.right("Code", F.lit(1)), "Age": F.substring(pair, 1, 1)})
+    pair = naming.last(F.col("Code"), 2)
+    out = out.withColumns({"AgeSex": pair, "Sex": naming.last(F.col("Code"), 1), "Age": F.substring(pair, 1, 1)})
     return out.select("Code", "n", "Cross", "type", "human", "fly", "AgeSex", "Sex", "Age", *(c for pair in spread.items() for c in pair))
 
 

@@ -60,3 +60,16 @@ def series_store(df: DataFrame, keys: list[str], order: list[str], name: str, pa
     """A table of series, bucketed by ``keys`` and sorted by ``order`` within, so that operators of series read it without a shuffle."""
     df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys, *order).option("path", path).saveAsTable(name)
     return df.sparkSession.table(name)
+
+
+def append_unfinished(df: DataFrame, folder: str, key: str) -> None:
+    """Metadata, direction marks, traces or quality of the recordings (``key``) that ``folder`` does not hold yet, in a folder for each recording.
+
+    What is there stays as it is, so a run that is repeated adds new recordings only. Recordings that are there are told by the names of their folders.
+    """
+    from ..operators.joins import unfinished
+    from .readers import finished
+
+    done = finished(df.sparkSession, folder)
+    new = df if done is None else unfinished(df, done.select(F.col(key).cast(df.schema[key].dataType).alias(key)), [key])
+    stage(new, folder, key, append=True)

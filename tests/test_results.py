@@ -86,3 +86,19 @@ def test_listings_tell_files_apart(spark, tmp_path):
         (tmp_path / name).write_text("x")
     got = {k: sorted(r["file"] for r in df.collect()) for k, df in readers.listings(spark, str(tmp_path)).items()}
     assert got == {"movies": ["a.cxd"], "kymographs": ["a.cxd_peak_1_at Xpos_2.tiff"], "traces": ["a.cxd_peak_1_at Xpos_2.tiff.csv"], "pictures": [], "directions": ["a.cxd_directionmarks.csv"], "metadata": []}
+
+
+def test_finished_recordings_are_not_written_again(spark, tmp_path):
+    folder = str(tmp_path / "kv")
+    kv = lambda *rows: spark.createDataFrame(rows, "recording string, L1 string, value string")
+    writers.append_unfinished(kv(("7", "sizeX", "10"), ("7", "sizeT", "300"), ("b.cxd", "sizeX", "20")), folder, "recording")
+    writers.append_unfinished(kv(("7", "sizeX", "other"), ("c.cxd", "sizeX", "30")), folder, "recording")
+    got = sorted((r["recording"], r["L1"], r["value"]) for r in spark.read.schema("L1 string, value string, recording string").parquet(folder).collect())
+    assert got == [("7", "sizeT", "300"), ("7", "sizeX", "10"), ("b.cxd", "sizeX", "20"), ("c.cxd", "sizeX", "30")]
+
+
+def test_last_characters(spark):
+    from cardioframe.functions import naming
+
+    df = spark.createDataFrame([("CRISPR3f",), ("f",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(naming.last(F.col("t"), 2)).collect()] == ["3f", "f", "", None]
