@@ -30,8 +30,8 @@ def test_traces_stage_and_listing(spark, tmp_path):
     assert readers.finished(spark, out) is None
     writers.stage(rows, out, by="csv")
     assert readers.finished(spark, out).count() == 1
-    writers.tables({"t": rows}, str(tmp_path / "final"))
-    assert spark.read.option("header", True).csv(str(tmp_path / "final" / "t")).count() == 1
+    run = writers.tables({"t": rows}, str(tmp_path / "final"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "final" / "runs" / run / "t")).count() == 1
 
 
 def test_only_new_files_are_read(spark, tmp_path):
