@@ -202,6 +202,39 @@ def test_contexts_hold_earlier_tokens_and_the_start(spark):
     assert [got[i] for i in range(27, 34)] == ["ctx:17:25", "ctx:216:230", "ctx:13:19", "ctx:18:26", "ctx:5:11", "ctx:5:12", ""]
 
 
+def test_unseen_identifiers_are_discovered_and_clean_documents_left_alone(spark):
+    """Of planted identifiers that no base pattern finds, nine in ten or more; no span in texts with numbers in other contexts."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 7)))
+    some = lambda: " ".join(word() for _ in range(rng.randrange(3, 20)))
+    digits = lambda n: "".join(str(rng.randrange(10)) for _ in range(n))
+    frames = ["call me on {} today", "Phone: {}", "write to {} please", "my address is {} since"]
+    base = [lambda: f"+49 (30) {digits(3)}-{digits(4)}", lambda: f"{word()}.{digits(2)}@{word()}.example.org", lambda: f"10.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}"]
+    unseen = [lambda: f"0{digits(3)}/{digits(6)}", lambda: f"{word()}[at]{word()}{digits(4)}", lambda: f"00:{digits(2)}:{digits(2)}:{digits(2)}"]
+    texts, want = [], {}
+    for i in range(400):
+        lead, tail = some(), some()
+        if i % 4 == 3:
+            texts.append(f"{lead} in {rng.randrange(1900, 2030)} {word()} sold {digits(5)} {tail}")
+            continue
+        value = rng.choice(unseen if i % 4 == 2 else base)()
+        at = f"{lead} {rng.choice(frames)}"
+        texts.append(f"{at} {tail}".replace("{}", value))
+        if i % 4 == 2:
+            want[i] = (at.index("{}"), at.index("{}") + len(value))
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(docs(spark, texts))).collect()}
+    assert sum(got[i] == f"ctx:{a}:{b}" for i, (a, b) in want.items()) >= 0.9 * len(want)
+    assert not any(got[i] for i in range(3, 400, 4)) and not any("ctx" in got[i] for i in got if i % 4 < 2)
+
+
+def test_seeds_of_several_words_are_one_token(spark):
+    seeds = [f"so ring me at +1 (377) 555-02{i}1 now" for i in range(9)]
+    texts = [*seeds, "so ring me at 0377/5550271 now", "\ue041\ue042 at 12345", "id +1 (377) 5550, then"]
+    got = {r["doc_id"]: r for r in pii.digest(pii.find(docs(spark, texts))).collect()}
+    assert all((got[i]["n_phone"], got[i]["n_ctx"]) == (1, 0) for i in range(9))
+    assert [got[i]["spans"] for i in (9, 10, 11)] == ["ctx:14:26", "", ""]
+
+
 def test_contexts_of_very_long_words(spark):
     far = "w" * 150
     seeds = [f"x {far} at user{i}@mail.example.com" for i in range(9)]
@@ -277,7 +310,7 @@ def test_scores_of_the_graph_agree_with_plain_rounds(spark):
         conf = {p: mean(p) for p in known}
         score = {v: 1.0 if v in seeds else 1 - np.prod([max(1e-9, 1 - conf[p]) for p in known if v in held[p]]) for v in score}
     want = {(p, v) for p in known for v in held[p] if v not in seeds and score[v] >= 0.6 and mean(p) >= 0.6}
-    tokens = spark.createDataFrame([(i, [(5 * i, 5 * i + 1, v, p, int(v in seeds))]) for i, (p, v) in enumerate(sorted(edges))], "row long, tokens array<struct<start:long,end:long,value:string,pattern:string,seed:int>>")
+    tokens = spark.createDataFrame([(i, [(5 * i, 5 * i + 1, v, [p], int(v in seeds))]) for i, (p, v) in enumerate(sorted(edges))], "row long, tokens array<struct<start:long,end:long,value:string,patterns:array<string>,seed:int>>")
     got = {sorted(edges)[r["row"]] for r in pii.discover(tokens, trust=0.6).collect()}
     assert got == want and want
 
