@@ -7,7 +7,8 @@ the frame of a label and the word after. Words are those around the token's own
 Patterns and instances form a graph whose two sides are scored in turn: a pattern by
 the mean score of the instances it leads to, an instance by how likely it is that any of its patterns is
 right; seeds score 1. Tokens that no base pattern found but trusted patterns lead to become ``ctx`` spans.
-A single word or frame without a label is no pattern: words as common as 'the' stand beside all kinds of numbers.
+A single word or frame without a label is no pattern, and two words are one only if enough of their places in
+the whole corpus lead to tokens: words as common as 'of the' stand before all kinds of things.
 DataFrame functions only.
 
 Edge cases: a null or empty text has no spans; repeated rows get the spans of their own text each; without
@@ -125,15 +126,30 @@ def _dealt(rows: DataFrame, few: DataFrame, key: list[str], by: str, how: str =
     return rows.withColumn("part", F.pmod(F.xxhash64(by), F.lit(_PARTS)).cast("int")).join(each, [*key, "part"], how).drop("part")
 
 
-def discover(seen: DataFrame, support: int = 3, trust: float = 0.8, rounds: int = 3) -> DataFrame:
+def _places(docs: DataFrame) -> DataFrame:
+    """pattern, for each two words of each text (two signs of the start before it) that another word follows."""
+    words = F.filter(F.split(F.concat(F.lit(_START), _alike(F.coalesce(F.col("text").cast("string"), F.lit("")))), f"[{_W}]+", -1), lambda w: w != "")
+    pairs = F.zip_with(F.slice("w", 1, F.size("w") - 2), F.slice("w", 2, F.size("w") - 2), lambda a, b: F.concat(F.lit("2 "), a, F.lit(" "), b))
+    return docs.select(words.alias("w")).where(F.size("w") > 2).select(F.explode(pairs).alias("pattern"))
+
+
+def discover(seen: DataFrame, places: DataFrame | None = None, support: int = 3, trust: float = 0.8, rounds: int = 3, share: float = 0.1) -> DataFrame:
     """row and a list of ctx spans, for rows with any. seen: row, tokens (array of start, end, value, patterns, seed).
 
+    places: a row (pattern) for each place of any pattern in the corpus, whatever follows; those of patterns that have
+        the support are counted, so Spark broadcasts these while they are few and filters by them before a shuffle otherwise
+    share: this part of a pattern's places at least must lead to tokens; patterns that ``places`` does not hold always count
     support: how many different seeds must follow a pattern
     trust: the score from which a pattern counts and an instance is accepted; rounds: of scoring
     """
     use = seen.select("row", F.explode("tokens").alias("t")).select("row", "t.*").withColumn("pattern", F.explode("patterns")).drop("patterns")
-    edges = use.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
-    known = edges.groupBy("pattern").agg(F.sum("seed").alias("seeds"), F.count("*").alias("n")).where((F.col("seeds") >= support) & (F.col("seeds") < F.col("n"))).select("pattern")
+    edges = use.groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("uses"))
+    known = edges.groupBy("pattern").agg(F.sum("seed").alias("seeds"), F.count("*").alias("n"), F.sum("uses").alias("uses")).where((F.col("seeds") >= support) & (F.col("seeds") < F.col("n"))).select("pattern", "uses")
+    if places is not None:
+        known = kit.stage(known)
+        met = places.join(known, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("met"))
+        known = known.join(met, "pattern", "left").where(F.col("uses") >= share * F.coalesce("met", F.lit(0)))
+    known, edges = known.select("pattern"), edges.drop("uses")
     edges = kit.stage(_dealt(edges, known, ["pattern"], "value", "left_semi"))
     scored = edges.select("pattern", "value", "seed", F.col("seed").cast("double").alias("score"))
     for _ in range(rounds):
@@ -165,7 +181,7 @@ def find(docs: DataFrame, **how) -> DataFrame:
         ),
     )
     seen = kit.stage(_signed(base).select("doc_id", "base", token.alias("tokens")).withColumn("row", F.monotonically_increasing_id()))
-    more = discover(seen.where(F.size("tokens") > 0).select("row", "tokens"), **how)
+    more = discover(seen.where(F.size("tokens") > 0).select("row", "tokens"), _places(docs), **how)
     # a base span that overlaps one of an earlier kind may reach into a word that is taken for a token
     apart = F.filter("more", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
     out = seen.select("row", "doc_id", "base").join(more, "row", "left")

@@ -227,6 +227,13 @@ def test_unseen_identifiers_are_discovered_and_clean_documents_left_alone(spark)
     assert not any(got[i] for i in range(3, 400, 4)) and not any("ctx" in got[i] for i in got if i % 4 < 2)
 
 
+def test_patterns_of_common_words_need_their_share(spark):
+    seeds = [f"we went of the user{i}@mail.example.com and so" for i in range(9)]
+    texts = [*seeds, "one of the AB12345 then", "of the one of the two of the three " * 60]
+    find = lambda t: {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(docs(spark, t))).collect()}
+    assert find(texts[:10])[9] == "ctx:11:18" and find(texts)[9] == ""
+
+
 def test_seeds_of_several_words_are_one_token(spark):
     seeds = [f"so ring me at +1 (377) 555-02{i}1 now" for i in range(9)]
     texts = [*seeds, "so ring me at 0377/5550271 now", "\ue041\ue042 at 12345", "id +1 (377) 5550, then"]
