@@ -8,6 +8,8 @@ The masks leave no gap: two texts side by side in which no mask fits have a best
 words at most (with a penalty of two or more for a substitution), so each passage that scan() accepts by
 five words or more is laid side by side. Items of five words, of which four are enough, have a mask of
 four; of shorter items the share asks for every word, so each has one mask of all its words.
+A text that holds such a short item, of one word perhaps, may be anything: ``passage`` tells
+whether an item of five words or more is in it, and what removes documents goes by that.
 
 Words are compared in lower case (A-Z) and without ASCII punctuation. Edge cases: a null or empty text is
 clean; an item without a word is found nowhere, any other is looked for; repeated items count once each, the
@@ -140,7 +142,7 @@ def _best_stretch(same: np.ndarray, penalty: int) -> tuple[int, int, int]:
 
 
 def scan(docs: DataFrame, shared: Broadcast, least_words: int = 13, least_share: float = 0.8, penalty: int = 2, row: str | None = None) -> DataFrame:
-    """doc_id, n_hits (places laid side by side), n_overlap (words that agree in the best stretch), item_id, contaminated, for the items of one index, which is broadcast.
+    """doc_id, n_hits (places laid side by side), n_overlap (words that agree in the best stretch), item_id, contaminated, passage (by an item of five words or more), for the items of one index, which is broadcast.
 
     A stretch counts with ``least_words`` words that agree, or with ``least_share`` of an item's words.
     row: a column of longs that is handed on
@@ -152,7 +154,7 @@ def scan(docs: DataFrame, shared: Broadcast, least_words: int = 13, least_share:
         for piece in kit.pieces(batches):
             words = _Plain(piece, lower=True)
             hashes = words.hashes()
-            hits, best, found = np.zeros(piece.n, np.int64), np.zeros(piece.n, np.int64), np.full(piece.n, -1)
+            hits, best, found, passage = np.zeros(piece.n, np.int64), np.zeros(piece.n, np.int64), np.full(piece.n, -1), np.zeros(piece.n, bool)
             beside = idx.diagonals(words, hashes)
             hits += np.bincount(beside[:, 2], minlength=piece.n)
             # a stretch has no more agreeing words than the whole diagonal
@@ -162,21 +164,23 @@ def scan(docs: DataFrame, shared: Broadcast, least_words: int = 13, least_share:
             # those that agree most come first, so most others cannot be better and are passed over
             order = np.lexsort((beside[:, 0], -agree, beside[:, 2]))
             for (item, at, doc), most in zip(beside[order].tolist(), agree[order].tolist(), strict=True):
-                if most < best[doc] or most == best[doc] and found[doc] >= 0 and idx.ids[item] >= idx.ids[found[doc]]:
-                    continue
                 own = idx.items[item]
+                long = len(own) >= max(_SHORT)
+                if (passage[doc] or not long) and (most < best[doc] or most == best[doc] and found[doc] >= 0 and idx.ids[item] >= idx.ids[found[doc]]):
+                    continue
                 lo, hi = max(at, words.first[doc]), min(at + len(own), words.first[doc + 1])
                 _, _, agree = _best_stretch(hashes[lo:hi] == own[lo - at : hi - at], penalty)
                 if agree < least_words and agree < least_share * len(own):
                     continue
+                passage[doc] |= long
                 if agree > best[doc] or agree == best[doc] and (found[doc] < 0 or idx.ids[item] < idx.ids[found[doc]]):
                     best[doc], found[doc] = agree, item
             yield pa.RecordBatch.from_arrays(
-                [*(piece.column(c) for c in more), piece.column("doc_id"), pa.array(hits), pa.array(best), pa.array([idx.ids[i] if i >= 0 else None for i in found.tolist()], pa.int64()), pa.array(found >= 0)],
-                [*more, "doc_id", "n_hits", "n_overlap", "item_id", "contaminated"],
+                [*(piece.column(c) for c in more), piece.column("doc_id"), pa.array(hits), pa.array(best), pa.array([idx.ids[i] if i >= 0 else None for i in found.tolist()], pa.int64()), pa.array(found >= 0), pa.array(passage)],
+                [*more, "doc_id", "n_hits", "n_overlap", "item_id", "contaminated", "passage"],
             )
 
-    return kit.map_texts(kit.base_columns(docs, *more), run, "".join(f"{c} long, " for c in more) + "doc_id long, n_hits long, n_overlap long, item_id long, contaminated boolean")
+    return kit.map_texts(kit.base_columns(docs, *more), run, "".join(f"{c} long, " for c in more) + "doc_id long, n_hits long, n_overlap long, item_id long, contaminated boolean, passage boolean")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, most_words: int = 400_000, **how) -> DataFrame:
@@ -203,5 +207,5 @@ def find(docs: DataFrame, benchmark: DataFrame, most_words: int = 400_000, **how
         passes.append(kit.stage(found))
         shared.destroy()
     best = F.max(F.when(F.col("contaminated"), F.struct("n_overlap", (-F.col("item_id")).alias("i"))))
-    merged = reduce(DataFrame.unionByName, passes).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("n_hits").alias("n_hits"), best.alias("b"))
-    return merged.select("doc_id", "n_hits", F.coalesce("b.n_overlap", F.lit(0).cast("long")).alias("n_overlap"), (-F.col("b.i")).alias("item_id"), F.col("b").isNotNull().alias("contaminated"))
+    merged = reduce(DataFrame.unionByName, passes).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("n_hits").alias("n_hits"), best.alias("b"), F.max("passage").alias("passage"))
+    return merged.select("doc_id", "n_hits", F.coalesce("b.n_overlap", F.lit(0).cast("long")).alias("n_overlap"), (-F.col("b.i")).alias("item_id"), F.col("b").isNotNull().alias("contaminated"), "passage")

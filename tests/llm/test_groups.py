@@ -346,6 +346,22 @@ def test_decontamination_looks_for_short_items(spark):
         assert got == {0: 0, 1: 1, 2: 2, 4: 4, 6: 3}
 
 
+def test_short_items_are_told_from_passages(spark, tmp_path):
+    """A word that all texts hold removes none of them; a passage beside it, or as long as it, still counts."""
+    import corpus_pipeline
+
+    items = ["yes", "a b c d", "e f g h i", "a b c d x"]
+    texts = ["oh yes", "yes e f g z i", "so a b c d it is", "a b c d x", "yes", "no"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for most in (400_000, 4):
+        got = {r["doc_id"]: (r["contaminated"], r["passage"]) for r in decontam.find(docs(spark, texts), bench, most_words=most).collect()}
+        # four of the five words of item 3 are in text 2 as well
+        assert got == {0: (True, False), 1: (True, True), 2: (True, True), 3: (True, True), 4: (True, False), 5: (False, False)}
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.decontaminate(spark, docs(spark, texts), str(tmp_path))
+    assert {r["doc_id"] for r in kept.collect()} == {0, 4, 5}
+
+
 def side_by_side(texts, items):
     """doc -> (agreeing words, item) by laying every item at every place of every text."""
     plain = lambda t: ["".join(c for c in w if not (33 <= ord(c) < 127) or c.isalnum()).lower() for w in WORD.findall(t or "")]
