@@ -36,8 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    found = kit.stage(decontam.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id").distinct())
+    """Documents without a passage of the benchmark; items of under five words remove nothing."""
+    found = kit.stage(decontam.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("passage").select("doc_id").distinct())
     return docs.join(found, docs["doc_id"] == found["doc_id"], "left_anti")
 
 
