@@ -90,13 +90,21 @@ def _centres(found: DataFrame, keys: list[str], width: Column, frames: str | Non
     return out.select(*keys, F.bround((F.col("__s") + F.col("__with")) / 2, 0).cast("long").alias("border"))
 
 
-def borders(peaks: DataFrame, keys: list[str], t: str, width: int) -> DataFrame:
-    """Borders between beats: centres of the runs of frames, inside two peaks, with no peak in the ``width`` frames ahead."""
+def borders(peaks: DataFrame, keys: list[str], t: str, width: int, movies: DataFrame | None = None) -> DataFrame:
+    """Borders between beats: centres of the runs of frames with no peak in the ``width`` frames ahead.
+
+    movies (keys, frames): with it, runs before the first peak and after the last one count too, and a recording without a
+    peak is one run; without it only runs inside two peaks do
+    """
+    if movies is not None:
+        # the recording's ends stand as peaks: the last run ends with the last frame, whatever the width
+        ends = movies.select(*keys, F.explode(F.array(F.lit(0).cast("long"), F.col("frames").cast("long") + width + 1)).alias(t))
+        peaks = peaks.select(*keys, F.col(t).cast("long").alias(t)).unionByName(ends)
     return _centres(gaps(peaks, keys, t).where("p is not null and q is not null"), keys, F.lit(width))
 
 
 def adaptive_borders(peaks: DataFrame, movies: DataFrame, keys: list[str], t: str, wanted: DataFrame, rounds: int = 10, literal: bool = False) -> DataFrame:
-    """borders() of each recording with a window of its own, and 0 and its number of frames. movies: keys, frames; wanted: keys, start (its first window), beats (how many borders it should have).
+    """borders() (inside two peaks) of each recording with a window of its own, and 0 and its number of frames. movies: keys, frames; wanted: keys, start (its first window), beats (how many borders it should have).
 
     A window grows while there are over 1.2 times as many borders, and shrinks while there are under 0.8 times
     as many, at most ``rounds`` times. All windows that may be taken are laid out beside each gap between two

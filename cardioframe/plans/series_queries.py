@@ -396,11 +396,11 @@ def beat_direction(spark, d):
 
 @query(f"""{_E}, f as (select user_id % 7 as movie, rn as t, bool_or(s < 0 and x > 150) as peak from (select *, {_SLOPE} as s from e) group by 1, 2),
 a as (select *, count(*) filter (where peak) over (partition by movie order by t rows between current row and 2 following) as c, row_number() over (partition by movie order by t) as k from f),
-g as (select *, k - row_number() over (partition by movie order by k) as i from a where c = 0), ends as (select movie, min(t) filter (where peak) as a, max(t) filter (where peak) as z from f group by movie)
-select movie, round_even((min(k) + max(k)) / 2.0, 0)::bigint as border from g join ends using (movie) group by movie, i having min(k) > any_value(a) and max(k) < any_value(z)""")
+g as (select *, k - row_number() over (partition by movie order by k) as i from a where c = 0) select movie, round_even((min(k) + max(k)) / 2.0, 0)::bigint as border from g group by movie, i""")
 def beat_borders(spark, d):
     peaks = events(spark, d).withColumns({"p": series.local_extrema(S, "x") & (F.col("x") > 150), "t": S.number()}).where("p").select((F.col("user_id") % 7).alias("movie"), "t")
-    return direction.borders(peaks, ["movie"], "t", 2)
+    movies = events(spark, d).groupBy("user_id").agg(F.count("*").alias("frames")).groupBy((F.col("user_id") % 7).alias("movie")).agg(F.max("frames").alias("frames"))
+    return direction.borders(peaks, ["movie"], "t", 2, movies)
 
 
 @query(f"""{_E}, {_MOVIES}, pk as (select user_id % 7 as movie, user_id as xpos, rn as t from (select *, {_SLOPE} as s from e) where s < 0 and x > 150), {_STEPS} select movie, border from bo""")

@@ -53,6 +53,19 @@ def test_runs_that_touch_an_end_are_no_borders(spark):
     assert sorted(r["border"] for r in direction.borders(peaks, KEYS, "t", 3).collect()) == [14, 24]
 
 
+def test_runs_at_the_ends_count_where_frames_are_given(spark):
+    peaks = spark.createDataFrame([("a", 10), ("a", 20), ("a", 24), ("b", 1), ("b", 30), (None, 6)], "movie string, t int")
+    movies = spark.createDataFrame([("a", 40), ("b", 30), ("c", 9), (None, 7)], "movie string, frames int")
+    got = sorted(((r["movie"] or "", r["border"]) for r in direction.borders(peaks, ["movie"], "t", 2, movies).collect()))
+
+    def plain(at, n):
+        free = [k for k in range(1, n + 1) if not any(k <= p <= k + 2 for p in at)]
+        runs = [[k for k in free if k - free.index(k) == i] for i in sorted({k - free.index(k) for k in free})]
+        return [round((r[0] + r[-1]) / 2) for r in runs]
+
+    assert got == [(m, b) for m, at, n in (("", [6], 7), ("a", [10, 20, 24], 40), ("b", [1, 30], 30), ("c", [], 9)) for b in plain(at, n)]
+
+
 def published_borders(peaks, frames, w):
     """Starts and ends of runs of frames that see no peak, paired in their order, as first published."""
     seen = [None] + [sum(i <= p <= i + w for p in peaks) for i in range(1, frames - w + 1)]
