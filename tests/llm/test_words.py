@@ -285,6 +285,25 @@ def test_forest_agrees_with_a_walk():
     assert np.allclose(forest.paths(odd), want) and np.mean(want[40:]) < np.mean(want[:40])
 
 
+def test_all_labelled_rows_count_for_forest_and_threshold(spark):
+    rng, n, wide = np.random.default_rng(5), 24_000, len(iforest.FEATURES)
+    y = (rng.random(n) < 0.8).astype(int)
+    x = np.round(rng.normal(size=(n, wide)) + np.where(y == 1, 0, 1.5)[:, None], 2)
+    failed, named = rng.random(n) < 0.1, rng.random(n) < 0.95
+    rows = [(i, *[0] * len(stats.COUNTS), f, v) for i, (f, v) in enumerate(zip(failed.tolist(), x.tolist(), strict=True))]
+    labels = spark.createDataFrame(pa.table({"doc_id": np.arange(n)[named], "quality": y[named]}).to_pandas())
+    measured = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{c} long" for c in stats.COUNTS) + ", base_failed boolean, x array<double>")
+    forest, threshold = iforest.fit_measured(measured, labels, trees=6)
+    use = named & ~failed
+    good, bad = x[use & (y == 1)], x[use & (y == 0)]
+    want = iforest.Forest.grow(good, x[use].min(0), x[use].max(0), trees=6)
+    assert (forest.feature == want.feature).all() and np.allclose(forest.path, want.path) and np.isclose(forest.usual, want.usual)
+    kept, seen = np.sort(want.score(good)), np.sort(want.score(bad))
+    tries = np.unique(kept[int(np.ceil(len(kept) * 0.99)) :])
+    lost, caught = 1 - np.searchsorted(kept, tries, "right") / len(kept), 1 - np.searchsorted(seen, tries, "right") / len(seen)
+    assert np.isclose(threshold, tries[np.argmax(caught - lost)]) and len(tries) > 100
+
+
 def test_ownership_agrees_with_counting(spark):
     rng = random.Random(17)
     values = ["".join(rng.choice("0123456789abcdef") for _ in range(28)) for _ in range(40)]
