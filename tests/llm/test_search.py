@@ -197,6 +197,15 @@ def test_edited_texts_are_nearer_than_the_next(spark):
     assert sum(r["near_edited"] > r["near_next"] for r in got) > 0.9 * len(got) and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
 
 
+def test_texts_of_many_terms_are_told_apart(spark):
+    of = lambda c, n=5000: " ".join(f"{c}{i}" for i in range(n))
+    docs = [(0, of("a")), (1, of("b")), (2, of("a", 4800) + " " + of("c", 200))]
+    got = {r["doc_id"]: r for r in prints(spark, docs)}
+    assert len({r["fingerprint"] for r in got.values()}) == 3
+    assert got[2]["near_next"] == 0 and got[1]["near_next"] == 0 and 0 < got[0]["near_next"] < 1  # 0 is followed by 2
+    assert len({r["fingerprint"] for r in prints(spark, docs, skip_last=True)}) == 1
+
+
 def test_rows_of_one_id_and_rows_without_one(spark):
     got = prints(spark, [(3, "a b"), (3, "a b"), (2, "c d e f g h"), (None, "x y z x y z"), (None, None)])
     of = lambda d: sorted((r["n_chars"], r["edited_sha256"]) for r in got if r["doc_id"] == d)
