@@ -215,13 +215,30 @@ def spans(docs: DataFrame, k: int = 13, short: int = 5) -> DataFrame:
     return out
 
 
-def _digest(words: kit.Words, at: int, n: int) -> bytes:
-    """Of the bytes of n words from ``at`` on, joined by one space."""
-    a, b = words.start[at], words.end[at + n - 1]
-    body, within = words.buf[a:b], words.is_word[a:b]
-    keep = within.copy()
-    keep[1:] |= within[:-1]  # the byte after each word
-    return hashlib.blake2b(np.where(within, body, 32).astype(np.uint8)[keep].tobytes(), digest_size=16).digest()
+class _Joined:
+    """The words of a piece, each with one space after it, as bytes; ``at`` is where each begins (one entry more than words)."""
+
+    def __init__(self, words: kit.Words):
+        self.at = np.append(0, np.cumsum(words.end - words.start + 1))
+        out, body = np.full(self.at[-1], 32, np.uint8), np.ones(self.at[-1], bool)
+        body[self.at[1:] - 1] = False
+        out[body] = words.buf[words.is_word]
+        self.bytes = out.tobytes()
+
+    def digest(self, at: int, n: int) -> bytes:
+        """Of n words from ``at`` on, joined by one space."""
+        return hashlib.blake2b(self.bytes[self.at[at] : self.at[at + n] - 1], digest_size=16).digest()
+
+    def without(self, first: int, end: int, gone: list[tuple[int, int]]) -> tuple[bytes, int]:
+        """The words from ``first`` to ``end`` outside the stretches ``gone``, joined by one space, and how many are inside."""
+        left, removed, place = [], 0, first
+        for a, b in sorted(gone):
+            if b > place:
+                left.append(self.bytes[self.at[place] : self.at[max(a, place)]])
+                removed += b - max(a, place)
+                place = b
+        left.append(self.bytes[self.at[place] : self.at[end]])
+        return b"".join(left)[:-1], removed
 
 
 def source_digests(docs: DataFrame, found: DataFrame, k: int) -> DataFrame:
@@ -232,9 +249,10 @@ def source_digests(docs: DataFrame, found: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in kit.pieces(batches):
             words = kit.Words(piece)
+            joined, first = _Joined(words), words.first.tolist()
             for d, (at, windows) in enumerate(zip(piece.column("at").to_pylist(), piece.column("windows").to_pylist(), strict=True)):
                 owner = pa.array([d] * len(at))
-                digests = [_digest(words, words.first[d] + a, w + k - 1) for a, w in zip(at, windows, strict=True)]
+                digests = [joined.digest(first[d] + a, w + k - 1) for a, w in zip(at, windows, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id").take(owner), piece.column("copy").take(owner), pa.array(at, pa.int32()), pa.array(windows, pa.int32()), pa.array(digests, pa.binary())],
                     ["source", "source_copy", "source_at", "windows", "digest"],
@@ -244,8 +262,8 @@ def source_digests(docs: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return kit.map_texts(docs.join(places, ["doc_id", "copy"]), run, "source long, source_copy long, source_at int, windows int, digest binary").distinct()
 
 
-def remove(docs: DataFrame, k: int = 13, short: int = 5) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept (the words that stay, joined by one space)."""
+def remove(docs: DataFrame, k: int = 13, short: int = 5, kept: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and kept (the words that stay, joined by one space). kept: False leaves that column out."""
     rows = told_apart(docs)
     found = spans(rows, k, short)
     digests = kit.stage(source_digests(rows, found, k))
@@ -255,26 +273,17 @@ def remove(docs: DataFrame, k: int = 13, short: int = 5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in kit.pieces(batches):
             words = kit.Words(piece)
-            gone = np.zeros(len(words.start), bool)
+            joined, first = _Joined(words), words.first.tolist()
+            texts, removed = [], []
             for d, lists in enumerate(zip(*(piece.column(c).to_pylist() for c in ("at", "windows", "digest")), strict=True)):
-                for a, w, digest in zip(*(x or () for x in lists), strict=True):
-                    if _digest(words, words.first[d] + a, w + k - 1) == digest:
-                        gone[words.first[d] + a : words.first[d] + a + w + k - 1] = True
-            # the bytes of words that stay, each with one byte after it, which becomes a space
-            stays = ~gone[np.maximum(words.index, 0)] & words.is_word if len(gone) else np.zeros(len(words.buf), bool)
-            size = np.where(gone, 0, words.end - words.start + 1)
-            out = np.full(size.sum(), 32, np.uint8)
-            ends = np.cumsum(size)
-            body = np.ones(len(out), bool)
-            body[ends[~gone] - 1] = False
-            out[body] = words.buf[stays]
-            total = np.concatenate([[0], ends])
-            texts = [out[a : max(a, b - 1)].tobytes() for a, b in zip(total[words.first[:-1]].tolist(), total[words.first[1:]].tolist(), strict=True)]
-            removed = np.bincount(words.doc[gone], minlength=piece.n)
-            yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array(words.count.astype(np.int64)), pa.array(removed), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array([t.decode() for t in texts])],
-                ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
-            )
+                spans = ((first[d] + a, w + k - 1, digest) for a, w, digest in zip(*(x or () for x in lists), strict=True))
+                text, n = joined.without(first[d], first[d + 1], [(a, a + n) for a, n, digest in spans if joined.digest(a, n) == digest])
+                texts.append(text)
+                removed.append(n)
+            out = [piece.column("doc_id"), pa.array(words.count.astype(np.int64)), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())]
+            if kept:
+                out.append(pa.array(texts, pa.binary()).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: len(out)])
 
     texts = rows.join(of_doc, ["doc_id", "copy"], "left")
-    return kit.map_texts(texts, run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return kit.map_texts(texts, run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * kept)

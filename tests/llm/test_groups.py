@@ -7,10 +7,11 @@ import re
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cardioframe.llm import bpe, components, debruijn, decontam, jaccard, lines
+from cardioframe.llm import bpe, components, debruijn, decontam, jaccard, kit, lines
 from cardioframe.llm.queries import tokenizer_path
 
 from .test_words import WORD, docs
@@ -136,6 +137,23 @@ def test_substring_dedup_removes_what_an_earlier_document_has(spark, seed):
     assert got == without_repeats(list(enumerate(texts)))
 
 
+def test_joined_words_without_stretches():
+    rng = np.random.default_rng(8)
+    texts = ["", " ", "é", "\ta  b\nc ", "x" * 70_000 + " y", *(" ".join(rng.choice(["a", "bé", " ", "\n", "ccc"], n)) for n in (1, 5, 60, 60))]
+    for piece in kit.pieces([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]):
+        words = kit.Words(piece)
+        joined = debruijn._Joined(words)
+        for d, t in enumerate(piece.texts.to_pylist()):
+            own, first = t.split(), int(words.first[d])
+            for _ in range(20):
+                gone = [(a, a + int(rng.integers(1, 9))) for a in rng.integers(0, max(1, len(own)), rng.integers(0, 5)).tolist()]
+                gone = [(a, min(b, len(own))) for a, b in gone if a < len(own)]
+                stay = [w for k, w in enumerate(own) if not any(a <= k < b for a, b in gone)]
+                assert joined.without(first, int(words.first[d + 1]), [(first + a, first + b) for a, b in gone]) == (" ".join(stay).encode(), len(own) - len(stay))
+                for a, b in gone:
+                    assert joined.digest(first + a, b - a) == hashlib.blake2b(" ".join(own[a:b]).encode(), digest_size=16).digest()
+
+
 def test_substring_dedup_of_null_ids_and_repeated_rows(spark):
     text = " ".join(f"w{i}" for i in range(20))
     df = spark.createDataFrame([(None, text), (2, text), (2, text), (5, f"x {text} y")], "doc_id long, text string")
