@@ -75,13 +75,14 @@ def rolling_median(s: Series, x: str, width: int) -> Column:
 def forward_threshold(df: DataFrame, s: Series, x: str, width: int = 400, tail: int = 6) -> DataFrame:
     """Adds ``threshold``: the mean of the ``width`` values from each place on (a third of the series, if it is shorter than that).
 
-    The last place with a whole window and those after it take the median of the last ``tail`` means.
+    The last place with a whole window and those after it take the median of the last ``tail`` means. Values are added from the last one of a
+    window back: where a value equals its mean but for rounding, the order of the sum decides which of them is over the other.
     """
     n, rn = s.size(), s.number()
     wide = F.when(n >= width, F.lit(width)).otherwise(F.greatest(F.lit(1), F.floor(n / 3).cast("int")))
     out = df.withColumns({"__n": n, "__rn": rn, "__w": wide}).withColumn("__at", 2 * width * F.col("__rn") / F.col("__w"))
     # counted in windows (of 2 * width units each), all series look just under one window ahead, though their widths differ
-    ahead = Window.partitionBy(*s.keys).orderBy("__at").rangeBetween(0, 2 * width - 1)
+    ahead = Window.partitionBy(*s.keys).orderBy(F.desc("__at")).rangeBetween(1 - 2 * width, 0)
     real = F.col("__n") - F.col("__w") + 1
     out = out.withColumn("__mean", F.avg(x).over(ahead))
     late = F.when(F.col("__rn").between(real - tail + 1, real), F.col("__mean"))

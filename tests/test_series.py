@@ -48,6 +48,20 @@ def test_forward_threshold_of_a_short_series_takes_a_third_of_it(spark):
     assert column(got, F.col("threshold"))[0] == 1.5
 
 
+#: The second value is the mean of the twelve from it on, but for the rounding of their sum: it is over it only if they are added from the last one back.
+TIED = [0, 58.63, 51.9, 94.87, 49.62, 40.28, 54.78, 16.54, 89.17, 94.87, 97.65, 15.09, 40.16, 10, 20, 10]
+
+
+def test_forward_threshold_adds_values_from_the_last_one_back(spark):
+    got = column(series.forward_threshold(frame(spark, TIED), S, "x", 12), F.col("threshold"))
+    back = forth = 0.0
+    for v, w in zip(reversed(TIED[1:13]), TIED[1:13], strict=True):
+        back, forth = back + v, forth + w
+    assert got[1] == back / 12 < TIED[1] == forth / 12
+    points = beats.turning_points(frame(spark, TIED), S, "x", 12)
+    assert points.where("t = 1").select("kind").collect() == [("P",)]
+
+
 def test_islands_and_their_rounded_centres(spark):
     got = series.islands(frame(spark, [0, 0, 1, 0, 0, 0]), S, F.col("x") == 0).orderBy("first").collect()
     assert [(r["first"], r["last"], r["n"], r["centre"]) for r in got] == [(1, 2, 2, 2), (4, 6, 3, 5)]
