@@ -79,7 +79,7 @@ def forward_threshold(df: DataFrame, b: Blocks, x: str, width: int = 400, tail:
     """series.forward_threshold() in blocks."""
     n = df.groupBy(*b.keys).agg(F.count("*").alias("__n")).withColumn("__w", F.when(F.col("__n") >= width, F.lit(width)).otherwise(F.greatest(F.lit(1), F.floor(F.col("__n") / 3).cast("int"))))
     laid = b.laid(df, after=width - 1).join(n, list(b.keys)).withColumn("__at", 2 * width * F.col(b.t) / F.col("__w"))
-    ahead = Window.partitionBy(*b.keys, "__block").orderBy("__at").rangeBetween(0, 2 * width - 1)
+    ahead = Window.partitionBy(*b.keys, "__block").orderBy(F.desc("__at")).rangeBetween(1 - 2 * width, 0)
     means = b.own(laid.withColumn("__mean", F.avg(x).over(ahead)))
     real = F.col("__n") - F.col("__w") + 1
     late = means.where(F.col(b.t).between(real - tail + 1, real)).groupBy(*b.keys).agg(F.median("__mean").alias("__tail"))

@@ -39,6 +39,14 @@ def test_points_beats_and_runs(df, size):
         assert rows(blocks.islands(df, b, flag).select(cols)) == rows(series.islands(df, S, flag).select(cols))
 
 
+@pytest.mark.parametrize("size", [7, 64])
+def test_a_threshold_that_equals_a_value_but_for_rounding(spark, size):
+    x = [0, 58.63, 51.9, 94.87, 49.62, 40.28, 54.78, 16.54, 89.17, 94.87, 97.65, 15.09, 40.16, 10, 20, 10]
+    tied = spark.createDataFrame([(1, t + 1, float(v)) for t, v in enumerate(x)], "k int, t long, x double")
+    points = blocks.turning_points(tied, blocks.Blocks(("k",), "t", size), "x", 12)
+    assert points.where("t = 2").select("kind").collect() == [("P",)]
+
+
 @pytest.mark.parametrize("size", [3, 50])
 def test_windows_with_a_halo(df, size):
     b = blocks.Blocks(("k",), "t", size)
