@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cardioframe.llm import imatch, negatives, ranked, topk
+from cardioframe.llm import imatch, negatives, queries, ranked, topk
 
 # --- ranked search
 
@@ -206,6 +206,15 @@ def test_texts_of_many_terms_are_told_apart(spark):
     assert len({r["fingerprint"] for r in prints(spark, docs, skip_last=True)}) == 1
 
 
+def test_the_query_tells_texts_of_many_terms_apart(spark, tmp_path):
+    of = lambda c, n=5000: " ".join(f"{c}{i}" for i in range(n))
+    docs = [(0, of("a")), (1, of("b")), (2, of("a", 4800) + " " + of("c", 200)), (3, of("b")), (4, "a few words")]
+    spark.createDataFrame(docs, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op12_imatch(spark, str(tmp_path)).collect()}
+    assert len({r["fingerprint"] for r in got.values()}) == 4 and got[1]["fingerprint"] == got[3]["fingerprint"]
+    assert all("++++" not in got[d]["fingerprint"][12:16] for d in range(4)) and got[3]["near_next"] == 0 and got[2]["near_next"] == 0
+
+
 def test_rows_of_one_id_and_rows_without_one(spark):
     got = prints(spark, [(3, "a b"), (3, "a b"), (2, "c d e f g h"), (None, "x y z x y z"), (None, None)])
     of = lambda d: sorted((r["n_chars"], r["edited_sha256"]) for r in got if r["doc_id"] == d)
