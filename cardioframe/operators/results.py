@@ -108,10 +108,16 @@ def final(table: DataFrame, merged: DataFrame, mapping: DataFrame) -> DataFrame:
     Of rows with the same file the first (by its values) stays, as published; names then lose their peak number.
     """
     file = F.col("file")
-    both = table.join(merged.withColumnRenamed("jpg", "file"), "file", "left").withColumns({"Age": naming.age(file), "Sex": naming.sex(file), "CODE": F.col("CODE_x")})
-    one = joins.first_per_key(both, ["file"], ["cxd_file", "EDD", "ESD", "HR"])
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # dealt out by the names that the result has, so that the join, the first rows and the different rows take one shuffle
+    dealt = lambda df: df.withColumn("__masked", naming.masked_peak(file)).repartition(parts, "__masked")
+    other = dealt(merged.withColumnRenamed("jpg", "file")).withColumnsRenamed({"file": "__file", "__masked": "__name"})
+    # a name lies between itself and itself: as an equal key it would be asked for in the shuffle too
+    same = (F.col("__masked") == F.col("__name")) & F.col("__file").between(file, file)
+    both = dealt(table).join(other, same, "left").drop("__file", "__name").withColumns({"Age": naming.age(file), "Sex": naming.sex(file), "CODE": F.col("CODE_x")})
+    one = joins.first_per_key(both, ["__masked", "file"], ["cxd_file", "EDD", "ESD", "HR"])
     stock = joins.lookup(one, mapping.select(naming.mapping_code(F.col("CODE")).alias("CODE"), "stocks"), "CODE", ["stocks"])
-    return stock.withColumn("file", naming.masked_peak(F.col("file"))).select(*FINAL_COLUMNS).distinct()
+    return stock.drop("file").withColumnRenamed("__masked", "file").select(*FINAL_COLUMNS).distinct()
 
 
 def flies(recorded: DataFrame, reversals: DataFrame | None = None) -> DataFrame:
@@ -148,7 +154,9 @@ def assemble(catalog: DataFrame, mapping: DataFrame, meta: DataFrame, beats: Dat
     from ..sources import writers
 
     found = writers.staged(recordings(catalog, beats, velocities, timing, directions))
-    table = writers.staged(with_parameters(all_data(found, meta), parameters(found, beats, landmarks)))
+    everything = writers.staged(all_data(found, meta))
+    table = writers.staged(with_parameters(everything, parameters(found, beats, landmarks)))
+    writers.dropped(everything)
     last = writers.staged(final(table, transients(catalog, landmarks, beats), mapping))
     part = lambda s: last.where(F.col("segment") == s)
     out = {"meta_data_all": meta, "master_table": genotypes(found), **{f"{m}_data": measure(found, m) for m in tables.MEASURES}, "all_data_table": table, "final_all_data": last}

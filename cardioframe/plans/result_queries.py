@@ -30,7 +30,10 @@ def _inputs(spark, d) -> dict[str, DataFrame]:
     number = F.regexp_extract("cxd_file", r"_n(\d+)\.cxd$", 1).cast("long")
     keyed = catalog.select("index", "cxd_file", number.alias("o_orderkey"))
     orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.unix_timestamp("o_orderdate").cast("string").alias("created_unix_from_file")).join(keyed, "o_orderkey")
-    lines = table(spark, d, "lineitem").join(keyed, F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, d, "lineitem").join(keyed.drop("cxd_file"), F.col("l_orderkey") == F.col("o_orderkey")).select("index", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    # in buckets by recording, so that the many medians of its beats are taken without a shuffle
+    path = writers.shared(spark)
+    lines = writers.series_store(lines, ["index"], ["l_linenumber"], f"lines_{path[-32:]}", path, int(spark.conf.get("spark.sql.shuffle.partitions")))
     k = F.col("o_orderkey")
     wide = orders.select(F.concat("cxd_file", F.lit("_new_meta_data.csv")).alias("file"), *(F.col(c) if c == "created_unix_from_file" else F.lit("1").alias(c) for c in tables.META_KEYS))
     return {

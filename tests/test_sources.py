@@ -1,3 +1,8 @@
+import os
+import time
+
+from pyspark.sql import functions as F
+
 from cardioframe.sources import readers, writers
 from cardioframe.streaming import traces
 
@@ -43,3 +48,17 @@ def test_only_new_files_are_read(spark, tmp_path):
         traces.run_once(stream, out, check).awaitTermination()
     done = spark.read.parquet(out).collect()
     assert [(r["start"].hour, r["frames"], r["mean"]) for r in done] == [(1, 1, 2.0)]
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before = shuffles()
+    staged = writers.staged(spark.range(5000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.2)
+    assert not left and {r["k"] for r in staged.collect()} == set(range(7))
+    writers.dropped(staged)
+    assert not os.path.exists(staged.staged_path)
